@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes, so that long texts can't fill a Python worker."""
+def python_ready(spark: SparkSession) -> None:
+    """Settings for stages that run Python: Arrow batches bounded by rows and bytes, so that long texts
+    can't fill a worker, and this package's folder on the workers' path (where it isn't installed)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

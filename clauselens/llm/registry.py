@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_query
+from .simhash import op7_query
 
 QUERIES = {
     "op5_exact_dedup": op5_query,
+    "op7_simhash_balls": op7_query,
 }
 ORACLE = {
     "op5_exact_dedup": OP5_SQL,

@@ -45,6 +45,13 @@ def python_ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
+def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    """A table of the input folder. Vectored Parquet reads are off: they keep a direct buffer of a
+    column chunk's size for each reading thread, outside the heap."""
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and len + 1 offsets into them; a null is empty."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, documents
 
 #: A run of blanks that isn't one plain space already.
 BLANKS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -136,7 +136,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return exact_groups(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 OP5_SQL = r"""

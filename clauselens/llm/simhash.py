@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_roots, slices, python_ready, texts_of
+from .common import components, cut, documents, local_roots, python_ready, slices, texts_of
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 BUCKET_VARIANTS = 4_000_000
@@ -190,6 +190,6 @@ def near_groups(fps: DataFrame, bits: int = BITS, radius: int = RADIUS) -> DataF
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     found = near_groups(fingerprints(docs))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

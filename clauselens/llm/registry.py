@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op6_query
 from .exact_dedup import OP5_SQL, op5_query
 from .simhash import op7_query
+from .token_files import op2_query
 
 QUERIES = {
+    "op2_token_bits": op2_query,
     "op5_exact_dedup": op5_query,
+    "op6_pair_index_bpe": op6_query,
     "op7_simhash_balls": op7_query,
 }
 ORACLE = {

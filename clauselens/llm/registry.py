@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op6_query
+from .chat_format import op8_query
 from .exact_dedup import OP5_SQL, op5_query
+from .license_scan import op9_query
+from .secrets import op10_query
 from .simhash import op7_query
 from .token_files import op2_query
 
@@ -12,6 +15,9 @@ QUERIES = {
     "op5_exact_dedup": op5_query,
     "op6_pair_index_bpe": op6_query,
     "op7_simhash_balls": op7_query,
+    "op8_chat_format": op8_query,
+    "op9_license_scan": op9_query,
+    "op10_secret_scan": op10_query,
 }
 ORACLE = {
     "op5_exact_dedup": OP5_SQL,

@@ -20,10 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, python_ready, slices, texts_of
-from .pretokens import Pretokenizer
+from .pretokens import PieceIds, Pretokenizer
 
-#: Merged pieces that a worker remembers; beyond that it starts anew.
-KNOWN_PIECES = 400_000
 #: Bytes of text whose pieces are merged together.
 RUN_BYTES = 16 << 20
 DEAD, END = -2, -1
@@ -63,13 +61,7 @@ class PairIndexBPE:
         self.token_bytes = np.frombuffer(b"".join(table), np.uint8)
         self.token_len = np.array([len(t) for t in table], np.int64)
         self.token_at = np.cumsum(self.token_len) - self.token_len
-        self.forget()
-
-    def forget(self) -> None:
-        """Empty the memory of merged pieces; special tokens stay."""
-        self.known = {t: k for k, t in enumerate(self.cut.special)}
-        self.ids = [np.array([*self.cut.special.values()], np.int32)]
-        self.lens = [np.ones(len(self.known), np.int64)]
+        self.store = PieceIds(self.cut, self.ids_of)
 
     def merge(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that lie one after another in data, and how many each piece has."""
@@ -125,46 +117,14 @@ class PairIndexBPE:
         alive = np.r_[0, np.cumsum(symbol[:n] != DEAD)]
         return symbol[:n][symbol[:n] != DEAD].astype(np.int32), np.diff(alive[np.r_[0, ends]])
 
-    def learn(self, pieces: set[str]) -> None:
-        """Merge pieces not seen before and remember them."""
-        new = sorted(pieces.difference(self.known))
-        if not new:
-            return
-        raw = [p.encode() for p in new]
-        ids, lens = self.merge(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw]))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.ids.append(ids)
-        self.lens.append(lens)
+    def ids_of(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Ids of pieces, merged together."""
+        raw = [p.encode() for p in pieces]
+        return pieces, *self.merge(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
-        if len(self.known) > KNOWN_PIECES:
-            self.forget()
-        runs = [run for text in texts for run in [[p for part in self.cut.pieces(text) for p in part] if len(text) < 1 << 20 else None]]
-        if None in runs:  # long texts: their pieces are listed a part at a time
-            out = [self._encode_long(t) if r is None else self.encode([t])[0] for t, r in zip(texts, runs, strict=True)]
-            return np.concatenate(out), np.array([len(x) for x in out], np.int64)
-        self.learn({p for run in runs for p in run})
-        which = np.fromiter((self.known[p] for run in runs for p in run), np.int64)
-        ids, lens = self._spread(which)
-        ends = np.r_[0, np.cumsum(lens)]
-        return ids, np.diff(ends[np.r_[0, np.cumsum([len(r) for r in runs])]])
-
-    def _encode_long(self, text: str) -> np.ndarray:
-        out = []
-        for part in self.cut.pieces(text):
-            self.learn(set(part))
-            out.append(self._spread(np.fromiter(map(self.known.__getitem__, part), np.int64, len(part)))[0])
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
-
-    def _spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of remembered pieces, one after another, and their lengths."""
-        if len(self.ids) > 1:
-            self.ids, self.lens = [np.concatenate(self.ids)], [np.concatenate(self.lens)]
-        lens = self.lens[0]
-        at = (np.cumsum(lens) - lens)[which]
-        n = lens[which]
-        return self.ids[0][np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+        return self.store.encode(texts)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for."""

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 _L = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -21,6 +23,8 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 _CUT = re.compile(r"(?<=[^\s]) ")
 #: Characters cut at once: lists of pieces stay bounded for a text of any length.
 PIECE_CHARS = 1 << 20
+#: Encoded pieces that a worker remembers; beyond that it starts anew.
+KNOWN_PIECES = 800_000
 
 
 def parts(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
@@ -59,3 +63,46 @@ class Pretokenizer:
                 for k, run in enumerate(self._special.split(part)):
                     if run:
                         yield [run] if k % 2 else self.plain(run)
+
+
+class PieceIds:
+    """Ids of pieces, each worked out once and remembered; a text's ids are those of its pieces in turn."""
+
+    def __init__(self, cut: Pretokenizer, ids_of: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], most: int = KNOWN_PIECES):
+        self.cut, self.ids_of, self.most = cut, ids_of, most
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory; special tokens stay."""
+        special = self.cut.special
+        self.known = {t: k for k, t in enumerate(special)}
+        self.ids, self.lens = np.array([*special.values()], np.int32), np.ones(len(special), np.int64)
+        self.at = np.arange(len(special))
+
+    def learn(self, pieces: list[str]) -> None:
+        """Work out the pieces that aren't known yet."""
+        new = list(set(pieces).difference(self.known))
+        if new:
+            new, ids, lens = self.ids_of(new)  # in any order
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.ids, self.lens = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.lens, lens])
+            self.at = np.cumsum(self.lens) - self.lens
+
+    def spread(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after another, and how many each has."""
+        if len(self.known) > self.most:
+            self.forget()
+        self.learn(pieces)
+        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        n = self.lens[which]
+        return self.ids[np.repeat(self.at[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        if any(len(t) > PIECE_CHARS for t in texts):  # the pieces of a long text are listed a part at a time
+            each = [np.concatenate([np.zeros(0, np.int32), *(self.spread(p)[0] for p in self.cut.pieces(t))]) for t in texts]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        runs = [list(chain.from_iterable(self.cut.pieces(t))) for t in texts]
+        ids, lens = self.spread(list(chain.from_iterable(runs)))
+        ends = np.r_[0, np.cumsum(lens)]
+        return ids, np.diff(ends[np.r_[0, np.cumsum([len(r) for r in runs])].astype(np.int64)])

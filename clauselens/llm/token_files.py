@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, python_ready, shared_dir, slices, texts_of
-from .pretokens import Pretokenizer
+from .pretokens import PieceIds, Pretokenizer
 
 MAGIC, BLOCK = b"TIDBITS1", 1 << 14
 #: magic, bits, ids a block, documents, ids, place of the document table, place of the block offsets.
 FOOTER = struct.Struct("<8sIIQQQQ")
-KNOWN_PIECES = 400_000
 RUN_BYTES = 8 << 20
+#: Words sent to the tokenizers library in one text.
+LINES = 500
 
 
 def width(vocabulary: int) -> int:
@@ -148,17 +150,28 @@ class LibraryEncoder:
     def __init__(self, path: str):
         self.cut = Pretokenizer(path)
         self.size = self.cut.library.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, list[int]] = {}
+        self.store = PieceIds(self.cut, self.ids_of)
 
-    def encode(self, text: str) -> Iterator[np.ndarray]:
-        """Ids of the text, some at a time."""
-        for run in self.cut.pieces(text):
-            new = list(set(run).difference(self.known))
-            if new:
-                if len(self.known) > KNOWN_PIECES:
-                    self.known, new = {}, list(set(run))
-                self.known.update(zip(new, (e.ids for e in self.cut.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            yield np.array([i for p in run for i in self.known[p]], np.int64)
+        self.line = self._each(["\n"])[0]
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in self.cut.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), np.int32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def ids_of(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Ids of pieces. Words with their leading space go to the library some hundred to a text, one
+        a line, which cuts them as they are; a call for each would cost more than its merges."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()] if len(self.line) == 1 else []
+        other = [p for p in pieces if p[0] != " " or not p[1:].isalpha()] if words else pieces
+        ids, lens = self._each(other)
+        if not words:
+            return other, ids, lens
+        lines, _ = self._each(["\n".join(words[i : i + LINES]) + "\n" for i in range(0, len(words), LINES)])
+        ends = np.flatnonzero(lines == self.line[0])
+        return other + words, np.concatenate([ids, lines[lines != self.line[0]]]), np.concatenate([lens, np.diff(np.r_[-1, ends]) - 1])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.store.encode(texts)
 
 
 @cache
@@ -186,13 +199,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int) -> l
             data, at = texts_of(batch.column(1))
             for i, j in slices(at, RUN_BYTES):
                 raw = data[at[i] : at[j]].tobytes()
-                each, lens = [], []
-                for k in range(i, j):
-                    own = [*library.encode(raw[at[k] - at[i] : at[k + 1] - at[i]].decode()), np.array([end_id])]
-                    each += own
-                    lens.append(sum(map(len, own)))
+                ids, lens = library.encode([raw[at[k] - at[i] : at[k + 1] - at[i]].decode() for k in range(i, j)])
                 who = batch.column(0)[i:j]
-                out.append(who.fill_null(0).to_numpy(zero_copy_only=False), who.is_null().to_numpy(zero_copy_only=False), np.concatenate(each), np.array(lens))
+                out.append(who.fill_null(0).to_numpy(zero_copy_only=False), who.is_null().to_numpy(zero_copy_only=False), np.insert(ids, np.cumsum(lens), end_id), lens + 1)
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), *out.close())], ["file", "docs", "ids"])
 

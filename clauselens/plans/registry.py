@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import measuring, scoring  # noqa: F401
+from .base import ORACLE, QUERIES
 
 
 def flagship(spark, sf_dir):
     return QUERIES["doc_idf_rank"](spark, sf_dir)
+
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]

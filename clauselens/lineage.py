@@ -35,6 +35,6 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # a new frame: the setting is read when a frame is made
     finally:
         spark.conf.set(CLEAN, before)

@@ -13,8 +13,11 @@ SHINGLE = 4
 def word_shingles(text: Column, size: int = SHINGLE) -> Column:
     """Distinct hashes of runs of whole words of a normalised text; a shorter text has none."""
     w = F.split(text, " ")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
-    return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    m = F.greatest(F.size(w) - size + 1, F.lit(0))
+    runs = F.slice(w, F.lit(1), m)  # shifted copies side by side: nothing in a lambda depends on the whole text
+    for k in range(2, size + 1):
+        runs = F.zip_with(runs, F.slice(w, F.lit(k), m), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))
 
 
 def inner_key(text: Column, size: int = SHINGLE) -> Column:

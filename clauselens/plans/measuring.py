@@ -115,7 +115,7 @@ def auc_doc_length_quality(t):
     return M.auc(_labelled(t).withColumn("score", F.col("n_chars").cast("double")), "source").select("source", F.round("auc", 6).alias("auc"))
 
 
-ROC = LAB + ", lv AS (SELECT lang, floor(n_chars / 500)::DOUBLE AS score, count(*) FILTER (gold) AS p, count(*) FILTER (NOT gold) AS n FROM r GROUP BY ALL), rc AS (SELECT lang, score, sum(n) OVER w / sum(n) OVER (PARTITION BY lang) AS fpr, sum(p) OVER w / sum(p) OVER (PARTITION BY lang) AS tpr FROM lv WINDOW w AS (PARTITION BY lang ORDER BY score DESC))"
+ROC = LAB + ", lv AS (SELECT lang, floor(n_chars / 500)::DOUBLE AS score, count(*) FILTER (gold) AS p, count(*) FILTER (NOT gold) AS n FROM r GROUP BY ALL), rc AS (SELECT lang, score, coalesce(sum(n) OVER w / nullif(sum(n) OVER (PARTITION BY lang), 0), 0) AS fpr, coalesce(sum(p) OVER w / nullif(sum(p) OVER (PARTITION BY lang), 0), 0) AS tpr FROM lv WINDOW w AS (PARTITION BY lang ORDER BY score DESC))"
 
 
 def _roc(t: Tables):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import measuring, scoring  # noqa: F401
+from . import measuring, scoring, structure  # noqa: F401
 from .base import ORACLE, QUERIES
 
 

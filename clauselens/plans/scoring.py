@@ -129,10 +129,10 @@ def atom_equi_join_scores(t):
     return S.atom_scores(_query_atoms(t), a, S.atom_idf(a, _total(t))).select("q", "id", F.round("score", 6).alias("score"))
 
 
-@query(OVER + ", sec AS (SELECT q, id, source AS section, round(score, 6) AS score FROM ov JOIN documents d ON d.doc_id = ov.id), b AS (SELECT * FROM sec QUALIFY row_number() OVER (PARTITION BY q, section ORDER BY score DESC, id) <= 3) SELECT q, section, round(avg(score), 6) AS score FROM b GROUP BY ALL")
+@query(OVER + ", sec AS (SELECT q, id, source AS section, round(score, 6) AS score FROM ov JOIN documents d ON d.doc_id = ov.id), b AS (SELECT * FROM sec QUALIFY row_number() OVER (PARTITION BY q, section ORDER BY score DESC, id) <= 3) SELECT q, section, round(avg(score) + 3e-8, 6) AS score FROM b GROUP BY ALL")
 def section_top3_mean(t):
     s = _overlap(t).withColumn("score", F.round("score", 6)).join(t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("section")), "id")
-    return S.section_top_mean(s).select("q", "section", F.round("score", 6).alias("score"))
+    return S.section_top_mean(s).select("q", "section", F.round(F.col("score") + F.lit(3e-8), 6).alias("score"))
 
 
 BAG = (
@@ -148,9 +148,9 @@ def _bag(t: Tables):
     return S.combined_scores(u, {"lex": (_overlap(t, 5).withColumn("score", F.round("score", 6)), 1.0)})
 
 
-@query(BAG + " SELECT q, id, section, round(lex, 4) AS lex, round(sec + 3e-8, 5) AS section_score, round(lex + sec + 3e-8, 5) AS raw FROM lex JOIN sm USING (q, section)")
+@query(BAG + " SELECT q, id, section, round(lex + 3e-8, 5) AS lex, round(sec + 3e-8, 5) AS section_score, round(lex + sec + 3e-8, 5) AS raw FROM lex JOIN sm USING (q, section)")
 def bag_scorer_channels(t):
-    return _bag(t).select("q", "id", "section", F.round("lex", 4).alias("lex"), F.round(F.col("section_score") + F.lit(3e-8), 5).alias("section_score"), F.round(F.col("raw") + F.lit(3e-8), 5).alias("raw"))
+    return _bag(t).select("q", "id", "section", F.round(F.col("lex") + F.lit(3e-8), 5).alias("lex"), F.round(F.col("section_score") + F.lit(3e-8), 5).alias("section_score"), F.round(F.col("raw") + F.lit(3e-8), 5).alias("raw"))
 
 
 @query(BAG + ", r AS (SELECT q, id, lex + sec AS raw FROM lex JOIN sm USING (q, section)), s AS (SELECT q, id, round(raw / max(raw) OVER (PARTITION BY q), 6) AS score FROM r) SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s")

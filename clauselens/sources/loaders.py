@@ -159,7 +159,8 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON log; malformed lines are skipped."""
-    return spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null").drop("_corrupt")
+    row = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return spark.read.text(path).select(row.alias("r")).where("r is not null and r._corrupt is null").select("r.*").drop("_corrupt")
 
 
 def write_once(rows: DataFrame, path: str, force: bool = False) -> None:

@@ -13,6 +13,7 @@ from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 _L = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -80,8 +81,8 @@ class PieceIds:
         self.at = np.arange(len(special))
 
     def learn(self, pieces: list[str]) -> None:
-        """Work out the pieces that aren't known yet."""
-        new = list(set(pieces).difference(self.known))
+        """Work out the pieces, each named once, that aren't known yet."""
+        new = [p for p in pieces if p not in self.known]
         if new:
             new, ids, lens = self.ids_of(new)  # in any order
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
@@ -92,8 +93,10 @@ class PieceIds:
         """The ids of pieces one after another, and how many each has."""
         if len(self.known) > self.most:
             self.forget()
-        self.learn(pieces)
-        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn(distinct)
+        which = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         n = self.lens[which]
         return self.ids[np.repeat(self.at[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 

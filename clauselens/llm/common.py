@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,26 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, one machine) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='cut-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder: lineage ends there, and a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["chars_before", "components", "cut", "documents", "fresh", "local_roots", "python_ready", "shared_dir", "slices", "string_array", "texts_of"]
 
 
 def python_ready(spark: SparkSession) -> None:
@@ -52,6 +34,14 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while stem.lower() in have:
+        stem += "_"
+    return stem
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and len + 1 offsets into them; a null is empty."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -8,7 +8,10 @@ How the variants travel: the bucket of a variant is a linear hash over GF(2), so
 ``fingerprint ^ mask`` is ``bucket(fingerprint) ^ bucket(mask)``. A fingerprint is therefore sent to
 each bucket that one of its variants falls in, and the bucket writes out just those variants. The
 number of buckets follows the number of fingerprints, so that a bucket's variants fit in memory at
-every size; with few buckets a fingerprint travels once for many variants.
+every size; with few buckets a fingerprint travels once for many variants. Buckets are worked off in
+passes that each send at most about ``PASS_BYTES`` a fingerprint; a pass ends in the shared folder
+and its shuffle files go, so the disk that is needed at once stays in proportion to the input, also
+where a fingerprint's variants fall into thousands of buckets.
 
 Memory: all variants of a bucket (about ``BUCKET_VARIANTS``). Equal fingerprints are merged first, so
 copies cost nothing here. Links inside a bucket leave it as a spanning forest, never as all pairs.
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import components, cut, documents, local_roots, python_ready, slices, texts_of
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
-BUCKET_VARIANTS = 4_000_000
+BUCKET_VARIANTS, LEAST_BUCKET_BITS = 4_000_000, 7
+#: Bytes that a fingerprint may send in one pass.
+PASS_BYTES = 4096
 #: Set bits of a byte, lowest first.
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_AT = np.arange(8) * 256
@@ -103,10 +108,23 @@ def bucket_of(x: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_bits_for(n: int, bits: int, half: int) -> int:
-    """Bits of a bucket number, for about BUCKET_VARIANTS variants in each."""
+def bucket_bits_for(n: int, bits: int, half: int, least: int = LEAST_BUCKET_BITS) -> int:
+    """Bits of a bucket number, for at most about BUCKET_VARIANTS variants in each and enough buckets to share out."""
     each = sum(math.comb(bits, k) for k in range(half + 1))
-    return min(40, max(0, math.ceil(math.log2(max(1, n * each / BUCKET_VARIANTS)))))
+    return min(40, max(least, math.ceil(math.log2(max(1, n * each / BUCKET_VARIANTS)))))
+
+
+def passes_for(bits: int, half: int, bucket_bits: int, item_bytes: int) -> int:
+    """How many passes keep what an item sends below PASS_BYTES in each."""
+    return max(1, math.ceil(len(ball(bits, half, bucket_bits)[2]) * item_bytes / PASS_BYTES))
+
+
+def packed_by_bucket(buckets: np.ndarray, load: np.ndarray, item_bytes: int) -> tuple[pa.Array, pa.Array]:
+    """Distinct buckets, and the bytes of each one's items; buckets are sorted, load has the items in that order."""
+    distinct, starts = np.unique(buckets, return_index=True)
+    offsets = pa.py_buffer((np.r_[starts, len(buckets)] * item_bytes).astype(np.int64))
+    packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(distinct), [None, offsets, pa.py_buffer(np.ascontiguousarray(load))])
+    return pa.array(distinct.view(np.int64)), packed.cast(pa.binary())
 
 
 def variants_in(fps: np.ndarray, bucket: int, bits: int, half: int, bucket_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,30 +165,32 @@ def ball_links(distinct: DataFrame, n: int, bits: int = BITS, radius: int = RADI
     """
     if radius % 2 or not 0 <= radius < bits <= 64:
         raise ValueError("radius must be even and less than bits")
-    bucket_bits, half = bucket_bits_for(n, bits, radius // 2), radius // 2
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, _, classes, _, _ = ball(bits, half, bucket_bits)
-        step = max(1, (1 << 21) // len(classes))
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(fps), step):
-                some = fps[i : i + step]
-                to = (bucket_of(some, columns)[:, None] ^ classes[None, :]).ravel()
-                order = np.argsort(to, kind="stable")
-                to, load = to[order], np.repeat(some, len(classes))[order]
-                buckets, starts = np.unique(to, return_index=True)
-                offsets = pa.py_buffer((np.r_[starts, len(to)] * 8).astype(np.int64))
-                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(buckets), [None, offsets, pa.py_buffer(load)])
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.view(np.int64)), packed.cast(pa.binary())], ["bucket", "load"])
+    half = radius // 2
+    bucket_bits = bucket_bits_for(n, bits, half)
+    passes = passes_for(bits, half, bucket_bits, 8)
+
+    def send(number: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns, _, classes, _, _ = ball(bits, half, bucket_bits)
+            step = max(1, (1 << 21) // len(classes))
+            for batch in batches:
+                fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                for i in range(0, len(fps), step):
+                    some = fps[i : i + step]
+                    to = (bucket_of(some, columns)[:, None] ^ classes[None, :]).ravel()
+                    mine = np.flatnonzero(to % np.uint64(passes) == number)
+                    mine = mine[np.argsort(to[mine], kind="stable")]
+                    yield pa.RecordBatch.from_arrays([*packed_by_bucket(to[mine], some[mine // len(classes)], 8)], ["bucket", "load"])
+
+        return run
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         fps = np.frombuffer(b"".join(x.as_py() for x in table.column("load")), np.uint64)
         a, b = links_in(fps, key[0].as_py(), bits, radius, bucket_bits)
         return pa.table({"u": fps[a].view(np.int64), "v": fps[b].view(np.int64)})
 
-    sent = distinct.select("fp").mapInArrow(send, "bucket bigint, load binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "u bigint, v bigint")
+    found = [distinct.select("fp").mapInArrow(send(k), "bucket bigint, load binary").groupBy("bucket").applyInArrow(meet, "u bigint, v bigint") for k in range(passes)]
+    return reduce(DataFrame.union, map(cut, found)) if passes > 1 else found[0]
 
 
 def near_groups(fps: DataFrame, bits: int = BITS, radius: int = RADIUS) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, fresh
 
 #: A run of blanks that isn't one plain space already.
 BLANKS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -123,16 +123,17 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
     The row with the smallest doc_id stays. Rows that repeat both doc_id and text count once.
     """
-    found = cut(exact_groups(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
+    i, h = fresh(docs, "own_id"), fresh(docs, "own_sha")
+    found = cut(exact_groups(docs).select(F.col("doc_id").alias(i), F.col("text_sha256").alias(h), "kept"))
     kept = found.where("kept").drop("kept")
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).withColumn("_id", F.col("doc_id"))
-    same = lambda x, y: x["_id"].eqNullSafe(y["_id"]) & (x["_sha"] == y["_sha"])
+    keyed = docs.withColumns({h: F.sha2(normalised(F.col("text")), 256), i: F.col("doc_id")})
+    same = lambda x, y: x[i].eqNullSafe(y[i]) & (x[h] == y[h])
     left = keyed.join(kept, same(keyed, kept), "left_semi")
-    twins = found.groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    twins = found.groupBy(i, h).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     if not twins.isEmpty():  # rows that repeat both doc_id and text
         twins = cut(twins)
-        left = left.join(twins, same(left, twins), "left_anti").union(left.join(twins, same(left, twins), "left_semi").dropDuplicates(["_id", "_sha"]))
-    return left.drop("_id", "_sha")
+        left = left.join(twins, same(left, twins), "left_anti").union(left.join(twins, same(left, twins), "left_semi").dropDuplicates([i, h]))
+    return left.drop(i, h)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

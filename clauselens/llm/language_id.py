@@ -132,6 +132,8 @@ class Models:
 def fit(samples: dict[str, list[str]]) -> Models:
     """Models from texts by language. Every HELD-th text calibrates rejection and is not counted."""
     languages = sorted(samples)
+    if not languages:
+        return Models([], [], [], [], [], np.zeros(0), np.zeros(0))
     counted = {x: [t for i, t in enumerate(samples[x]) if i % HELD or len(samples[x]) < 2 * HELD] for x in languages}
     seen = []  # by language and order: keys, suffix keys, context keys of distinct n-grams, and raw counts
     for x in languages:

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import raw_words, stemmed_rows
 
 
 def term_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(id, term): one row per token of each text."""
-    return docs.select(F.col(id).alias("id"), F.explode(tokens(F.col(text))).alias("term"))
+    return stemmed_rows(docs.select(F.col(id).alias("id"), F.explode(raw_words(F.col(text))).alias("term")), "term")
 
 
 def term_counts(terms: DataFrame, *keys: str) -> DataFrame:

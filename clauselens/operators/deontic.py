@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import python_ready
 from .rules import outcomes, reachable
 
 
@@ -77,13 +80,13 @@ def check_definition(expression, known: set[str], exclusions: list[tuple[str, st
 
 def check_definitions(rows: DataFrame, known: set[str], exclusions: list[tuple[str, str]], requires: list[tuple[str, str]] = ()) -> DataFrame:
     """(id, fault) of definitions (id, expression as JSON); a sound one has a null fault. A search over a few atoms for each row, in Arrow batches."""
-    import json
+    python_ready(rows.sparkSession)
 
-    import pandas as pd
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            yield column.map(lambda t: check_definition(json.loads(t), known, exclusions, requires))
 
-    @F.pandas_udf("string")
-    def fault(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: check_definition(json.loads(t), known, exclusions, requires))
+    fault = F.pandas_udf(each, "string", F.PandasUDFType.SCALAR_ITER)
 
     return rows.select("id", fault("expression").alias("fault"))
 

@@ -5,6 +5,7 @@ All are JVM-side expressions. Where a value list must equal a published one it s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,18 +53,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(out, F.reverse), lambda w: w != "")
 
 
+_ENDING = re.compile(SUFFIX_PATTERN)
+
+
 def stem(word: str) -> str:
-    """Suffixes off, the first of the list that leaves four letters, until none does; over four letters a final i becomes y."""
-    out, changed = word.rstrip("'"), True
-    while changed and len(out) > 4:
-        changed = False
-        for suffix in SUFFIXES:
-            if out.endswith(suffix) and len(out) - len(suffix) >= 4:
-                out, changed = out[: -len(suffix)], True
-                if out.endswith("i") and len(out) > 4:
-                    out = out[:-1] + "y"
-                break
-    return out
+    """stem_step() until nothing changes, for one word."""
+    back = word.rstrip("'")[::-1]
+    while found := _ENDING.match(back):
+        back = back[found.end() :]
+        if back[0] == "i" and len(back) > 4:
+            back = "y" + back[1:]
+    return back[::-1]
 
 
 #: Stems that a worker remembers.
@@ -89,7 +89,7 @@ def stemmed_rows(rows: DataFrame, word: str) -> DataFrame:
     compiled code. So distinct words of an Arrow batch are stemmed in Python, once each.
     """
     python_ready(rows.sparkSession)
-    stems = F.pandas_udf(_stems, "string", F.PandasUDFType.SCALAR_ITER)
+    stems = F.pandas_udf(_stems, "string")
     return rows.where(~F.col(word).isin(STOPWORDS)).withColumn(word, stems(F.col(word))).where(F.col(word) != "")
 
 

@@ -86,7 +86,7 @@ def check_definitions(rows: DataFrame, known: set[str], exclusions: list[tuple[s
         for column in batches:
             yield column.map(lambda t: check_definition(json.loads(t), known, exclusions, requires))
 
-    fault = F.pandas_udf(each, "string", F.PandasUDFType.SCALAR_ITER)
+    fault = F.pandas_udf(each, "string")
 
     return rows.select("id", fault("expression").alias("fault"))
 

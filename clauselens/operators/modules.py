@@ -12,22 +12,6 @@ from .metrics import auc, confusion, scored
 from .sets import hashed
 
 
-@dataclass(frozen=True)
-class Weights:
-    """Every knob of the bag scorer in one record."""
-
-    lex: float = 1.0
-    atom: float = 0.6
-    kind: float = 0.0
-    section: float = 0.45
-    section_top_k: int = 3
-    expansion_docs: int = 12
-    expansion_terms: int = 25
-    expansion_beta: float = 0.5
-    kind_mismatch_discount: float = 0.4
-    atom_stopword_frac: float = 0.25
-
-
 @dataclass(frozen=True)
 class QueryModule:
     """A named scorer: rank gives (q, id, score), predict (q, id), explain any rows with q and id."""

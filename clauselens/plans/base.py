@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import STEM_ROUNDS, STOPWORDS, SUFFIXES
+from ..workers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +20,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(rows) if name == "documents" else rows
 
 
 def query(sql: str | None = None):

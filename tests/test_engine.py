@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -25,29 +26,27 @@ def one(spark, expr, **values):
     return df.select(expr.alias("r")).first().r
 
 
-def stem(word):
-    w, changed = word.rstrip("'"), True
-    while changed and len(w) > 4:
-        changed = False
-        for s in X.SUFFIXES:
-            if w.endswith(s) and len(w) - len(s) >= 4:
-                w = w[: -len(s)]
-                w = w[:-1] + "y" if w.endswith("i") and len(w) > 4 else w
-                changed = True
-                break
-    return w
+#: Worked by hand from the suffix list.
+STEMS = {
+    "helpful": "help", "helpfulness": "help", "harming": "harm", "policies": "polic", "carriers": "carry", "relations": "relat", "sings": "sing", "users": "user",
+    "user": "user", "politely": "polite", "generalizations": "generaliz", "statements": "stat", "don't": "don't", "dogs'": "dogs", "reply": "reply", "wishes": "wish",
+}
 
 
-def test_tokens_equal_the_suffix_rules(spark):
+def test_stems(spark):
+    assert {w: X.stem(w) for w in STEMS} == STEMS
+
+
+def test_tokens_and_stems_agree(spark):
     rng = random.Random(1)
     parts = ["help", "harm", "polic", "ful", "ness", "ing", "ies", "ation", "s", "ers", "ly", "i", "ed", "a", "don't", "the"]
     texts = ["".join(rng.choices(parts, k=rng.randint(1, 5))) + " " + rng.choice(parts) for _ in range(400)] + ["Helpful_harm's", None, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    import re
-
+    found = {i: [w for w in re.findall(X.WORD, (t or "").lower().replace("_", " ")) if w not in X.STOPWORDS] for i, t in enumerate(texts)}
     for r in df.select("i", X.tokens(F.col("t")).alias("k")).collect():
-        found = [w for w in re.findall(X.WORD, (texts[r.i] or "").lower().replace("_", " ")) if w not in X.STOPWORDS]
-        assert r.k == [stem(w) for w in found]
+        assert r.k == [X.stem(w) for w in found[r.i]]
+    rows = S.term_rows(df, "i", "t").groupBy("id").agg(F.sort_array(F.collect_list("term")).alias("k")).collect()
+    assert {r.id: r.k for r in rows} == {i: sorted(X.stem(w) for w in ws) for i, ws in found.items() if ws}
 
 
 def test_text_functions(spark):

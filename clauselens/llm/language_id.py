@@ -28,7 +28,7 @@ ORDER, PER_LANGUAGE, FIT_CHARS = 5, 500, 50_000
 #: Characters that an unseen one is one of.
 ALPHABET = 2000
 #: Share of the sample that calibrates rejection, and the entropy (nats) always allowed above the mean.
-HELD, SLACK = 4, 0.6
+HELD, SLACK = 4, 1.0
 RUN_BYTES, PIECE_BYTES = 1 << 20, 1 << 20
 SPACE = 32
 _MULTIPLIER = np.random.default_rng(5).integers(1 << 62, 1 << 63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,7 +175,7 @@ def fit(samples: dict[str, list[str]]) -> Models:
         if len(entropy):
             long = n[some] >= np.median(n[some])
             models.mean[j] = entropy[long].mean()
-            models.spread[j] = 2 * max(1.0, np.max((entropy - models.mean[j]) * np.sqrt(n[some])))
+            models.spread[j] = 3 * max(1.0, np.max((entropy - models.mean[j]) * np.sqrt(n[some])))
         else:
             models.mean[j] = np.inf
     return models

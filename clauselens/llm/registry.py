@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_query
-from .chat_format import op8_query
+from .chat_format import OP8_SQL, op8_query
 from .exact_dedup import OP5_SQL, op5_query
 from .language_id import op1_query
 from .license_scan import op9_query
@@ -27,4 +27,5 @@ QUERIES = {
 }
 ORACLE = {
     "op5_exact_dedup": OP5_SQL,
+    "op8_chat_format": OP8_SQL,
 }

@@ -186,8 +186,8 @@ def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[s
 
     The share drawn follows each language's count, so the sample's size doesn't grow with the table.
     """
+    share = docs.where("lang is not null").groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))  # no text is read
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS)).select("doc_id", "lang", "text")
-    share = usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
     drawn = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(1)), 11) / F.lit(float(1 << 53))
     rows = usable.where(F.col("lang") != "und").join(F.broadcast(share), "lang").where(drawn < F.col("share")).select("lang", "doc_id", "text").collect()
     out: dict[str, list[str]] = {}

@@ -303,6 +303,12 @@ def message_cause(message: Column) -> Column:
     return F.trim(out)
 
 
+def banned_keys(payload: Column, keys: list[str]) -> Column:
+    """Forbidden keys that a JSON text uses at any depth, sorted; escaped quotes inside strings aren't keys."""
+    plain = F.regexp_replace(payload, r'\\.', "")
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit(r'"(' + "|".join(keys) + r')"\s*:'), F.lit(1))))
+
+
 def verdict_lines(reply: Column, n: int) -> Column:
     """map of number to verdict from ``N: V`` lines, else from the last n bare digits; null if neither fits."""
     pairs = F.regexp_extract_all(reply, F.lit(r"(?m)^\s*(\d+)\s*:\s*([0-2])\b"), F.lit(0))

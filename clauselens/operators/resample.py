@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import mcc
+from .metrics import auc, mcc
 
 
 def numbered(rows: DataFrame, id: str) -> DataFrame:
@@ -125,3 +125,31 @@ def principal_vectors(rows: DataFrame, id: str, vector: str, k: int = 8) -> Data
 
     data = rows.select(id, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     return PCA(k=k, inputCol="v", outputCol="p").fit(data).transform(data).select(id, vector_to_array("p").alias("vec"))
+
+
+def cluster_bootstrap(values: DataFrame, replicates: int = 2000, seed: int = 17) -> DataFrame:
+    """One row: mean, low, high of x when whole clusters are drawn. values (cluster, x); clusters are summed before they are multiplied."""
+    sums = numbered(values.groupBy("cluster").agg(F.sum("x").alias("s"), F.count("x").alias("c")), "cluster")
+    n = sums.agg(F.count(F.lit(1)).alias("n"), (F.sum("s") / F.sum("c")).alias("mean"))
+    places = sums.select(F.col("i").alias("place")).crossJoin(n).select("place", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
+    means = places.select("b", draw(seed, F.col("b"), F.col("place"), F.col("n")).alias("i")).join(sums, "i").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("m"))
+    return means.agg(F.percentile("m", [0.025, 0.975]).alias("p")).crossJoin(n).select("mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+
+
+def paired_auc(rows: DataFrame, replicates: int = 1000, seed: int = 17) -> DataFrame:
+    """One row: delta of the AUCs of two scores, low, high; each draw serves both. rows (id, gold, a, b)."""
+    r = numbered(rows.select("id", "gold", "a", "b"), "id")
+    n = r.agg(F.count(F.lit(1)).alias("n"))
+    places = r.select(F.col("i").alias("place")).crossJoin(n).select("place", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("r"))
+    x = places.select("r", F.when(F.col("r") == 0, F.col("place")).otherwise(draw(seed, F.col("r"), F.col("place"), F.col("n"))).alias("i")).join(r, "i")
+    both = x.select("r", "gold", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("score")), F.struct(F.lit("b").alias("side"), F.col("b").alias("score")))).alias("s")).select("r", "gold", "s.side", "s.score")
+    d = auc(both, "r", "side").groupBy("r").agg(F.sum(F.when(F.col("side") == "a", F.col("auc")).otherwise(-F.col("auc"))).alias("d"))
+    return d.agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("delta"), F.percentile(F.when(F.col("r") > 0, F.col("d")), [0.025, 0.975]).alias("p")).select("delta", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+
+
+def auc_null(rows: DataFrame, replicates: int = 200, seed: int = 17) -> DataFrame:
+    """(r, delta): differences of mean AUC between two random rankings over cells; what no information looks like. rows (cell, id, gold)."""
+    x = rows.select("cell", "id", "gold", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    score = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "r", "side", "cell", "id"), 11) / F.lit(float(1 << 53))
+    a = auc(x.select("cell", "r", "side", "gold", score.alias("score")), "cell", "r", "side")
+    return a.groupBy("r").agg((F.avg(F.when(F.col("side") == 0, F.col("auc"))) - F.avg(F.when(F.col("side") == 1, F.col("auc")))).alias("delta"))

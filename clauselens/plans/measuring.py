@@ -284,6 +284,21 @@ def noise_floor_mcc(t):
     return R.noise_floor(_cells(t), 200)
 
 
+@query()
+def paired_auc_delta(t):
+    return R.paired_auc(_labelled(t).select("id", "gold", F.col("n_chars").cast("double").alias("a"), F.col("toxic").cast("double").alias("b")), 100)
+
+
+@query()
+def auc_null_deltas(t):
+    return R.auc_null(_labelled(t).select(F.col("lang").alias("cell"), "id", "gold"), 50)
+
+
+@query()
+def cluster_bootstrap_quality(t):
+    return R.cluster_bootstrap(_labelled(t).select(F.col("source").alias("cluster"), F.col("quality").cast("double").alias("x")), 200)
+
+
 @query()
 def set_null_pvalue(t):
     v = _labelled(t)

@@ -273,6 +273,21 @@ def test_resampling(spark):
     assert p.observed == 8.5 and p.p == 0.01
 
 
+def test_more_resampling(spark):
+    rng = random.Random(5)
+    v = spark.createDataFrame([(i % 20, float(i % 20 + rng.random())) for i in range(400)], "cluster int, x double")
+    r = R.cluster_bootstrap(v, 200).first()
+    assert r.low < r.mean < r.high and r.high - r.low > 2
+    rows = [(i, i % 3 == 0, (i % 3 == 0) + rng.random(), rng.random()) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, gold boolean, a double, b double")
+    r = R.paired_auc(df, 60).first()
+    brute = lambda k: sum(x[k] > y[k] for x in rows if x[1] for y in rows if not y[1]) / (50 * 100)
+    assert math.isclose(r.delta, brute(2) - brute(3)) and r.low < r.delta < r.high
+    d = [x.delta for x in R.auc_null(df.withColumn("cell", F.lit("c")), 40).collect()]
+    assert len(d) == 40 and abs(sum(d) / 40) < 0.05
+    assert one(spark, X.banned_keys(F.col("t"), ["key", "role"]), t='{"a": {"key": 1}, "b": "say \\\\"role\\\\": x"}'.replace("\\\\", chr(92))) == ["key"]
+
+
 def test_loaders(spark, tmp_path):
     shapes = ['{"clauses": [{"clause_id": "c1", "atoms": [{"name": "a", "kind": "k"}, {"kind": "k"}]}]}', '{"atoms": [{"name": "a", "kind": "k", "quote_spans": [{"clause_id": "c1"}]}]}', '[{"name": "a", "kind": "k", "clause_id": "c1"}]']
     for s in shapes:

@@ -13,10 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session has none (tests, one machine) a temporary folder is made and set.
     """
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='cut-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='cut-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at

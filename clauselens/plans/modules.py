@@ -164,7 +164,7 @@ def competency_faults(t):
     return T.competency(c(100, 30), c(110, 28))
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT o_orderkey % 80 AS x, o_custkey % 80 AS y FROM orders WHERE o_orderkey < 120 AND o_orderkey % 80 <> o_custkey % 80), b AS (SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e), r AS (SELECT s_suppkey AS q, s_suppkey AS p FROM supplier WHERE s_suppkey < 4 UNION SELECT r.q, b.b FROM r JOIN b ON r.p = b.a) SELECT q, p FROM r")
 def defeat_reachability(t):
     b = t.orders.where("o_orderkey < 120").select((F.col("o_orderkey") % 80).alias("x"), (F.col("o_custkey") % 80).alias("y")).where("x <> y")
     return T.defeat_reach(t.supplier.where("s_suppkey < 4").select(F.col("s_suppkey").alias("q"), F.col("s_suppkey").alias("p")), b)

@@ -12,7 +12,7 @@ def python_ready(spark: SparkSession) -> None:
     """Arrow batches bounded by rows and bytes, so that long texts can't fill a worker, and this
     package's folder on the workers' path (where it isn't installed)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in have.split(os.pathsep):

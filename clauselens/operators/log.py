@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -65,16 +65,23 @@ def audit(artifacts: DataFrame, log: DataFrame, key: str) -> DataFrame:
 def final_names(renames: DataFrame) -> DataFrame:
     """(old, new): where each name ends after a log of renames (seq, old, new), each applying to names as they are then.
 
-    Chains are followed a link a round, later links only after earlier ones.
+    Each row's next is the first later row that renames its new name; chains are followed by pointer
+    doubling, so the rounds grow with the logarithm of the longest one. seq must not repeat. The rows
+    of one name are ordered by one task.
     """
+    w = Window.partitionBy("name").orderBy(F.desc("seq"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
     log = cut(renames.select("seq", "old", "new"))
-    now = cut(log.groupBy("old").agg(F.min(F.struct("seq", "new")).alias("f")).select("old", F.col("f.new").alias("new"), F.col("f.seq").alias("seq")))
-    while True:
-        nxt = log.select(F.col("old").alias("new"), F.col("seq").alias("s2"), F.col("new").alias("n2"))
-        step = now.join(nxt, "new").where("s2 > seq").groupBy("old").agg(F.min(F.struct("s2", "n2")).alias("f"))
-        if step.isEmpty():
-            return now.select("old", "new")
-        now = cut(now.join(step, "old", "left").select("old", F.coalesce("f.n2", "new").alias("new"), F.coalesce("f.s2", "seq").alias("seq")))
+    asked = log.select(F.col("new").alias("name"), "seq", F.lit(True).alias("asks"), "new")
+    said = log.select(F.col("old").alias("name"), "seq", F.lit(False).alias("asks"), "new")
+    later = F.last(F.when(~F.col("asks"), F.col("seq")), ignorenulls=True).over(w)
+    # at its own seq a row that renames a name to itself must not follow itself, so questions come first
+    at = cut(asked.union(said).withColumn("next", later).where("asks").select("seq", "new", "next"))
+    while not at.where("next is not null").isEmpty():
+        to = at.select(F.col("seq").alias("next"), F.col("new").alias("new2"), F.col("next").alias("next2"))
+        far = at.join(to, "next", "left")
+        at = cut(far.select("seq", F.coalesce("new2", "new").alias("new"), F.col("next2").alias("next")))
+    first = log.groupBy("old").agg(F.min("seq").alias("seq"))
+    return first.join(at, "seq").select("old", "new")
 
 
 def ready(parents: DataFrame, done: DataFrame) -> DataFrame:

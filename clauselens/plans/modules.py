@@ -147,7 +147,7 @@ def stratified_draw(t):
 
 @query()
 def readback_trials(t):
-    c = t.part.where("p_partkey < 300").select(F.col("p_partkey").alias("id"), F.lit(0).alias("doc"), F.col("p_brand").alias("section"), F.col("p_type").alias("kind"), F.concat("p_type", F.col("p_size") % 5).alias("signature"))
+    c = t.part.select(F.col("p_partkey").alias("id"), F.lit(0).alias("doc"), F.col("p_brand").alias("section"), F.col("p_type").alias("kind"), F.concat("p_type", F.col("p_size") % 5).alias("signature"))
     return Q.readback_trials(c, 4)
 
 

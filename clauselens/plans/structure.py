@@ -293,7 +293,7 @@ KERN = "WITH a AS (SELECT DISTINCT o_custkey % 60 AS p, CASE o_orderstatus WHEN
 
 def _kernel(t: Tables):
     d = F.when(F.col("o_orderstatus") == "F", "forbid").when(F.col("o_orderstatus") == "O", "oblige").otherwise("permit")
-    a = t.orders.where("o_orderkey < 300").select((F.col("o_custkey") % 60).alias("p"), d.alias("d"), (F.col("o_orderkey") % 12).alias("act"))
+    a = t.orders.select((F.col("o_custkey") % 60).alias("p"), d.alias("d"), (F.col("o_orderkey") % 12).alias("act")).distinct()
     b = a.select(F.col("p").alias("x")).distinct().join(a.select(F.col("p").alias("y")).distinct(), F.expr("x < y and (x + y) % 3 = 0"))
     return a, b
 
@@ -472,7 +472,7 @@ def usage_audit(t):
 
 @query()
 def rename_replay(t):
-    return L.final_names(t.orders.where("o_orderkey < 200").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 30).alias("old"), ((F.col("o_custkey") * 7 + 1) % 30).alias("new")))
+    return L.final_names(t.orders.select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 30).alias("old"), ((F.col("o_custkey") * 7 + 1) % 30).alias("new")))
 
 
 @query("WITH RECURSIVE p AS (SELECT DISTINCT c_nationkey + 1000 AS parent, c_custkey + 100000 AS child FROM customer UNION SELECT n_regionkey, n_nationkey + 1000 FROM nation), d AS (SELECT child AS id, 0 AS wave FROM p WHERE child NOT IN (SELECT parent FROM p)), w1 AS (SELECT parent AS id, 1 AS wave FROM p GROUP BY parent HAVING bool_and(child IN (SELECT id FROM d))), w2 AS (SELECT parent AS id, 2 AS wave FROM p GROUP BY parent HAVING bool_and(child IN (SELECT id FROM d UNION ALL SELECT id FROM w1)) AND NOT bool_and(child IN (SELECT id FROM d))) SELECT DISTINCT id, wave FROM (SELECT * FROM d UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2)")

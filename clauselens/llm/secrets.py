@@ -25,7 +25,7 @@ from .common import chars_before, documents, python_ready, slices, texts_of
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
-_KEYWORD = re.compile(rb"password|passwd|secret|token|api_?key")
+_KEYWORD = re.compile(rb"(?=password|passwd|secret|token|api_?key)")  # overlapping ones too
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_RANDOM = 12, 18, 16, 20
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))

@@ -27,7 +27,8 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _KEYWORD = re.compile(rb"(?=password|passwd|secret|token|api_?key)")  # overlapping ones too
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_RANDOM = 12, 18, 16, 20
+LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_RANDOM = 12, 18, 16, 16
+_SEGMENT = re.compile(rb"[^/_-]+")
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _KEY = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
 RUN_BYTES = 8 << 20
@@ -78,15 +79,35 @@ class RandomStrings:
     """Log-likelihood ratio by character of random strings against ordinary identifiers."""
 
     def __init__(self, strings: list[str], names: list[str], false_rate: float = FALSE_RATE):
-        fit = [s for i, s in enumerate(strings) if i % 4], [s for i, s in enumerate(names) if i % 4]
+        # names come in six forms by turns, so every fourth six are held out
+        fit = [s for i, s in enumerate(strings) if i % 4], [s for i, s in enumerate(names) if i // 6 % 4]
         self.ratio = Markov(fit[0]).log - Markov(fit[1]).log
-        held = np.array([self.score(s.encode()) for s in names[::4]] or [0.0])
+        held = np.array([self.best(s.encode()) for i, s in enumerate(names) if not i // 6 % 4] or [0.0])
         self.threshold = max(0.5, float(np.quantile(held, 1 - false_rate)) + 0.1)
 
     def score(self, raw: bytes) -> float:
         c = np.minimum(np.array([128, *raw, 128]), 128)
         return float(self.ratio[c[:-1], c[1:]].sum() / (len(raw) + 1))
 
+    def best(self, raw: bytes) -> float:
+        """The highest score of a run and of its segments that are long enough."""
+        return max([self.score(raw), *(self.score(m[0]) for m in _SEGMENT.finditer(raw) if len(m[0]) >= LEAST_RANDOM)])
+
+    def spans(self, raw: bytes) -> list[tuple[int, int]]:
+        """The parts of a run that look random: the whole, or else neighbouring segments that do."""
+        if self.score(raw) > self.threshold:
+            return [(0, len(raw))]
+        joined: list[list[int]] = []
+        near = False
+        for m in _SEGMENT.finditer(raw):
+            fits = self.score(m[0]) > self.threshold
+            if fits and near:
+                joined[-1][1] = m.end()
+            elif fits:
+                joined.append([*m.span()])
+            near = fits
+        return [(a, b) for a, b in joined if b - a >= LEAST_RANDOM and self.score(raw[a:b]) > self.threshold]
+
 
 @cache
 def trained() -> RandomStrings:
@@ -139,7 +160,7 @@ def spans_of(data: np.ndarray, at: np.ndarray, models: RandomStrings) -> list[li
     a, b = runs(_HEX[spread], LEAST_HEX)
     found += zip(a.tolist(), [2] * len(a), b.tolist(), strict=True)
     a, b = runs(_KEY[spread], LEAST_RANDOM)
-    found += [(x, 3, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if models.score(raw[x:y]) > models.threshold]
+    found += [(x + i, 3, x + j) for x, y in zip(a.tolist(), b.tolist(), strict=True) for i, j in models.spans(raw[x:y])]
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
     found.sort()
     if found:

@@ -2,15 +2,16 @@
 
 A text is reduced to its words, lower-cased and joined by single spaces. A notice of length m may
 differ in up to k edits: cut into k + 1 pieces, at least one piece stands unchanged in any match
-(pigeonhole), so exact finds of the pieces give all candidate windows. The regex library's
-bounded-error matching verifies the windows and reports spans and edits. Words that carry the
-meaning of a notice (names, version numbers) must stand unchanged.
+(pigeonhole), so exact finds of the pieces give all candidates: the few runs of whole words that
+begin and end near such a place. The regex library's bounded-error matching verifies each of them
+and counts its edits. Words that carry the meaning of a notice (names, version numbers) must stand
+unchanged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,15 +56,31 @@ def seeds(notice: str, k: int) -> list[tuple[int, bytes]]:
 
 @cache
 def compiled(notices: tuple = NOTICES) -> list[tuple]:
-    """Notice bytes, label, edits, needed words, base, pieces and the verifying pattern of each notice."""
+    """Notice bytes, label, edits, needed words, base, pieces and the verifier of each notice."""
     out = []
     for text, label, k, needed, base in notices:
-        body = regex.escape(text.encode(), special_only=True)
-        pattern = regex.compile(rb"(?<![^ \x00])(?:" + body + rb"){e<=%d}(?![^ \x00])" % k, regex.BESTMATCH)
-        out.append((text.encode(), label, k, {w.encode() for w in needed}, base, seeds(text, k), pattern))
+        pattern = regex.compile("(?:" + regex.escape(text, special_only=True) + "){e<=%d}" % k, regex.BESTMATCH)
+        out.append((text.encode(), label, k, {w.encode() for w in needed}, base, seeds(text, k), verifier(pattern, {w.encode() for w in needed})))
     return out
 
 
+#: Candidates whose edits a worker remembers, by notice.
+KNOWN = 50_000
+
+
+def verifier(pattern, needed: set[bytes]):
+    """A function from a candidate's bytes to its edits (in characters), or None where it isn't the notice."""
+
+    @lru_cache(KNOWN)
+    def edits(candidate: bytes) -> int | None:
+        if not needed <= set(candidate.split()):
+            return None
+        found = pattern.fullmatch(candidate.decode(errors="replace"))
+        return sum(found.fuzzy_counts) if found else None
+
+    return edits
+
+
 def finds(raw: bytes, piece: bytes) -> Iterator[int]:
     at = raw.find(piece)
     while at >= 0:
@@ -91,31 +108,51 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return low, origin, first
 
 
+def best_span(raw: bytes, a: int, size: int, k: int, edits) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the whole words around place a that come closest to a notice of this size.
+
+    An edit adds at most four bytes and takes away at most one, so that few words' ends have to be
+    looked at, however long the text is.
+    """
+    best = None
+    starts = [s for s in range(max(0, a - 4 * k), min(a + k, len(raw) - 1) + 1) if raw[s] not in FREE and (s == 0 or raw[s - 1] in FREE)]
+    ends = [e for e in range(max(1, a + size - k), min(a + size + 4 * k, len(raw)) + 1) if raw[e - 1] not in FREE and (e == len(raw) or raw[e] in FREE)]
+    for s in starts:
+        for e in ends:
+            if e > s and raw.find(0, s, e) < 0 and (n := edits(raw[s:e])) is not None and (best is None or (n, s, -e) < (best[0], best[1], -best[2])):
+                best = n, s, e
+    return best
+
+
+FREE = b" \x00"
+
+
 def search(low: np.ndarray, first: np.ndarray, notices: tuple = NOTICES) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int]]]:
-    """Base places and all verified spans of a batch: (start, end, label) and (start, end, label, edits) in bytes of low."""
+    """Base places and all verified spans of a batch: (start, end, label) and (start, end, label, edits) in bytes of low.
+
+    Each candidate is verified by itself, so the time grows with their number. Of spans of a notice
+    that overlap the one with fewer edits stays, of equals the first.
+    """
     raw = low.tobytes()
     base: list[tuple[int, int, str]] = []
     spans: list[tuple[int, int, str, int]] = []
-    free = b" \x00"
-    for text, label, k, needed, is_base, pieces, pattern in compiled(notices):
-        windows = []
-        for place, piece in pieces:
-            for p in finds(raw, piece):
-                a = p - place
-                windows.append((max(0, a - k), a + len(text) + k))
-                if is_base and place == 0 and raw.startswith(text, a) and (a == 0 or raw[a - 1] in free) and raw[a + len(text)] in free:
+    for text, label, k, _, is_base, pieces, edits in compiled(notices):
+        kept: list[tuple[int, int, int]] = []
+        for a in sorted({p - place for place, piece in pieces for p in finds(raw, piece)}):
+            if raw.startswith(text, max(a, 0)) and a >= 0 and (a == 0 or raw[a - 1] in FREE) and (a + len(text) == len(raw) or raw[a + len(text)] in FREE):
+                found = 0, a, a + len(text)
+                if is_base:
                     base.append((a, a + len(text), label))
-        windows.sort()
-        i = 0
-        while i < len(windows):
-            a, b = windows[i]
-            i += 1
-            while i < len(windows) and windows[i][0] <= b:
-                b = max(b, windows[i][1])
-                i += 1
-            for m in pattern.finditer(raw, a, min(b, len(raw))):
-                if b"\x00" not in m[0] and needed <= set(m[0].split()) and (m.start() == 0 or raw[m.start() - 1] in free) and (m.end() == len(raw) or raw[m.end()] in free):
-                    spans.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+            else:
+                found = best_span(raw, a, len(text), k, edits) if k else None
+            if found is None:
+                continue
+            if kept and found[1] < kept[-1][2]:
+                if found[0] < kept[-1][0]:
+                    kept[-1] = found
+            else:
+                kept.append(found)
+        spans += ((s, e, label, n) for n, s, e in kept)
     return base, spans
 
 

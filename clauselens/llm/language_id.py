@@ -29,7 +29,8 @@ ORDER, PER_LANGUAGE, FIT_CHARS = 5, 500, 50_000
 ALPHABET = 2000
 #: Share of the sample that calibrates rejection, and the entropy (nats) always allowed above the mean.
 HELD, SLACK = 4, 1.0
-RUN_BYTES, PIECE_BYTES = 1 << 20, 1 << 20
+#: Bytes of texts, and characters of them, that are scored at a time.
+RUN_BYTES, PLACES = 1 << 20, 1 << 20
 SPACE = 32
 _MULTIPLIER = np.random.default_rng(5).integers(1 << 62, 1 << 63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -110,14 +111,23 @@ class Models:
         return out
 
     def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-probabilities by language, and scored characters (0 without a letter), of each text."""
+        """Summed log-probabilities by language, and scored characters (0 without a letter), of each text.
+
+        Characters are scored some at a time, each with the ORDER - 1 before it, wherever a text ends.
+        """
         code, scored, starts = stream(data, at)
         n = np.add.reduceat(scored.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-        rows = self.log_probabilities(code, scored)
-        total = np.zeros((len(rows) + 1, len(self.languages)))
-        np.cumsum(rows, axis=0, dtype=np.float64, out=total[1:])
-        ends = np.r_[0, np.cumsum(n)]
-        return total[ends[1:]] - total[ends[:-1]], n
+        total = np.zeros((len(starts), len(self.languages)))
+        for i in range(0, len(code), PLACES):
+            before = max(0, i - ORDER + 1)
+            mine = scored[before : i + PLACES].copy()
+            mine[: i - before] = False
+            rows = self.log_probabilities(code[before : i + PLACES], mine)
+            if len(rows):
+                who = np.searchsorted(starts, np.flatnonzero(mine) + before, "right") - 1
+                new = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+                total[who[new]] += np.add.reduceat(rows, new, axis=0, dtype=np.float64)
+        return total, n
 
     def judge(self, logs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of the best language, its share (0 to 1) among all, and whether it is rejected."""
@@ -197,20 +207,10 @@ def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[s
 
 
 def _judged(models: Models, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Best language, share, rejection and scored characters of each text; long texts are scored in pieces cut at spaces."""
+    """Best language, share, rejection and scored characters of each text."""
     logs, count = np.zeros((len(at) - 1, len(models.languages))), np.zeros(len(at) - 1, np.int64)
     for i, j in slices(at, RUN_BYTES):
-        part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
-        if j > i + 1 or len(part) <= PIECE_BYTES:
-            logs[i:j], count[i:j] = models.score(part, own)
-            continue
-        spaces = np.flatnonzero(part == SPACE)
-        k = np.minimum(np.searchsorted(spaces, np.arange(PIECE_BYTES, len(part), PIECE_BYTES)), max(0, len(spaces) - 1))
-        cuts = np.unique(np.r_[0, spaces[k] if len(spaces) else [], len(part)].astype(np.int64))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            x, n = models.score(part[a:b], np.array([0, b - a]))
-            logs[i] += x[0]
-            count[i] += n[0]
+        logs[i:j], count[i:j] = models.score(data[at[i] : at[j]], at[i : j + 1] - at[i])
     return *models.judge(logs, count), count
 
 

@@ -7,7 +7,7 @@ from .chat_format import OP8_SQL, op8_query
 from .exact_dedup import OP5_SQL, op5_query
 from .language_id import op1_query
 from .license_scan import op9_query
-from .packing import op4_query
+from .packing import OP4_SQL, op4_query
 from .secrets import op10_query
 from .simhash import op7_query
 from .token_files import op2_query
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_secret_scan": op10_query,
 }
 ORACLE = {
+    "op4_length_buckets": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_chat_format": OP8_SQL,
 }

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations, groupby
@@ -11,6 +12,7 @@ from itertools import combinations, groupby
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -296,10 +298,23 @@ def test_best_boundaries():
         longest, count, buckets = sorted(rng.sample(range(1, 50), n)), [rng.randint(1, 5) for _ in range(n)], rng.randint(1, 4)
         pad = lambda tops: sum(c * (min(u for u in tops if u >= x) - x) for x, c in zip(longest, count, strict=True))
         best = min(pad([*(longest[i] for i in cut), longest[-1]]) for b in range(buckets) for cut in combinations(range(n - 1), min(b, n - 1)))
-        bounds, padding = packing.best_boundaries(np.array(count), np.array(count) * np.array(longest), np.array(longest), buckets)
+        bounds, padding = packing.best_boundaries(np.array(longest), np.array(count), buckets)
         assert padding == best == pad(bounds)
 
 
+def test_boundaries_equal_the_quadratic_program():
+    rng = np.random.default_rng(4)
+    for n, buckets in ((200, 12), (61, 3), (5, 12)):
+        length, count = np.sort(rng.choice(10_000, n, replace=False)) + 1, rng.integers(1, 50, n)
+        c, s = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(count * length)]
+        cost = [0] + [10**15] * n
+        for _ in range(buckets):
+            cost = [min([cost[j]] + [cost[i] + (c[j] - c[i]) * length[j - 1] - (s[j] - s[i]) for i in range(j)]) for j in range(n + 1)]
+        bounds, padding = packing.best_boundaries(length, count, buckets)
+        top = length[np.searchsorted(length, np.array(bounds)[np.searchsorted(bounds, length)])]
+        assert padding == cost[n] == ((top - length) * count).sum() and len(bounds) <= buckets
+
+
 def test_pack(docs, rows, empty, spark):
     got = packing.pack(docs, buckets=4, tokens=500).collect()
     assert Counter((r.doc_id, r.length) for r in got) == Counter((r[0], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) + 1) for r in rows)
@@ -311,8 +326,16 @@ def test_pack(docs, rows, empty, spark):
         assert sorted(r.place for r in b) == list(range(len(b)))
         assert len(b) == 1 or len(b) * b[0].bucket_len <= 500
     assert packing.pack(empty).count() == 0
-    lens = spark.range(1, 200_000, 37).select(F.col("id").alias("n"), packing.length_bin(F.col("id")).alias("b")).orderBy("n").collect()
-    assert all(x.b <= y.b for x, y in zip(lens, lens[1:], strict=False)) and all(0 <= r.n - r.b < max(1, r.n / 128) for r in lens)
+    for b in packing.batches(packing.pack(docs, buckets=4, tokens=500)).collect():
+        rows_of = sorted(batches[b.bucket, b.batch], key=lambda r: r.place)
+        assert b.doc_ids == [r.doc_id for r in rows_of] and (b.docs, b.tokens, b.padding) == (len(rows_of), sum(r.length for r in rows_of), sum(r.padding for r in rows_of))
+
+
+def test_ties_of_one_id_are_dealt_out(spark):
+    """A third of all rows under one id, and null ids."""
+    df = spark.createDataFrame([(7 if i % 3 else None, "w " * (i % 5)) for i in range(300)], "doc_id bigint, text string")
+    got = packing.pack(df, buckets=2, tokens=20).collect()
+    assert len(got) == 300 and len({(r.bucket, r.batch, r.place) for r in got}) == 300
 
 
 # --- chat -----------------------------------------------------------------------------------------
@@ -365,6 +388,52 @@ def test_fuzzy_notices(spark):
     assert got == ["mit", "", "gpl", "", "", "cc-by-nc"]
 
 
+def test_accents_are_one_edit(spark):
+    rows = [(0, "GNU Général Public License"), (1, "under thé mit license"), (2, "permission is héreby granted free öf chärge")]
+    got = [r.spans for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert got == ["", "mit:0:21:1", "mit:0:43:3"]
+
+
+def test_fuzzy_search_equals_a_look_at_all_runs_of_words():
+    rng = random.Random(12)
+    for _ in range(60):
+        words = []
+        for _ in range(12):
+            text = list(rng.choice(license_scan.NOTICES)[0])
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(len(text))] = rng.choice(["", "x", "é", "xy", " "])
+            words += ["".join(text), rng.choice(["", "of", "mit"])]
+        low, _, first = license_scan.words_of(*texts_of(pa.array([" ".join(words)])))
+        raw = low.tobytes()
+        got = {}
+        for s, e, label, n in license_scan.search(low, first)[1]:
+            got.setdefault(label, []).append((s, e, n))
+        at = [m.span() for m in re.finditer(rb"[^ \x00]+", raw)]
+        for text, label, k, needed, _ in license_scan.NOTICES:
+            pattern = regex.compile(f"(?:{text}){{e<={k}}}", regex.BESTMATCH)
+            for i, (s, _) in enumerate(at):
+                for _, e in at[i:]:
+                    if abs(e - s - len(text)) <= 4 * k and set(needed) <= set(raw[s:e].decode().split()) and pattern.fullmatch(raw[s:e].decode()):
+                        assert any(x < e and s < y for x, y, _ in got.get(label, [])), (text, raw[s:e])
+        for label, spans in got.items():
+            for s, e, n in spans:
+                assert any(m and sum(m.fuzzy_counts) == n for text, other, k, *_ in license_scan.NOTICES if other == label for m in [regex.compile(f"(?:{text}){{e<={k}}}", regex.BESTMATCH).fullmatch(raw[s:e].decode())])
+
+
+def test_misspelt_notices_take_linear_time():
+    rng = random.Random(6)
+    parts, size = [], 0
+    while size < 5 << 20:
+        text = list(rng.choice(license_scan.NOTICES)[0])
+        text[rng.randrange(len(text))] = rng.choice("abcdefgh")
+        parts.append("".join(text))
+        size += len(text) + 1
+    low, _, first = license_scan.words_of(*texts_of(pa.array([" ".join(parts)])))
+    began = time.process_time()
+    _, spans = license_scan.search(low, first)
+    assert time.process_time() - began < 20 and len(spans) > 50_000
+
+
 def test_pigeonhole_pieces_make_up_the_notice():
     for text, _, k, _, _ in license_scan.NOTICES:
         pieces = license_scan.seeds(text, k)
@@ -485,12 +554,19 @@ def test_labelled_sample(docs, spark):
     assert language_id.labelled_sample(docs)["en"]
 
 
-def test_long_text_is_scored_whole(models):
+def test_long_text_is_scored_whole(models, monkeypatch):
+    """Scores don't depend on the number of characters that are scored at a time, spaces or not."""
     rng = random.Random(2)
-    long = tongue(rng, "bb", 400_000)
-    best, _, rejected, n = language_id._judged(models, *texts_of(pa.array([long, "ka lo mi"])))
-    assert models.languages[best[0]] == "bb" and models.languages[best[1]] == "aa" and not rejected[0]
-    assert abs(int(n[0]) - len(long)) < 20
+    long = tongue(rng, "bb", 60_000)
+    texts = [long, "ka lo mi", long.replace(" ", "\n"), long.replace(" ", ""), "", "é" * 1000]
+    want, n = models.score(*texts_of(pa.array(texts)))
+    assert abs(int(n[0]) - len(long)) < 20 and n[4] == 0
+    for places in (1000, 4099):
+        monkeypatch.setattr(language_id, "PLACES", places)
+        got, m = models.score(*texts_of(pa.array(texts)))
+        assert np.allclose(got, want, rtol=1e-12) and (m == n).all()
+    best, _, rejected, _ = language_id._judged(models, *texts_of(pa.array(texts)))
+    assert [models.languages[b] for b in best[:3]] == ["bb", "aa", "bb"] and not rejected[0]
 
 
 def test_bits_for_similarity():

@@ -1,4 +1,4 @@
-"""Scalar text functions over columns: normalising, tokens, locators, notation, forces.
+"""Scalar text functions over columns: normalising, tokens, locators, sentences, names.
 
 All are JVM-side expressions. Where a value list must equal a published one it stands under "fixed values".
 """
@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +84,39 @@ def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.array([known[w] for w in distinct], object)[codes] if len(distinct) else [])
 
 
+def counted_stems(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, term, tf): how often each stem stands in each row's text; no row for a null or empty text. One pass, nothing is shuffled.
+
+    Words are found on the JVM; a batch's words are numbered by Arrow, and only distinct ones are stemmed.
+    A row is one text: if an id is on several rows, each gives its own counts.
+    """
+    python_ready(docs.sparkSession)
+    kind = docs.schema[id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = dict.fromkeys(STOPWORDS, "")
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if len(known) > KNOWN_STEMS:
+                known = dict.fromkeys(STOPWORDS, "")
+            for w in distinct:
+                if w not in known:
+                    known[w] = stem(w)
+            number, terms = pd.factorize(np.array([known[w] for w in distinct], object)) if distinct else (np.zeros(0, np.int64), np.zeros(0, object))
+            code = number[coded.indices.to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+            real = np.array([t != "" for t in terms], bool)[code] if len(terms) else np.zeros(0, bool)
+            key, tf = np.unique(row[real] * max(1, len(terms)) + code[real], return_counts=True)
+            row, code = np.divmod(key, max(1, len(terms)))
+            for i in range(0, len(key), 1 << 18):
+                part = slice(i, i + (1 << 18))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[part])), pa.array(list(terms[code[part]]), pa.string()), pa.array(tf[part], pa.int64())], ["id", "term", "tf"])
+
+    return docs.select(F.col(id).alias("id"), raw_words(F.col(text)).alias("w")).mapInArrow(run, f"id {kind}, term string, tf bigint")
+
+
 def stemmed_rows(rows: DataFrame, word: str) -> DataFrame:
     """rows with a column of raw words stemmed, stop words and empty stems left out.
 
@@ -93,148 +128,133 @@ def stemmed_rows(rows: DataFrame, word: str) -> DataFrame:
     return rows.where(~F.col(word).isin(STOPWORDS)).withColumn(word, stems(F.col(word))).where(F.col(word) != "")
 
 
+#: What a quoted line loses, in order: footnote marks, the marks of cross references (their anchor stays), link targets, a list mark.
+LINE_MARKS = ((r"\[\^[^\]]+\]", ""), (r"\[\?\]\((#[A-Za-z0-9_-]+)\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"^(?:[-*+]|\d+[.)])\s+", ""))
+
+
+def squeezed(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def citation_text(text: Column) -> Column:
-    """Footnote marks, link targets, list marks and runs of blanks taken out of a quoted line."""
-    for pattern, by in ((r"\[\^[^\]]*\]", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"^\s*(?:[-*+]|\d+[.)])\s+", ""), (r"\s+", " ")):
+    """A quoted line as it is cited: LINE_MARKS taken out, white space squeezed."""
+    for pattern, by in LINE_MARKS:
         text = F.regexp_replace(text, pattern, by)
-    return F.trim(text)
+    return squeezed(text)
 
 
 def match_text(text: Column) -> Column:
-    """citation_text() with quotes and dashes folded, for searching only."""
-    return F.translate(citation_text(text), "‘’“”–—", "''\"\"--")
+    """citation_text() with quotes folded, an ellipsis as three dots and any dash or run of hyphens as one, for searching only."""
+    folded = F.replace(F.translate(citation_text(text), "‘’“”–—", "''\"\"--"), F.lit("…"), F.lit("..."))
+    return squeezed(F.regexp_replace(folded, "-{2,}", "-"))
+
 
+#: What a containment join takes out of a text: footnote marks and emphasis.
+JOIN_NOISE = r"\[\^[a-z0-9]+\]|\*\*|\*|`"
+LINK = r"\[([^\]]*)\]\(([^)]*)\)"
 
-def join_text(text: Column) -> Column:
-    """The form that containment joins compare: emphasis gone too, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(match_text(text), r"[*_`]+", ""), r"\s+", " ")))
+
+def join_text(text: Column, part: int = 1) -> Column:
+    """The form that containment joins compare: links as their text (part 1) or target (2), JOIN_NOISE gone, white space squeezed. Null is empty."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[\^[a-z0-9]+\]", "")
+    return squeezed(F.regexp_replace(F.regexp_replace(bare, LINK, f"${part}"), JOIN_NOISE, ""))
 
 
 def link_variants(text: Column) -> Column:
-    """Distinct renderings of a text with links: as link text, as link target."""
-    target = F.regexp_replace(text, r"!?\[([^\]]*)\]\(([^)]*)\)", "$2")
-    return F.array_distinct(F.array(join_text(text), join_text(target)))
+    """Distinct renderings of a text: all links as text, all as target."""
+    return F.when(text.rlike(LINK), F.array_distinct(F.array(join_text(text), join_text(text, 2)))).otherwise(F.array(join_text(text)))
+
 
+#: Renderings of a text beyond which only the two uniform ones count (a fixed value).
+MOST_VARIANTS = 8
 
-def mixed_link_variants(text: Column, most: int = 3) -> Column:
-    """Every choice of text or target for each of up to three links, else the uniform pair."""
-    link = r"!?\[([^\]]*)\]\(([^)]*)\)"
-    links = F.regexp_count(text, F.lit(link))
-    first = lambda c, by: F.regexp_replace(c, r"^(.*?)" + link, "$1" + by)
-    every = F.array(text)
+
+def mixed_link_variants(text: Column) -> Column:
+    """Distinct renderings with every choice of text or target for each link; the two uniform ones where these would be over MOST_VARIANTS."""
+    most = MOST_VARIANTS.bit_length() - 1
+    links = F.regexp_count(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[\^[a-z0-9]+\]", ""), F.lit(LINK))
+    first = lambda c, by: F.regexp_replace(c, r"(?s)\A(.*?)" + LINK, "$1" + by)
+    every = F.array(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[\^[a-z0-9]+\]", ""))
     for _ in range(most):
         every = F.flatten(F.transform(every, lambda c: F.array(first(c, "$2"), first(c, "$3"))))
-    return F.when(links <= most, F.array_distinct(F.transform(every, join_text))).otherwise(link_variants(text))
+    return F.when(text.rlike(LINK) & (links <= most), F.array_distinct(F.transform(every, lambda x: join_text(x)))).otherwise(link_variants(text))
 
 
-def locator(version: Column, path: Column, line: Column, name: Column) -> Column:
-    """version > path > Lline [name]"""
-    return F.concat_ws(" > ", version, path, F.concat(F.lit("L"), line.cast("string"), F.lit(" ["), name, F.lit("]")))
+def locator(version: Column, path: Column, line: Column, name: Column | None = None) -> Column:
+    """version > path > Lline [name]; without a name it isn't unique."""
+    at = F.concat_ws(" > ", version, path, F.concat(F.lit("L"), line.cast("string")))
+    return at if name is None else F.when(name.isNull(), at).otherwise(F.concat(at, F.lit(" ["), name, F.lit("]")))
 
 
 def parse_locator(text: Column) -> Column:
-    """struct(version, section, b1, b2, s1, s2) of ``version > section > B1-2.S1-3``; missing parts are null."""
-    part = lambda p, k: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
-    tail = r"> B(\d+)(?:-(\d+))?(?:\.S(\d+)(?:-(\d+))?)?$"
-    number = lambda k: part(tail, k).cast("int")
+    """struct(spec, version, section, b1, s1, b2, s2, error) of ``spec@2025-12-18 > #anchor > ¶2 s1-3`` or ``... > ¶2 s1 - ¶4 s2``.
+
+    Blocks and sentences count from 1; a place without sentences means whole blocks. What can't be read gives the error.
+    """
+    parts = F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s*[>›]\s*")
+    part = lambda c, p, k: F.nullif(F.regexp_extract(c, p, k), F.lit(""))
+    head = r"^([a-z-]+)(?:@(\d{4}-\d{2}-\d{2}))?$"
+    last = F.try_element_at(parts, F.lit(-1))
+    placed = (F.size(parts) > 1) & last.rlike(r"^(?:¶|[pP])\d")
+    place = F.when(placed, F.replace(last, F.lit(" "), F.lit("")))
+    form = r"^(?:¶|[pP])(\d+)(?:[sS](\d+)(?:-(?:[sS]?(\d+)|(?:¶|[pP])(\d+)[sS](\d+)))?)?$"
+    n = lambda k: part(place, form, k).cast("int")
+    error = F.when(~parts[0].rlike(head), "bad spec identifier").when(placed & ~place.rlike(form), "bad position")
+    ok = error.isNull()
     return F.struct(
-        part(r"^([^>]+?) >", 1).alias("version"), part(r"> #?([^>]+?) >", 1).alias("section"),
-        number(1).alias("b1"), F.coalesce(number(2), number(1)).alias("b2"), number(3).alias("s1"), F.coalesce(number(4), number(3)).alias("s2"),
+        F.when(ok, part(parts[0], head, 1)).alias("spec"), F.when(ok, part(parts[0], head, 2)).alias("version"),
+        F.when(ok, F.nullif(F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1 - placed.cast("int"), F.lit(0))), " > "), F.lit(""))).alias("section"),
+        F.when(ok, n(1)).alias("b1"), F.when(ok, n(2)).alias("s1"), F.when(ok, F.coalesce(n(4), n(1))).alias("b2"), F.when(ok, F.coalesce(n(5), n(3), n(2))).alias("s2"), error.alias("error"),
     )
 
 
 def locator_anchor(text: Column) -> Column:
     """The anchor of ``> #anchor >``, or null."""
-    return F.nullif(F.regexp_extract(text, r"> #([^ >]+) >", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, r">\s*#([A-Za-z0-9_-]+)\s*>", 1), F.lit(""))
 
 
-#: Text that ends in one of these isn't the end of a sentence.
-ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "vs.", "cf.", "Mr.", "Mrs.", "Ms.", "Dr.", "St.", "No.", "Fig.", "al.", "approx.", "Inc.", "Ltd.")
+# Words before a full stop that doesn't end a sentence.
+ABBREVIATIONS = ("e.g", "i.e", "etc", "vs", "cf", "al", "approx", "no", "vol", "dr", "mr", "mrs", "ms", "st", "jr", "sr", "u.s", "u.k")
+_SHORT = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+_CLOSERS = "[\"'’”)\\]]"
 
 
 def sentences(text: Column) -> Column:
-    """Sentences: a boundary is .!? with closers, then blanks, then a capital, digit, quote or bracket, and no abbreviation before."""
-    guarded = text
-    for a in ABBREVIATIONS:
-        guarded = F.regexp_replace(guarded, r"(?<![A-Za-z])" + a.replace(".", r"\."), a.replace(".", "\u0001"))
-    marked = F.regexp_replace(guarded, r"([.!?][\"')\]]*)\s+(?=[\"'(\[]*[A-Z0-9À-Þ])", "$1\u0002")
-    parts = F.transform(F.split(F.translate(marked, "\u0001", "."), "\u0002"), F.trim)
+    """Sentences: a boundary is the one space after .!? and closers where a capital, digit, quote, bracket, * or # follows, unless an abbreviation stands before."""
+    after = rf"(?<=[.!?]{_CLOSERS}{{0,9}}) (?=[\p{{Lu}}\p{{Nd}}\"'‘“(\[*#])"
+    short = rf"(?<!(?:^|[\s(])(?i:{_SHORT})[.!?]{{0,9}}\.{_CLOSERS}{{0,9}})"
+    parts = F.transform(F.split(F.regexp_replace(text, short + after, "\u0002"), "\u0002"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
 
 
-def span_text(blocks: Column, place: Column) -> Column:
-    """Blocks b1 to b2 of an array of blocks, sentences s1 to s2 of those if given; null if out of range."""
-    chosen = F.array_join(F.slice(blocks, place["b1"], place["b2"] - place["b1"] + 1), " ")
-    parts = sentences(chosen)
-    fits = (place["b1"] >= 1) & (place["b2"] >= place["b1"]) & (place["b2"] <= F.size(blocks))
-    inner = F.when((place["s1"] >= 1) & (place["s2"] >= place["s1"]) & (place["s2"] <= F.size(parts)), F.array_join(F.slice(parts, place["s1"], place["s2"] - place["s1"] + 1), " "))
-    return F.when(fits, F.when(place["s1"].isNull(), chosen).otherwise(inner))
-
-
-# Modal words of each force, cues of defeat, principals.
-FORCES = {"must": ("must", "shall", "required", "always"), "should": ("should", "ought", "encouraged"), "may": ("may", "can", "could", "might", "permitted")}
-NEGATED = {"must": "mustnot", "should": "shouldnot", "may": "maynot"}
-DEFEATERS = ("unless", "except", "however", "but", "although", "though", "otherwise", "instead", "only if")
-PRINCIPALS = ("third_party", "user", "operator", "developer", "assistant", "platform", "guardian")
-
-
-def forces(text: Column) -> Column:
-    """Deontic forces in fixed order; a modal followed by a negation gives the negated force, and ``never`` counts as mustnot."""
-    low, found = F.lower(F.coalesce(text, F.lit(""))), []
-    for force, modals in FORCES.items():
-        modal = "|".join(modals)
-        found.append(F.when(low.rlike(rf"\b(?:{modal})\b(?! not\b|n't\b|not\b)"), F.lit(force)))
-        found.append(F.when(low.rlike(rf"\b(?:{modal})(?: not\b|n't\b|not\b)") | (low.rlike(r"\bnever\b") if force == "must" else F.lit(False)), F.lit(NEGATED[force])))
-    return F.array_compact(F.array(*found))
+FENCED = r"(?m)^(?:```|~~~)"
 
 
-def defeaters(text: Column) -> Column:
-    """Cues of defeat that a text holds, in list order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(low.rlike(rf"\b{cue}\b"), F.lit(cue)) for cue in DEFEATERS)))
-
-
-def principals(text: Column) -> Column:
-    """Distinct principals that a text names."""
-    return F.array_intersect(F.array(*map(F.lit, PRINCIPALS)), F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z_]+"))
-
-
-def classify(text: Column) -> Column:
-    """struct(forces, defeaters, principals, categories) of a clause."""
-    f, d, p = forces(text), defeaters(text), principals(text)
-    categories = F.array_compact(F.array(F.when(F.size(f) > 0, "norm"), F.when(F.size(d) > 0, "exception"), F.when(F.size(p) > 0, "party"), F.when(F.size(f) + F.size(d) + F.size(p) == 0, "plain")))
-    return F.struct(f.alias("forces"), d.alias("defeaters"), p.alias("principals"), categories.alias("categories"))
-
-
-def parse_name(name: Column) -> Column:
-    """struct(polarity, stem, principals, error) of ``[not_]stem[__principal...]``; any failure gives the error alone."""
-    chain = "|".join(PRINCIPALS)
-    good = name.rlike(rf"^(?:not_)?[a-z][a-z0-9]*(?:_[a-z0-9]+)*(?:__(?:{chain}))*$")
-    bare = F.regexp_replace(name, r"__.*$", "")
-    negative = bare.startswith("not_")
-    return F.struct(
-        F.when(good, F.when(negative, "neg").otherwise("pos")).alias("polarity"),
-        F.when(good, F.regexp_replace(bare, "^not_", "")).alias("stem"),
-        F.when(good, F.filter(F.slice(F.split(name, "__"), 2, 20), lambda x: x != "")).alias("principals"),
-        F.when(~good, F.concat(F.lit("cannot parse "), name)).alias("error"),
-    )
-
+def span_text(blocks: Column, place: Column) -> Column:
+    """What a parse_locator() place covers of an array of raw blocks: blocks b1 to b2, from sentence s1 of the first to s2 of the last, joined by a blank line.
 
-def format_name(parsed: Column) -> Column:
-    """The inverse of parse_name()."""
-    head = F.concat(F.when(parsed["polarity"] == "neg", "not_").otherwise(""), parsed["stem"])
-    return F.concat_ws("__", F.array(head), parsed["principals"])
+    A block with a fence counts as a whole, as it stands. Out of range is null.
+    """
 
+    def covered(place):
+        last = F.coalesce(place["b2"], F.lit(0))
 
-def dechained(name: Column) -> Column:
-    """Polarity and stem, the chain of principals cut off."""
-    return F.regexp_replace(name, "__.*$", "")
+        def one(x, i):
+            n, said = i + place["b1"], x["said"]
+            lo = F.when((n == place["b1"]) & place["s1"].isNotNull(), place["s1"]).otherwise(F.lit(1))
+            hi = F.when((n == last) & place["s2"].isNotNull(), place["s2"]).otherwise(F.size(said))
+            some = F.when((lo >= 1) & (hi >= lo) & (hi <= F.size(said)), F.array_join(F.slice(said, F.greatest(lo, F.lit(1)), F.greatest(hi - lo + 1, F.lit(0))), " "))
+            return F.when(x["raw"].rlike(FENCED), x["raw"]).otherwise(some)
 
+        fits = (place["b1"] >= 1) & (last >= place["b1"]) & (last <= F.size(blocks))
+        chosen = F.slice(blocks, F.greatest(F.coalesce(place["b1"], F.lit(1)), F.lit(1)), F.greatest(last - place["b1"] + 1, F.lit(0)))
+        split = F.transform(chosen, lambda b: F.struct(b.alias("raw"), sentences(citation_text(b)).alias("said")))
+        return F.struct(fits.alias("fits"), F.transform(split, one).alias("texts"))
 
-def principal_named(stem: Column) -> Column:
-    """The principal that a stem is, else its last part if that is one."""
-    last = F.element_at(F.split(stem, "_"), -1)
-    return F.when(stem.isin(*PRINCIPALS), stem).when(last.isin(*PRINCIPALS), last)
+    # one-element arrays, so that a place is read and blocks are split once, not at each mention
+    found = F.transform(F.array(place), covered)
+    return F.transform(found, lambda x: F.when(x["fits"] & ~F.exists(x["texts"], F.isnull), F.array_join(x["texts"], "\n\n")))[0]
 
 
 # Tiers of modal strength.
@@ -270,13 +290,35 @@ def mentions(text: Column, name: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9_]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.lower(name), F.lit(" ")))
 
 
+# Words that a vocabulary key leaves out, words that name the same thing, and parties whose order counts.
+KEY_STOPWORDS = "the a an in on is are be being was that this it its and or with has have".split()
+SYNONYMS = {
+    "query": "request", "prompt": "request", "ask": "request", "question": "request", "message": "request",
+    "unclear": "ambiguous", "vague": "ambiguous", "ambiguity": "ambiguous", "underspecified": "ambiguous",
+    "assistant": "model", "ai": "model", "chatbot": "model", "human": "user", "person": "user",
+    "reply": "response", "answer": "response", "output": "response",
+    "decline": "refuse", "refusal": "refuse", "refused": "refuse",
+    "harmful": "harm", "unsafe": "harm", "danger": "harm", "dangerous": "harm", "risky": "harm",
+    "truthful": "honest", "honesty": "honest", "truthfulness": "honest",
+    "instruction": "instruction", "directive": "instruction", "command": "instruction",
+}
+ORDERED_PARTIES = "user operator developer model assistant system root guideline platform human third_party party".split()
+
+
+def name_words(name: Column) -> Column:
+    """The words of a name that carry meaning, in order: lower case, synonyms folded, singular, no stop words."""
+    fold = F.create_map(*(F.lit(x) for pair in SYNONYMS.items() for x in pair))
+    single = lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+    words_ = F.transform(F.split(F.lower(F.coalesce(name, F.lit(""))), "_"), lambda w: F.coalesce(F.try_element_at(fold, w), F.try_element_at(fold, single(w)), single(w)))
+    return F.filter(words_, lambda w: (w != "") & ~w.isin(KEY_STOPWORDS))
+
+
 def vocab_key(name: Column) -> Column:
-    """Sorted distinct parts of a name, singular and without stop words; the order of two or more principals is appended."""
-    parts = F.split(F.lower(name), "_+")
-    single = F.transform(parts, lambda w: F.when(w.rlike("[^s]s$") & (F.length(w) > 3), F.regexp_replace(w, "s$", "")).otherwise(w))
-    kept = F.array_sort(F.array_distinct(F.filter(single, lambda w: (~w.isin([x for x in STOPWORDS if x not in ("no", "nor", "not")])) & (w != ""))))
-    named = F.filter(parts, lambda w: w.isin(*PRINCIPALS))
-    return F.concat(F.array_join(kept, " "), F.when(F.size(named) > 1, F.concat(F.lit("|"), F.array_join(named, ">"))).otherwise(""))
+    """Sorted distinct name_words(); where two parties or more are named, their order is appended."""
+    kept = name_words(name)
+    named = F.filter(kept, lambda w: w.isin(ORDERED_PARTIES))
+    key = F.array_join(F.array_sort(F.array_distinct(kept)), " ")
+    return F.when(F.size(named) >= 2, F.concat(key, F.lit(" | "), F.array_join(named, ">"))).otherwise(key)
 
 
 def gloss_is_empty(name: Column, gloss: Column) -> Column:
@@ -290,6 +332,59 @@ def phrase_coverage(phrase: Column, text: Column) -> Column:
     return F.when(F.size(p) > 0, F.size(F.array_intersect(p, tokens(text))) / F.size(p)).otherwise(F.lit(0.0))
 
 
+# Words by which a phrase carries a party, a duty, a trigger, an exception or a precedence.
+PHRASE_WORDS = {
+    "party": (
+        r"assistant|users?|user's|developers?|developer's|openai|gpt-\d|system|root|operator|administrators?|end users?|third part\w*|humans?|people|person|"
+        r"minors?|teens?|adolescent|adults?|u18|under-18|parent|guardian|counselor|doctor|caregivers?|customers?|audience|sub-?agents?|non-users|platform|organization|account"
+    ),
+    "deontic": (
+        r"must|should|shall|may|cannot|can't|required?|requires|requirement|prohibit\w*|prohibition|forbidden|allow\w*|permit\w*|permission|encourage[ds]?|advised|"
+        r"defaults?|do not|don't|never|rules out|avoid\w*|avoidance|obligat\w*|mandat\w*|restrict\w*|not required"
+    ),
+    "trigger": (
+        r"when|whenever|if|in cases where|depending on|upon|during|conditions?|occurs when|applies when|triggers?|only after|as appropriate|when appropriate|in those cases|under high"
+    ),
+    "exception": (
+        r"except|exceptions?|unless|other than|does not apply|only when|only if|aside from|carve-?out|but not|apart from|barring|outside|non-exhaustive"
+    ),
+    "precedence": (
+        r"precedes?|preceded|precedence|overrides?|overriding|overrode|priority|prioriti\w*|higher-level|higher-authority|higher level|higher-order|supersed\w*|supersession|"
+        r"subject to|ranks? (?:below|above)|outrank\w*|takes? priority|takes? precedence|preferred over|less preferred|far below|ranks? \w+|hierarch\w*|chain of command|authority"
+    ),
+}
+
+
+def phrase_categories(phrase: Column) -> Column:
+    """What a phrase carries, in the order of PHRASE_WORDS; empty for none of them. Styles and missions aren't parties, nor is a model spec."""
+    low = F.lower(F.coalesce(phrase, F.lit("")))
+    has = {k: low.rlike(rf"\b(?:{p})\b") for k, p in PHRASE_WORDS.items()}
+    has["party"] = (has["party"] & ~low.rlike("human-like|humanity")) | (low.rlike(r"\bmodels\b") & ~low.contains("model spec"))
+    return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in has.items())))
+
+
+# Words that a count cosine leaves out.
+COUNT_STOPWORDS = (
+    "the a an and or of to in for with on by is are be as that this it its not no from at into under over any all one such when if then does do "
+    "should must may can could would will has have had was were been"
+).split()
+
+
+def counted_words(text: Column) -> Column:
+    """map of word to count, for count_cosine()."""
+    said = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z0-9_]+"), F.lit(0))
+    kept = F.filter(said, lambda w: ~w.isin(COUNT_STOPWORDS))
+    return F.map_from_entries(F.transform(F.array_distinct(kept), lambda w: F.struct(w, F.size(F.filter(kept, lambda x: x == w)))))
+
+
+def count_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two texts' word counts, with 1e-9 beside the norms."""
+    x, y = counted_words(a), counted_words(b)
+    square = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    dot = F.aggregate(F.map_entries(x), F.lit(0.0), lambda s, e: s + e["value"].cast("double") * F.coalesce(F.try_element_at(y, e["key"]), F.lit(0)))
+    return dot / (F.sqrt(square(x)) * F.sqrt(square(y)) + F.lit(1e-9))
+
+
 def content_hash(*columns: Column) -> Column:
     """SHA-256 of columns joined by U+0001, nulls as U+0002."""
     return F.sha2(F.concat_ws("\u0001", *(F.coalesce(c.cast("string"), F.lit("\u0002")) for c in columns)), 256)

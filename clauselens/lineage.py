@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, one machine) a temporary folder is made and set.
+    Only where the session has none and runs on one machine (a local master, as in tests) a temporary
+    folder is made and set. On a cluster that is an error, as executors would write to their own disks.
     """
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='cut-')}"
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='cut-')}"
+        atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing will read again; one that isn't there is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
 import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import python_ready
+from .components import components
 from .rules import outcomes, reachable
 
 
@@ -26,10 +27,13 @@ def applicability(heads: DataFrame, bodies: DataFrame, situation: DataFrame) ->
 
 
 def defeat_reach(governing: DataFrame, beats: DataFrame) -> DataFrame:
-    """(q, p): passages connected with a governing one through beats, in either direction and at any depth. governing (q, p), beats (x, y)."""
-    both = beats.select(F.col("x").alias("a"), F.col("y").alias("b")).union(beats.select("y", "x"))
-    r = reachable(both).select(F.col("a").alias("p"), F.col("b").alias("other"))
-    return governing.select("q", "p").union(governing.join(r, "p").select("q", "other")).distinct()
+    """(q, p): passages connected with a governing one through beats, in either direction and at any depth. governing (q, p), beats (x, y).
+
+    That is the connected component, so its label is joined, once for each query and component.
+    """
+    at = components(beats.select(F.col("x").alias("u"), F.col("y").alias("v"))).withColumnRenamed("node", "p")
+    roots = governing.select("q", "p").join(at, "p").select("q", "root").distinct()
+    return governing.select("q", "p").union(roots.join(at, "root").select("q", "p")).distinct()
 
 
 def violation_reach(stood: DataFrame, done: DataFrame, omitted: DataFrame, duties: DataFrame) -> DataFrame:
@@ -56,25 +60,59 @@ def _names(e) -> set[str]:
     return {e} if isinstance(e, str) else set().union(*map(_names, next(iter(e.values())) if isinstance(next(iter(e.values())), list) else [next(iter(e.values()))]))
 
 
-def _holds(e, true: set[str]) -> bool:
+def _value(e, world: dict[str, bool]) -> bool | None:
+    """Truth of an expression where only some atoms are settled; None while it is open."""
     if isinstance(e, str):
-        return e in true
+        return world.get(e)
     (op, x), = e.items()
-    return all(_holds(k, true) for k in x) if op == "all" else any(_holds(k, true) for k in x) if op == "any" else not _holds(x, true)
+    if op == "not":
+        v = _value(x, world)
+        return None if v is None else not v
+    stop = op == "any"
+    seen = [_value(k, world) for k in x]
+    return stop if stop in seen else None if None in seen else not stop
+
+
+def _settled(world: dict[str, bool], atom: str, value: bool, against: dict[str, set], needs: dict[str, set], needed: dict[str, set]) -> dict[str, bool] | None:
+    """world with an atom settled and all that follows from the axioms, or None on a contradiction."""
+    world, todo = dict(world), [(atom, value)]
+    while todo:
+        a, v = todo.pop()
+        if world.setdefault(a, v) != v:
+            return None
+        for b, w in ([(x, False) for x in against.get(a, ())] + [(x, True) for x in needs.get(a, ())]) if v else [(x, False) for x in needed.get(a, ())]:
+            if b not in world:
+                todo.append((b, w))
+            elif world[b] != w:
+                return None
+    return world
+
 
+def check_definition(expression, known: set[str], exclusions: list[tuple[str, str]], requires: list[tuple[str, str]] = ()) -> str | None:
+    """The first fault of an expression of all, any and not over atoms, or None: unknown atoms, unsatisfiable under the axioms.
 
-def check_definition(expression, known: set[str], exclusions: list[tuple[str, str]], requires: list[tuple[str, str]] = (), most: int = 16) -> str | None:
-    """The first fault of an expression of all, any and not over atoms, or None: unknown atoms, too large, unsatisfiable under the axioms."""
+    Atoms are settled one by one; what the axioms force follows at once, and a branch ends as soon as
+    the expression is false. When it is true, all open atoms may be false, which breaks no axiom.
+    """
     names = _names(expression)
     if names - known:
         return "unknown: " + ", ".join(sorted(names - known))
-    atoms = sorted(names | {b for a, b in requires if a in names})
-    if len(atoms) > most:
-        return f"more than {most} atoms"
-    for picks in itertools.product((False, True), repeat=len(atoms)):
-        true = {a for a, p in zip(atoms, picks, strict=True) if p}
-        if not any(a in true and b in true for a, b in exclusions) and all(b in true for a, b in requires if a in true) and _holds(expression, true):
+    against, needs, needed = defaultdict(set), defaultdict(set), defaultdict(set)
+    for a, b in exclusions:
+        against[a].add(b)
+        against[b].add(a)
+    for a, b in requires:
+        needs[a].add(b)
+        needed[b].add(a)
+    order, stack = sorted(names), [{}]
+    while stack:
+        world = stack.pop()
+        now = _value(expression, world)
+        if now:
             return None
+        if now is None:
+            atom = next(a for a in order if a not in world)
+            stack += [w for v in (False, True) if (w := _settled(world, atom, v, against, needs, needed)) is not None]
     return "unsatisfiable"
 
 
@@ -164,3 +202,99 @@ def phase_faults(log: DataFrame) -> DataFrame:
     j = log.withColumn("was", F.lag("phase").over(w)).join(steps, ["was", "phase"], "left")
     bad = F.when(F.col("was").isNull(), F.col("phase") != "OPEN").otherwise(F.col("ok").isNull()) & ~F.coalesce("override", F.lit(False))
     return j.where(bad).select("cycle", "seq", F.concat(F.coalesce("was", F.lit("start")), F.lit(" to "), "phase").alias("fault"))
+
+
+# --- why a rule didn't fire -----------------------------------------------------------------------
+
+
+def silence(nodes: DataFrame, bodies: DataFrame, true: DataFrame) -> DataFrame:
+    """(node, missing): for silent nodes the sorted conditions of their rules that don't hold; empty if all do. nodes (node), bodies (node, rule, name), true (node, name)."""
+    lacking = bodies.select("node", "name").distinct().join(true.select("node", "name").distinct(), ["node", "name"], "left_anti").groupBy("node").agg(F.array_sort(F.collect_set("name")).alias("missing"))
+    return nodes.select("node").distinct().join(lacking, "node", "left").select("node", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
+#: What each wall asks, for readers.
+WALL_QUESTIONS = {"actor": "whose conduct is this rule about?", "protects": "whom does this rule protect?", "governs": "what does this rule govern?"}
+
+
+def explained(decisions: DataFrame, nodes: DataFrame, acts: DataFrame) -> DataFrame:
+    """(q, node, text): each decision in plain words. The first reason that applies is given: matching acts, the first wall that stopped it, or no shared act.
+
+    decisions (q, node, relevant, blocked_by array) as relevant() gives them, for any pairs, hits or not; nodes (node, claim, acts array),
+    acts (q, acts array). Names are read with spaces for underscores.
+    """
+    say = lambda names: F.array_join(F.transform(F.array_sort(names), lambda a: F.translate(a, "_", " ")), ", ")
+    j = decisions.join(nodes.select("node", "claim", F.col("acts").alias("own")), "node").join(acts.select("q", F.col("acts").alias("wanted")), "q")
+    shared = F.array_intersect("own", "wanted")
+    asked = F.create_map(*(F.lit(x) for pair in WALL_QUESTIONS.items() for x in pair))
+    wall = F.try_element_at(F.col("blocked_by"), F.lit(1))
+    head = F.concat(F.when(F.col("relevant"), "FLAGGED for ").otherwise("NOT FLAGGED for "), F.translate(F.col("q").cast("string"), "_", " "), F.lit(".\n"))
+    why = (
+        F.when(F.col("relevant") & (F.size(shared) > 0), F.concat(F.lit("It is about "), say(shared), F.lit(".")))
+        .when(F.col("relevant"), F.lit("It shares no act by name; a broader act or another channel leads to it."))
+        .when(F.size("blocked_by") > 0, F.concat(F.lit("Stopped at: "), F.coalesce(F.try_element_at(asked, wall), wall)))
+        .when(F.size("own") == 0, F.lit("It states no rule about any act."))
+        .otherwise(F.concat(F.lit("Its rules are about "), say(F.col("own")), F.lit("; the behaviour involves "), say(F.col("wanted")), F.lit(".")))
+    )
+    return j.select("q", "node", F.concat(head, F.lit("Claim: "), F.coalesce("claim", F.lit("")), F.lit("\n"), why).alias("text"))
+
+
+# --- declarations learned from labels -------------------------------------------------------------
+
+
+def log_loss(p: Column, label: Column) -> Column:
+    """Mean negative log-likelihood of probabilities, kept 1e-6 off 0 and 1."""
+    q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return F.avg(-F.when(label == 1, F.log(q)).otherwise(F.log(1 - q)))
+
+
+def folds(rows: DataFrame, id: str, n: int = 5, seed: int = 17) -> DataFrame:
+    """rows with fold: dealt out in hash order inside each label, so every fold has its share of both."""
+    from .ordered import placed
+    from .sets import hashed
+
+    return placed(rows, ["label"], [hashed(seed, id), id], "_i").withColumn("fold", ((F.col("_i") - 1) % n).cast("int")).drop("_i")
+
+
+def calibrated_baselines(rows: DataFrame) -> DataFrame:
+    """One row: prior and instrument, mean held-out log losses of two yardsticks. rows (fold, label 0 or 1, engaged boolean).
+
+    prior predicts the label's share in the other folds; instrument the smoothed share among rows with the same engagement there.
+    """
+    per = rows.groupBy("fold", "engaged").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
+    total = per.agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    mine = per.groupBy("fold").agg(F.sum("n").alias("nf"), F.sum("k").alias("kf"))
+    prior = mine.crossJoin(total).select("fold", ((F.col("k") - F.col("kf")) / (F.col("n") - F.col("nf"))).alias("prior"))
+    arm = per.groupBy("engaged").agg(F.sum("n").alias("na"), F.sum("k").alias("ka"))
+    other = per.select("fold").distinct().crossJoin(arm).join(per, ["fold", "engaged"], "left").fillna(0, ["n", "k"])
+    tuned = other.select("fold", "engaged", ((F.col("ka") - F.col("k") + 1) / (F.col("na") - F.col("n") + 2)).alias("tuned"))
+    each = rows.join(prior, "fold").join(tuned, ["fold", "engaged"]).groupBy("fold").agg(log_loss(F.col("prior"), F.col("label")).alias("p"), log_loss(F.col("tuned"), F.col("label")).alias("t"))
+    return each.agg(F.avg("p").alias("prior"), F.avg("t").alias("instrument"))
+
+
+def declaration_fit(rows: DataFrame, features: list[str], grid: list[float]) -> DataFrame:
+    """(c, cv_log_loss, kept): for each strength c the mean held-out log loss of a class-balanced L1 logistic fit, and the features that a fit on all rows keeps.
+
+    rows (fold, label 0 or 1, features). The fits are distributed; a row of the result is a point of the grid, the lowest loss is the choice.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    data = VectorAssembler(inputCols=features, outputCol="features").transform(rows.withColumn("label", F.col("label").cast("double"))).select("fold", "label", "features")
+    size = {r.label: r.n for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    total = sum(size.values())
+    weight = F.when(F.col("label") == 1, total / (2 * max(1, size.get(1.0, 0)))).otherwise(total / (2 * max(1, size.get(0.0, 0))))
+    data = data.withColumn("weight", weight).cache()
+    numbers = sorted(r.fold for r in data.select("fold").distinct().collect())
+    out = []
+    for c in grid:
+        fit = LogisticRegression(elasticNetParam=1.0, regParam=1 / (c * max(1, total)), weightCol="weight", maxIter=200).fit
+        losses = []
+        for k in numbers:
+            scored = fit(data.where(F.col("fold") != k)).transform(data.where(F.col("fold") == k))
+            losses.append(scored.agg(log_loss(vector_to_array("probability")[1], F.col("label"))).first()[0])
+        kept = [f for f, w in zip(features, fit(data).coefficients.toArray(), strict=True) if abs(w) > 1e-6]
+        out.append((c, float(sum(losses) / max(1, len(losses))), kept))
+    data.unpersist()
+    return rows.sparkSession.createDataFrame(out, "c double, cv_log_loss double, kept array<string>")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import dangling, edge_overlap, edges, interval_overlaps
+from ..functions.grammar import parse_name
+from .components import clusters
+from .joins import BOX, boxes_that_meet, dangling, edge_overlap, edges, interval_overlaps
 from .metrics import ratio
 
 
@@ -31,11 +33,12 @@ def strict_edges(e: DataFrame, f: DataFrame, aligned: DataFrame) -> DataFrame:
     return pairs.join(f.select(F.col("needer").alias("_n"), F.col("provider").alias("_p")).distinct(), ["_n", "_p"], "left_semi").select("name", "needer", "provider").distinct()
 
 
-def shadowed(e: DataFrame) -> DataFrame:
-    """Edges (id, nlo, nhi, plo, phi) both of whose regions overlap another edge of the same graph."""
-    o = e.select(*(F.col(c).alias("f_" + c) for c in ("id", "nlo", "nhi", "plo", "phi")))
-    near = (F.col("id") != F.col("f_id")) & (F.col("nlo") <= F.col("f_nhi")) & (F.col("f_nlo") <= F.col("nhi")) & (F.col("plo") <= F.col("f_phi")) & (F.col("f_plo") <= F.col("phi"))
-    return e.join(o, near, "left_semi")
+def shadowed(e: DataFrame, width: int = 16) -> DataFrame:
+    """Edges (id, nlo, nhi, plo, phi) both of whose regions overlap another edge of the same graph; width as in edge_overlap()."""
+    boxes = e.groupBy(*BOX).agg(F.count_distinct("id").alias("n"))
+    other = " or ".join(f"{c} <> f_{c}" for c in BOX)
+    hit = boxes.where("n > 1").select(*BOX).union(boxes_that_meet(boxes, boxes, width).where(other).select(*BOX)).distinct()
+    return e.join(hit, BOX, "left_semi")
 
 
 def alignment_groups(pairs: DataFrame, matched: DataFrame, most: int = 3) -> DataFrame:
@@ -115,11 +118,11 @@ def instability(rows: DataFrame) -> DataFrame:
 def span_match(level: str) -> Column:
     """The join condition of candidate atoms (c_*) and reference atoms (r_*) at a level: columns name, kind, role, lo, hi, principal."""
     over = (F.col("c_lo") <= F.col("r_hi")) & (F.col("r_lo") <= F.col("c_hi"))
-    stem = lambda p: F.regexp_replace(F.regexp_replace(F.col(p + "name"), "__.*$", ""), "^not_", "")
-    polarity = lambda p: F.col(p + "name").startswith("not_")
+    stem = lambda p: parse_name(F.col(p + "name"))["stem"]
+    polarity = lambda p: parse_name(F.col(p + "name"))["polarity"]
     steps = {"span": over}
     steps["stem"] = over & (stem("c_") == stem("r_"))
-    steps["deontic"] = steps["stem"] & (polarity("c_") == polarity("r_"))
+    steps["deontic"] = steps["stem"] & polarity("c_").eqNullSafe(polarity("r_"))
     steps["principal"] = steps["deontic"] & F.col("c_principal").eqNullSafe(F.col("r_principal"))
     steps["role"] = steps["principal"] & F.col("c_role").eqNullSafe(F.col("r_role"))
     steps["name"] = over & (F.col("c_name") == F.col("r_name"))
@@ -135,3 +138,68 @@ def authority(sections: DataFrame, pattern: str = r"\{authority=([a-z-]+)\}") ->
         out = out.withColumn(f"_a{k}", F.last(F.when(F.coalesce("level", F.lit(0)) <= k, F.struct(F.coalesce("level", F.lit(0)).alias("l"), F.col("_own").alias("o"))), True).over(w))
     inherited = F.coalesce(*(F.when((F.lit(k) <= F.col("level")) & (F.col(f"_a{k}.l") == k), F.col(f"_a{k}.o")) for k in range(6, 0, -1)))
     return out.withColumn("authority", inherited).drop("_own", *(f"_a{k}" for k in range(1, 7)))
+
+
+def deduped_nodes(nodes: DataFrame, order: str = "pos") -> DataFrame:
+    """(id, keeps): nodes that repeat an earlier one in every column but id and order, with the id that stays; the others keep themselves.
+
+    Equal means equal in full: columns are compared as canonical JSON by their SHA-256, so a hot group is one small aggregate.
+    """
+    body = sorted(c for c in nodes.columns if c not in ("id", order))
+    marked = nodes.select("id", order, F.sha2(F.to_json(F.struct(*body), {"ignoreNullFields": "false"}), 256).alias("_h"))
+    first = marked.groupBy("_h").agg(F.min(F.struct(order, "id"))["id"].alias("keeps"))
+    return marked.join(first, "_h").select("id", "keeps")
+
+
+def merged_concepts(concepts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """concepts (run, node, ...) of the chosen (node, run) only: each node's rows come from the run its module was taken from."""
+    return concepts.join(chosen.select("node", "run").distinct(), ["node", "run"], "left_semi")
+
+
+#: Slots of a node's feature vector and the declarations of a behaviour that read them; a slot that none reads is dead.
+SLOT_READERS = {
+    "contexts": ("governs_conditional",), "gc_pairs": ("governs_conditional",), "refinements": (), "protects": ("protects_concern",), "purposes": ("purpose_concern",),
+    "arbitration": ("arbitrates_wall", "arbitrates_channel"), "machinery": ("machinery_concern",), "party": ("party_concern",),
+}
+
+
+def dead_slots(declared: set[str]) -> list[str]:
+    """Slots that a behaviour with these declarations never reads, in the order of SLOT_READERS."""
+    return [s for s, readers in SLOT_READERS.items() if not declared.intersection(readers)]
+
+
+def masked_census(vectors: DataFrame, declared: set[str]) -> DataFrame:
+    """satisfiability_census() over the slots that a behaviour reads: nodes that differ in dead slots only can't be told apart by it."""
+    return satisfiability_census(vectors.drop(*dead_slots(declared)))
+
+
+def extension_characters(spans: DataFrame) -> DataFrame:
+    """(name, n): distinct characters that a name's spans (name, section, lo, hi half-open) cover, from merged intervals, so no character becomes a row."""
+    return merged_spans(spans).groupBy("name").agg(F.sum(F.col("hi") - F.col("lo")).alias("n"))
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """(name, section, lo, hi): overlapping or touching spans of a name and section as one. Empty spans are dropped."""
+    w = Window.partitionBy("name", "section").orderBy("lo", "hi")
+    s = spans.where("lo < hi").select("name", "section", "lo", "hi").distinct()
+    s = s.withColumn("_top", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("_g", F.sum(F.coalesce((F.col("lo") > F.col("_top")).cast("int"), F.lit(1))).over(w))
+    return s.groupBy("name", "section", "_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_g")
+
+
+def extension_similarity(spans: DataFrame, width: int = 200) -> DataFrame:
+    """(a, b, jaccard) of names whose extensions share characters: shared over covered. Spans of a section meet in blocks of ``width``."""
+    m = merged_spans(spans)
+    cells = m.select("name", "section", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
+    cells = cells.select("name", "section", "cell", F.greatest("lo", F.col("cell") * width).alias("lo"), F.least("hi", (F.col("cell") + 1) * width).alias("hi"))
+    l, r = (cells.select("section", "cell", F.col("name").alias(x), F.col("lo").alias("l" + x), F.col("hi").alias("h" + x)) for x in "ab")
+    both = l.join(r, ["section", "cell"]).where("a < b and la < hb and lb < ha").groupBy("a", "b").agg(F.sum(F.least("ha", "hb") - F.greatest("la", "lb")).alias("k"))
+    n = extension_characters(spans)
+    j = both.join(n.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
+    return j.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
+
+
+def extension_clusters(spans: DataFrame, bar: float) -> DataFrame:
+    """(name, root): names linked by extensions at least this similar, under the smallest name of each group."""
+    links = extension_similarity(spans).where(F.col("jaccard") >= bar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return clusters(spans.select("name").distinct(), links, "name")

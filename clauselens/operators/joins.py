@@ -2,65 +2,113 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import join_text
+from ..functions.text import join_text, link_variants, mixed_link_variants, squeezed
+from ..lineage import cut
 
 SHINGLE = 4
 
 
-def word_shingles(text: Column, size: int = SHINGLE) -> Column:
-    """Distinct hashes of runs of whole words of a normalised text; a shorter text has none."""
+def word_runs(text: Column, size: int) -> Column:
+    """Distinct hashes of runs of so many whole words of a normalised text; a shorter text has none."""
     w = F.split(text, " ")
     m = F.greatest(F.size(w) - size + 1, F.lit(0))
     runs = F.slice(w, F.lit(1), m)  # shifted copies side by side: nothing in a lambda depends on the whole text
     for k in range(2, size + 1):
         runs = F.zip_with(runs, F.slice(w, F.lit(k), m), lambda x, y: F.concat(x, F.lit(" "), y))
-    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x, F.lit(size))))
+
 
+def inner_run(text: Column, size: int = SHINGLE) -> tuple[Column, Column]:
+    """How many inner words, up to size, a text's key has, and the key: the hash of the words after the first.
 
-def inner_key(text: Column, size: int = SHINGLE) -> Column:
-    """Hash of the words 2 to size + 1 of a text: whole words wherever the text stands in another; null for a shorter one."""
+    Inner words are whole words wherever the text stands in another. A text of one or two words has none (0, null).
+    """
     w = F.split(text, " ")
-    return F.when(F.size(w) >= size + 2, F.xxhash64(F.array_join(F.slice(w, 2, size), " ")))
+    n = F.greatest(F.lit(0), F.least(F.lit(size), F.size(w) - 2))
+    return n, F.when(n > 0, F.xxhash64(F.array_join(F.slice(w, F.lit(2), n), " "), n))
 
 
-def contained(passages: DataFrame, clauses: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(p, c) of every passage text that holds a clause text, compared in join_text() form.
+def rendered(rows: DataFrame, id: str, text: Column, v: str, as_: str) -> DataFrame:
+    """(id, v, as_): the distinct renderings of a text with links, one without; empty ones left out. A column span, if there, is rendered too."""
+    return rows.select(id, F.posexplode(text).alias(v, as_)).where(F.col(as_) != "")
 
-    passages (p, text), clauses (c, text). Candidates meet on the hash of a run of the clause's inner
-    words, which any text that holds the clause has too; the few clauses shorter than that are
-    searched for directly. Each candidate is verified.
-    """
-    left = passages.select("p", join_text(F.col("text")).alias("pt")).where("pt <> ''")
-    right = clauses.select("c", join_text(F.col("text")).alias("ct"), inner_key(join_text(F.col("text")), size).alias("k")).where("ct <> ''")
-    keyed = left.select("p", "pt", F.explode(word_shingles(F.col("pt"), size)).alias("k"))
-    hit = keyed.join(right.where("k is not null"), "k").where(F.col("pt").contains(F.col("ct"))).select("p", "c")
-    short = left.join(right.where("k is null"), F.col("pt").contains(F.col("ct"))).select("p", "c")
-    return hit.union(short).distinct()
 
+def contained(passages: DataFrame, clauses: DataFrame, size: int = SHINGLE, variants=link_variants) -> DataFrame:
+    """(p, c) of every passage text that holds a clause text, compared in join_text() form, in any of their renderings.
 
-def contained_either_way(passages: DataFrame, clauses: DataFrame) -> DataFrame:
-    """(p, c) where either text holds the other."""
-    turned = contained(clauses.select(F.col("c").alias("p"), "text"), passages.select(F.col("p").alias("c"), "text"))
-    return contained(passages, clauses).union(turned.select(F.col("c").alias("p"), F.col("p").alias("c"))).distinct()
+    passages (p, text), clauses (c, text). Candidates meet on the hash of a run of the clause's inner
+    words, which any text that holds the clause has too; only ids and hashes are shuffled for this.
+    Clauses of one or two words have no inner words: they are held against the distinct words of the
+    passages (a vocabulary), which lead back to the passages. Each candidate is then verified.
+    """
+    left = rendered(passages, "p", variants(F.col("text")), "pv", "pt")
+    right = rendered(clauses, "c", variants(F.col("text")), "cv", "ct")
+    n, key = inner_run(F.col("ct"), size)
+    right = right.withColumns({"n": n, "k": key})
+    sizes = sorted(r[0] for r in right.select("n").distinct().collect())  # 0 to size
+    keyed = [left.select("p", "pv", F.explode(word_runs(F.col("pt"), s)).alias("k")).join(right.where(F.col("n") == s).select("c", "cv", "k"), "k").select("p", "pv", "c", "cv") for s in sizes if s]
+    if 0 in sizes:
+        w = F.split("pt", " ")
+        pairs = F.transform(w, lambda x, i: F.struct(x.alias("w"), F.coalesce(F.try_element_at(w, i + 2), F.lit("")).alias("next")))
+        said = left.select("p", "pv", F.explode(F.array_distinct(pairs)).alias("x")).select("p", "pv", "x.w", "x.next")
+        few = right.where("n = 0").select("c", "cv", F.split("ct", " ").alias("cw"))
+        fits = F.when(F.size("cw") == 1, F.col("w").contains(F.col("cw")[0])).otherwise(F.endswith(F.col("w"), F.col("cw")[0]))
+        words = said.select("w").distinct().join(few, fits)
+        keyed.append(said.join(words, "w").where((F.size("cw") == 1) | F.startswith("next", F.try_element_at("cw", F.lit(2)))).select("p", "pv", "c", "cv"))
+    if not keyed:
+        return left.select("p").crossJoin(right.select("c")).limit(0)
+    found = cut(reduce(DataFrame.union, keyed).distinct())
+    some = rendered(passages.join(found.select("p").distinct(), "p", "left_semi"), "p", variants(F.col("text")), "pv", "pt")
+    verified = found.join(some, ["p", "pv"]).join(right.select("c", "cv", "ct"), ["c", "cv"]).where(F.col("pt").contains(F.col("ct")))
+    return verified.select("p", "c").distinct()
+
+
+def contained_either_way(passages: DataFrame, clauses: DataFrame, variants=link_variants) -> DataFrame:
+    """(p, c, part): either text holds the other; part: the passage is only ever a part of the clause. clauses may have a marked span (c, text, span), which counts as well."""
+    spans = clauses.select("c", "text").union(clauses.where(F.col("span").isNotNull()).select("c", "span")) if "span" in clauses.columns else clauses.select("c", "text")
+    turned = contained(clauses.select(F.col("c").alias("p"), "text"), passages.select(F.col("p").alias("c"), "text"), variants=variants)
+    whole = contained(passages, spans, variants=variants).withColumn("part", F.lit(False))
+    return whole.union(turned.select(F.col("c").alias("p"), F.col("p").alias("c"), F.lit(True))).groupBy("p", "c").agg(F.bool_and("part").alias("part"))
+
+
+def content_empty(kind: Column, text: Column) -> Column:
+    """A heading in disguise: of kind meta, and all bold or up to four words that end in a colon without other marks."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    short = t.endswith(":") & ~t.rlike("[,.!?]") & (F.size(F.split(squeezed(t), " ")) <= 4)
+    return (F.coalesce(kind, F.lit("")) == "meta") & (t.rlike(r"\A\*\*[^*\n]+\*\*\z") | short)
 
 
 def guarded_containment(passages: DataFrame, clauses: DataFrame, least: int = 14) -> DataFrame:
-    """(p, c, restricted): containment behind guards.
+    """(p, c, restricted): containment behind guards, with every mix of link renderings.
 
-    Clauses under ``least`` normalised characters and empty ones are refused; where a passage's
-    anchor has clauses, only those stand (restricted); a passage that is a proper part of every one
-    of several clauses is refused as ambiguous. passages (p, text, anchor), clauses (c, text, anchor).
+    A passage under ``least`` normalised characters is refused. Headings in disguise (content_empty(),
+    where clauses have a kind) are no candidates. Where a passage's anchor has clauses, only those
+    stand (restricted). A passage that is a proper part of every one of several clauses left can't
+    tell them apart and is refused. passages (p, text, anchor), clauses (c, text, anchor, maybe kind and span).
     """
-    usable = clauses.where(F.length(join_text(F.col("text"))) >= least)
-    pairs = contained_either_way(passages.select("p", "text"), usable.select("c", "text"))
-    full = pairs.join(passages.select("p", F.col("anchor").alias("pa"), F.length(join_text(F.col("text"))).alias("pl")), "p").join(usable.select("c", F.col("anchor").alias("ca"), F.length(join_text(F.col("text"))).alias("cl")), "c")
-    anchors = usable.select(F.col("anchor").alias("pa")).distinct().withColumn("known", F.lit(True))
+    real = clauses.where(~content_empty(F.col("kind"), F.col("text"))) if "kind" in clauses.columns else clauses
+    usable = passages.where(F.length(join_text(F.col("text"))) >= least)
+    pairs = contained_either_way(usable.select("p", "text"), real, variants=mixed_link_variants)
+    anchors = real.where("anchor is not null").select(F.col("anchor").alias("pa")).distinct().withColumn("known", F.lit(True))
+    full = pairs.join(usable.select("p", F.col("anchor").alias("pa")), "p").join(real.select("c", F.col("anchor").alias("ca")), "c")
     full = full.join(anchors, "pa", "left").withColumn("restricted", F.coalesce("known", F.lit(False))).where("not restricted or pa = ca")
-    g = full.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.bool_and(F.col("pl") < F.col("cl")).alias("part"))
-    return full.join(g, "p").where("not (m > 1 and part)").select("p", "c", "restricted")
+    g = full.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.bool_and("part").alias("all_part"))
+    return full.join(g, "p").where("not (m > 1 and all_part)").select("p", "c", "restricted")
+
+
+#: Why a passage has no clause, in order of trial.
+STRATA = ("degenerate_quote_refused", "example_block", "unknown", "not_verbatim_in_source", "verbatim_but_unsegmented")
+
+
+def unmatched_stratum(refused: Column, example: Column, source_known: Column, verbatim: Column) -> Column:
+    """The stratum of a passage without a clause, from boolean facts; null counts as false."""
+    f = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(f(refused), STRATA[0]).when(f(example), STRATA[1]).when(~f(source_known), STRATA[2]).when(~f(verbatim), STRATA[3]).otherwise(STRATA[4])
 
 
 def join_accounting(universe: DataFrame, pairs: DataFrame, reason: Column) -> DataFrame:
@@ -100,29 +148,49 @@ def line_alignment(a: DataFrame, b: DataFrame, bar: float = 0.5) -> DataFrame:
 
 
 def maximum_matching(pairs: DataFrame, group: str) -> DataFrame:
-    """A maximum one-to-one matching of (a, b) pairs inside each group, by augmenting paths.
+    """A maximum one-to-one matching of (a, b) pairs inside each group, by shortest augmenting paths (Hopcroft and Karp).
 
-    The search is sequential by nature; groups are components or clauses, which are small.
+    The search is sequential by nature, so a group is one task; groups should be connected components.
     """
 
     def match(pdf):
         near: dict = {}
-        for a, b in sorted(zip(pdf.a, pdf.b, strict=True)):
+        for a, b in sorted(set(zip(pdf.a, pdf.b, strict=True))):
             near.setdefault(a, []).append(b)
-        of: dict = {}
-
-        def place(a, seen: set) -> bool:
-            for b in near[a]:
-                if b not in seen:
-                    seen.add(b)
-                    if b not in of or place(of[b], seen):
-                        of[b] = a
-                        return True
-            return False
-
-        for a in sorted(near):
-            place(a, set())
-        return type(pdf)([(pdf[group].iloc[0], a, b) for b, a in sorted(of.items())], columns=[group, "a", "b"])
+        mate: dict = {}  # of a
+        of: dict = {}  # of b
+        while True:
+            level, front, found = {a: 0 for a in near if a not in mate}, [a for a in near if a not in mate], False
+            while front and not found:
+                later = []
+                for a in front:
+                    for b in near[a]:
+                        if b not in of:
+                            found = True
+                        elif of[b] not in level:
+                            level[of[b]] = level[a] + 1
+                            later.append(of[b])
+                front = later
+            if not found:
+                break
+            left = {a: iter(near[a]) for a in level}
+            for start in [a for a in near if a not in mate]:
+                path = [start]
+                while path:
+                    a = path[-1]
+                    b = next((b for b in left[a] if b not in of or level.get(of[b]) == level[a] + 1), None)
+                    if b is None:
+                        level[a] = -2  # a dead end for this round
+                        path.pop()
+                    elif b in of:
+                        path.append(of[b])
+                    else:  # a free end: turn the path round
+                        for a in reversed(path):
+                            before = mate.get(a)
+                            mate[a], of[b] = b, a
+                            b = before
+                        break
+        return type(pdf)([(pdf[group].iloc[0], a, b) for a, b in sorted(mate.items())], columns=[group, "a", "b"])
 
     return pairs.select(group, "a", "b").groupBy(group).applyInPandas(match, pairs.select(group, "a", "b").schema)
 
@@ -137,11 +205,30 @@ def dangling(needs: DataFrame, provides: DataFrame) -> DataFrame:
     return needs.join(provides.select("name").distinct(), "name", "left_anti").groupBy("name").agg(F.count_distinct("node").alias("needed_by"))
 
 
-def edge_overlap(e: DataFrame, f: DataFrame) -> DataFrame:
-    """Edges of e for which an edge of f overlaps both line regions. Edges: id, nlo, nhi, plo, phi (closed ranges)."""
-    other = f.select(*(F.col(c).alias("f_" + c) for c in ("id", "nlo", "nhi", "plo", "phi")))
-    near = (F.col("nlo") <= F.col("f_nhi")) & (F.col("f_nlo") <= F.col("nhi")) & (F.col("plo") <= F.col("f_phi")) & (F.col("f_plo") <= F.col("phi"))
-    return e.join(other, near, "left_semi")
+BOX = ["nlo", "nhi", "plo", "phi"]
+
+
+def _cells(boxes: DataFrame, width: int, mark: str = "") -> DataFrame:
+    """Boxes with a row for each cell of a grid over (needer line, provider line) that they touch."""
+    side = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
+    cells = boxes.where("nlo <= nhi and plo <= phi").select(*BOX, side("nlo", "nhi").alias("x")).select("*", side("plo", "phi").alias("y"))
+    return cells.select("x", "y", *(F.col(c).alias(mark + c) for c in BOX))
+
+
+def boxes_that_meet(e: DataFrame, f: DataFrame, width: int) -> DataFrame:
+    """Pairs of overlapping boxes (BOX, f_BOX) of two sets of distinct ones. They meet in the cells of a grid, an equi-join."""
+    near = "nlo <= f_nhi and f_nlo <= nhi and plo <= f_phi and f_plo <= phi"
+    return _cells(e, width).join(_cells(f, width, "f_"), ["x", "y"]).where(near)
+
+
+def edge_overlap(e: DataFrame, f: DataFrame, width: int = 16) -> DataFrame:
+    """Edges of e for which an edge of f overlaps both line regions. Edges: id, nlo, nhi, plo, phi (closed ranges).
+
+    Only distinct pairs of regions are compared. ``width`` should be near the usual length of a
+    region: a much longer one takes part in many cells.
+    """
+    hit = boxes_that_meet(e.select(*BOX).distinct(), f.select(*BOX).distinct(), width).select(*BOX).distinct()
+    return e.join(hit, BOX, "left_semi")
 
 
 def input_providers(needs: DataFrame, provides: DataFrame, engaged: DataFrame, most: int = 2) -> DataFrame:
@@ -174,3 +261,33 @@ def top_similar(queries: DataFrame, items: DataFrame, similarity: Column, k: int
     pairs = queries.join(items, "block").select("q", "id", similarity.alias("sim"))
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# --- paragraphs -----------------------------------------------------------------------------------
+
+
+def paragraph_index(clauses: DataFrame, passages: DataFrame, probe: int = 80) -> DataFrame:
+    """(c, p, how): each clause's passage, by locator, else by the one passage that holds the first characters of its quote (locator, quote).
+
+    clauses (c, locator, quote), passages (p, locator, quote). A clause without either isn't listed. Of passages with one locator the largest p counts.
+    """
+    at = passages.groupBy("locator").agg(F.max("p").alias("p"))
+    by_place = clauses.join(at, "locator").select("c", "p", F.lit("locator").alias("how"))
+    rest = clauses.join(by_place.select("c"), "c", "left_anti").select("c", F.substring("quote", 1, probe).alias("text"))
+    as_is = lambda text: F.array(F.coalesce(text, F.lit("")))
+    hits = contained(passages.select("p", F.col("quote").alias("text")), rest, variants=as_is)
+    one = hits.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p")).where("n = 1")
+    return by_place.union(one.select("c", "p", F.lit("quote")))
+
+
+def paragraph_agreement(flagged: DataFrame, encoded: DataFrame, index: DataFrame, scores: DataFrame, high: int = 5) -> DataFrame:
+    """(c, verdict, score) of a rule base against a panel, over the paragraphs that it encodes.
+
+    agree and disagree: flagged paragraphs that the panel scores high or not (score null where it lists none); missed: encoded,
+    scored high, not flagged. flagged (c), encoded (c), index paragraph_index(), scores (p, score).
+    """
+    said = index.join(scores.select("p", "score"), "p").select("c", "score")
+    ours = flagged.select("c").distinct().join(said, "c", "left")
+    ours = ours.select("c", F.when(F.col("score") >= high, "agree").otherwise("disagree").alias("verdict"), "score")
+    missed = encoded.select("c").distinct().join(said.where(F.col("score") >= high), "c").join(flagged.select("c"), "c", "left_anti")
+    return ours.union(missed.select("c", F.lit("missed"), "score"))

@@ -7,9 +7,14 @@ a class is empty. Rank measures count scores by level first, so a window holds d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
@@ -38,20 +43,36 @@ def scored(cells: DataFrame, unreachable: str | None = None) -> DataFrame:
     })
 
 
-def auc(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, auc): Mann-Whitney with ties as half, from counts by level; null score is 0; null when a class is empty."""
-    levels = rows.groupBy(*keys, F.coalesce("score", F.lit(0.0)).alias("score")).agg(F.count(F.when(F.col("gold"), 1)).alias("p"), F.count(F.when(~F.col("gold"), 1)).alias("n"))
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+def reachable_floor(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, floor_b): the MCC of predicting every row that some clause reaches. rows (keys, joined boolean, gold boolean) over the universe."""
+    cells = confusion(rows.withColumn("pred", F.coalesce("joined", F.lit(False))), *keys)
+    return cells.select(*keys, mcc(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).alias("floor_b"))
+
+
+def levels_of(rows: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
+    """(keys, score, p, n): gold and other rows (or their weights) of each distinct score; a null score is 0."""
+    w = F.col(weight) if weight else F.lit(1)
+    s = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
+    return rows.groupBy(*keys, F.coalesce("score", F.lit(0.0)).alias("score")).agg(s(F.col("gold")).alias("p"), s(~F.col("gold")).alias("n"))
+
+
+def auc(rows: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
+    """(keys, auc): Mann-Whitney with ties as half, from counts by level; null score is 0; null when a class is empty.
+
+    Running sums over the levels are split over tasks, so a key may have any number of levels.
+    """
+    levels = running(levels_of(rows, *keys, weight=weight), list(keys), ["score"], under="n")
     wins = F.sum(F.col("p") * (F.col("under") + F.col("n") / 2.0))
     return levels.groupBy(*keys).agg((wins / F.nullif(F.sum("p") * F.sum("n").cast("double"), F.lit(0.0))).alias("auc"))
 
 
 def roc(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, score, fpr, tpr) at each distinct score, falling."""
-    levels = rows.groupBy(*keys, "score").agg(F.count(F.when(F.col("gold"), 1)).alias("p"), F.count(F.when(~F.col("gold"), 1)).alias("n"))
-    down, all_ = Window.partitionBy(*keys).orderBy(F.desc("score")), Window.partitionBy(*keys)
-    return levels.select(*keys, "score", ratio(F.sum("n").over(down), F.sum("n").over(all_)).alias("fpr"), ratio(F.sum("p").over(down), F.sum("p").over(all_)).alias("tpr"))
+    levels = levels_of(rows, *keys)
+    total = levels.groupBy(*keys).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    upto = running(levels, list(keys), [F.desc("score")], _sn="n", _sp="p")
+    j = upto.join(total, list(keys)) if keys else upto.crossJoin(total)
+    return j.select(*keys, "score", ratio(F.col("_sn") + F.col("n"), F.col("_n")).alias("fpr"), ratio(F.col("_sp") + F.col("p"), F.col("_p")).alias("tpr"))
 
 
 def tpr_at(points: DataFrame, fpr: float, *keys: str) -> DataFrame:
@@ -111,6 +132,17 @@ def pair_gold(votes: DataFrame, level: int = 1) -> DataFrame:
     return rows.select("judge", "id", "pred", ((F.col("yes") - F.col("pred").cast("int")) == F.col("m") - 1).alias("gold"))
 
 
+def reference(votes: DataFrame, least: int) -> DataFrame:
+    """(id, score) of ids whose verdicts sum to at least that; a missing verdict counts 0."""
+    return votes.groupBy("id").agg(F.coalesce(F.sum("verdict"), F.lit(0)).alias("score")).where(F.col("score") >= least)
+
+
+def strict_reference(votes: DataFrame, level: int = 1) -> DataFrame:
+    """(id) that every judge of the panel gives at least this level; a judge without a vote there doesn't."""
+    yes = votes.where(F.col("verdict") >= level).groupBy("id").agg(F.count_distinct("judge").alias("k"))
+    return yes.crossJoin(votes.agg(F.count_distinct("judge").alias("m"))).where("k = m").select("id")
+
+
 def verdict_faults(rows: DataFrame) -> DataFrame:
     """Rows whose score isn't the sum of their verdicts map; must be empty."""
     return rows.where(F.col("score") != F.aggregate(F.map_values("verdicts"), F.lit(0), lambda a, b: a + b))
@@ -143,9 +175,8 @@ def labelling_agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
 def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     """rows with the average rank of a value, from counts by level."""
     levels = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    levels = levels.select(value, (F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0).alias(out))
-    return rows.join(levels, value)
+    ranks = running(levels, [], [value], _u="_c").select(value, (F.col("_u") + (F.col("_c") + 1) / 2.0).alias(out))
+    return rows.join(ranks, value)
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -191,11 +222,57 @@ def flag_effect(rows: DataFrame, *strata: str) -> DataFrame:
 
 
 def growth(first_seen: DataFrame) -> DataFrame:
-    """(pos, names): distinct names within the first positions; first_seen has one row a name with its first pos. Counted by pos before the window."""
+    """(pos, names): distinct names within the first positions; first_seen has one row a name with its first pos."""
     per = first_seen.groupBy("pos").agg(F.count(F.lit(1)).alias("c"))
-    return per.select("pos", F.sum("c").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("names"))
+    return running(per, [], ["pos"], _u="c").select("pos", (F.col("_u") + F.col("c")).alias("names"))
 
 
 def heaps_slope(curve: DataFrame) -> DataFrame:
     """One row: slope of ln names on ln (pos + 1)."""
     return curve.agg(F.regr_slope(F.log("names"), F.log(F.col("pos") + 1.0)).alias("slope"))
+
+
+# --- registry -------------------------------------------------------------------------------------
+
+#: Metrics by name: functions of (rows, *keys) that give one row a key with named values.
+METRICS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def metric(name: str):
+    """Register a metric under a name."""
+
+    def add(f: Callable[..., DataFrame]):
+        METRICS[name] = f
+        return f
+
+    return add
+
+
+@metric("confusion")
+def _confusion(rows: DataFrame, *keys: str) -> DataFrame:
+    return confusion(rows, *keys)
+
+
+@metric("agreement")
+def _agreement(rows: DataFrame, *keys: str) -> DataFrame:
+    return scored(confusion(rows, *keys)).select(*keys, "precision", "recall", "f1", "mcc")
+
+
+@metric("auc")
+def _auc(rows: DataFrame, *keys: str) -> DataFrame:
+    return auc(rows, *keys)
+
+
+@metric("operating_point")
+def _operating_point(rows: DataFrame, *keys: str) -> DataFrame:
+    return operating_point(rows, *keys)
+
+
+def measured(names: list[str], rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, metric, measure, value) of registered metrics over rows (keys, id, pred, gold, score); an unknown name raises KeyError."""
+    parts = []
+    for name in names:
+        m = METRICS[name](rows, *keys)
+        values = [c for c in m.columns if c not in keys]
+        parts.append(m.select(*keys, F.lit(name).alias("metric"), F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in values))).alias("x")).select(*keys, "metric", "x.measure", "x.value"))
+    return reduce(DataFrame.union, parts)

@@ -46,6 +46,16 @@ def section_sweep(sections: DataFrame, most: int = 10) -> DataFrame:
     return sections.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("q", F.explode(F.sequence("rn", F.lit(most))).alias("k"), "section")
 
 
+def section_ranked(scores: DataFrame, k: int = 3) -> DataFrame:
+    """scores (q, section, id, score) with the section's score, the mean of its k best, and its place: rows of one section aren't told apart."""
+    from .scoring import section_top_mean
+
+    means = section_top_mean(scores, "section", k).withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "section")
+    placed = means.withColumn("place", F.row_number().over(order).cast("bigint"))
+    return scores.drop("score").join(placed, ["q", "section"])
+
+
 def salience(ranked: DataFrame, tiers: dict[str, int]) -> DataFrame:
     """ranked (q, id, score, kind, pos) with rank by falling score, kind tier, document order; every row once."""
     tier = F.coalesce(F.create_map(*(x for k, v in tiers.items() for x in (F.lit(k), F.lit(v))))[F.col("kind")], F.lit(99))

@@ -1,8 +1,8 @@
 """Resampling, noise floors, null distributions and small learned read-outs.
 
-A draw is a hash of (seed, replicate, place), so replicates are group keys of one plan and the same
-on any cluster; they aren't bit-equal to another generator's. Items are aggregated to what a
-statistic needs before they are multiplied by replicates.
+A bootstrap gives each row a Poisson(1) weight in each replicate, read from the first 32 bits of
+md5(seed:replicate:id), so draws are the same on any cluster and in SQL. Replicates are group keys of
+one plan: rows are multiplied in place, summed on the map side, and never joined or shuffled.
 """
 
 from __future__ import annotations
@@ -12,34 +12,44 @@ from pyspark.sql import functions as F
 
 from .metrics import auc, mcc
 
+# Cumulative probabilities of Poisson(1), from 0 on.
+POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.9999898046)
 
-def numbered(rows: DataFrame, id: str) -> DataFrame:
-    """rows with i from 0 in id order: places within ranges of ids plus the counts of the ranges before, so no task numbers all rows."""
-    from ..lineage import cut
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(rows.repartitionByRange(n, id).sortWithinPartitions(id).withColumn("_m", F.monotonically_increasing_id()))
-    counts = dealt.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count(F.lit(1)).alias("c")).collect()  # a row for each range
-    starts, upto = [], 0
-    for p, c in sorted((r[0], r[1]) for r in counts):
-        starts.append((p, upto - (p << 33)))
-        upto += c
-    shift = rows.sparkSession.createDataFrame(starts, "_p bigint, _s bigint")
-    return dealt.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(shift), "_p").withColumn("i", F.col("_m") + F.col("_s")).drop("_m", "_p", "_s")
+def uniform(seed: int, *parts: str | Column) -> Column:
+    """A number in [0, 1) from a seed and values."""
+    said = F.concat_ws(":", F.lit(str(seed)), *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def draw(seed: int, replicate: Column, place: Column, n: Column) -> Column:
-    """An index below n."""
-    return F.pmod(F.xxhash64(F.lit(seed), replicate, place), n)
+def poisson(u: Column) -> Column:
+    """The Poisson(1) count at a quantile, at most 8."""
+    out = F.when(u < POISSON[0], 0)
+    for k, p in enumerate(POISSON[1:], 1):
+        out = out.when(u < p, k)
+    return out.otherwise(len(POISSON))
+
+
+def replicated(rows: DataFrame, replicates: int, first: int = 1) -> DataFrame:
+    """rows once for each r from first to replicates."""
+    return rows.select("*", F.explode(F.sequence(F.lit(first), F.lit(replicates))).alias("r"))
+
+
+def interval(draws: DataFrame, value: str, at: tuple[float, ...] = (0.025, 0.975)) -> list[Column]:
+    """Percentiles as columns low, high."""
+    return [F.percentile(value, at[0]).alias("low"), F.percentile(value, at[1]).alias("high")]
 
 
 def bootstrap_mean(values: DataFrame, replicates: int = 2000, seed: int = 17) -> DataFrame:
-    """One row: mean, low, high (2.5 and 97.5 percentiles of resampled means). values (id, x); meant for measured items, not for corpora."""
-    rows = numbered(values.select("id", "x"), "id")
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    places = rows.select(F.col("i").alias("place")).crossJoin(n).select("place", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    means = places.select("b", draw(seed, F.col("b"), F.col("place"), F.col("n")).alias("i")).join(rows, "i").groupBy("b").agg(F.avg("x").alias("m"))
-    return means.agg(F.percentile("m", [0.025, 0.975]).alias("p")).crossJoin(n).select("mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    """One row: mean, low, high (2.5 and 97.5 percentiles of resampled means). values (id, x)."""
+    w = poisson(uniform(seed, "r", "id"))
+    means = replicated(values.select("id", "x"), replicates).withColumn("w", w).groupBy("r").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    return values.agg(F.avg("x").alias("mean")).crossJoin(means.agg(*interval(means, "m")))
+
+
+def _weighted_mcc(pred: str, *, w: str = "w") -> Column:
+    k = lambda p, g: F.coalesce(F.sum(F.when((F.col(pred) == p) & (F.col("gold") == g), F.col(w))), F.lit(0))
+    return mcc(k(True, True), k(True, False), k(False, True), k(False, False))
 
 
 def paired_bootstrap(cells: DataFrame, replicates: int = 2000, seed: int = 17) -> DataFrame:
@@ -47,52 +57,48 @@ def paired_bootstrap(cells: DataFrame, replicates: int = 2000, seed: int = 17) -
 
     cells (cell, id, gold, a, b booleans).
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("cell")
-    rows = cells.select("cell", "gold", "a", "b", (F.row_number().over(w.orderBy("id")) - 1).cast("bigint").alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    places = rows.select("cell", F.col("i").alias("place"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("r"))
-    index = F.when(F.col("r") == 0, F.col("place")).otherwise(draw(seed, F.col("r"), F.concat_ws(":", "cell", "place"), F.col("n")))
-    x = places.select("cell", "r", index.alias("i")).join(rows.drop("n"), ["cell", "i"])
-    k = lambda p, v, g: F.count(F.when((F.col(p) == v) & (F.col("gold") == g), 1))
-    g = x.groupBy("cell", "r").agg(*(mcc(k(p, True, True), k(p, True, False), k(p, False, True), k(p, False, False)).alias("m" + p) for p in "ab"))
-    d = g.groupBy("r").agg(F.avg(F.col("ma") - F.col("mb")).alias("d"))
-    return d.agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("delta"), F.percentile(F.when(F.col("r") > 0, F.col("d")), [0.025, 0.975]).alias("p")).select("delta", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    w = F.when(F.col("r") == 0, 1).otherwise(poisson(uniform(seed, "r", "cell", "id")))
+    x = replicated(cells.select("cell", "id", "gold", "a", "b"), replicates, 0).withColumn("w", w)
+    g = x.groupBy("cell", "r").agg(_weighted_mcc("a").alias("ma"), _weighted_mcc("b").alias("mb"))
+    d = g.groupBy("r").agg(F.avg(F.col("ma") - F.col("mb")).alias("d")).withColumn("drawn", F.when(F.col("r") > 0, F.col("d")))
+    return d.agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("delta"), *interval(d, "drawn"))
 
 
 def noise_floor(cells: DataFrame, replicates: int = 2000, seed: int = 17) -> DataFrame:
     """One row: floor, half the 95 % width of the difference between two independent draws of one predictor. cells (cell, id, gold, a)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("cell")
-    rows = cells.select("cell", "gold", "a", (F.row_number().over(w.orderBy("id")) - 1).cast("bigint").alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    places = rows.select("cell", F.col("i").alias("place"), "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-    x = places.select("cell", "r", "side", draw(seed, F.col("r") * 2 + F.col("side"), F.concat_ws(":", "cell", "place"), F.col("n")).alias("i")).join(rows.drop("n"), ["cell", "i"])
-    k = lambda v, g: F.count(F.when((F.col("a") == v) & (F.col("gold") == g), 1))
-    g = x.groupBy("cell", "r", "side").agg(mcc(k(True, True), k(True, False), k(False, True), k(False, False)).alias("m"))
-    d = g.groupBy("r").agg((F.sum(F.when(F.col("side") == 0, F.col("m")).otherwise(-F.col("m"))) / F.count_distinct("cell")).alias("d"))
-    return d.agg(F.percentile("d", [0.025, 0.975]).alias("p")).select(((F.col("p")[1] - F.col("p")[0]) / 2).alias("floor"))
+    x = replicated(cells.select("cell", "id", "gold", "a"), replicates).withColumns({f"w{s}": poisson(uniform(seed + s, "r", "cell", "id")) for s in (0, 1)})
+    g = x.groupBy("cell", "r").agg((_weighted_mcc("a", w="w0") - _weighted_mcc("a", w="w1")).alias("d")).groupBy("r").agg(F.avg("d").alias("d"))
+    return g.agg(*interval(g, "d")).select(((F.col("high") - F.col("low")) / 2).alias("floor"))
 
 
 def set_null(values: DataFrame, chosen: DataFrame, replicates: int = 999, seed: int = 17) -> DataFrame:
     """One row: observed mean of the chosen ids, p = (1 + as large) / (replicates + 1) among hash-drawn sets of about that size. values (id, x), chosen (id)."""
     flagged = values.join(chosen.select("id").distinct().withColumn("c", F.lit(True)), "id", "left")
     size = flagged.agg(F.count(F.lit(1)).alias("n"), F.count("c").alias("k"), F.avg(F.when(F.col("c"), F.col("x"))).alias("seen"))
-    each = flagged.crossJoin(size).select("id", "x", "k", "n", "seen", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    inside = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "r", "id"), 11) / F.lit(float(1 << 53)) < F.col("k") / F.col("n")
-    m = each.where(inside).groupBy("r", "seen").agg(F.avg("x").alias("m"))
+    each = replicated(flagged.crossJoin(size), replicates)
+    m = each.where(uniform(seed, "r", "id") < F.col("k") / F.col("n")).groupBy("r", "seen").agg(F.avg("x").alias("m"))
     return m.agg(F.max("seen").alias("observed"), ((1 + F.count(F.when(F.col("m") >= F.col("seen"), 1))) / F.lit(replicates + 1.0)).alias("p"))
 
 
+def random_names(vocabulary: DataFrame, matched: DataFrame, seeds: int, seed: int = 17) -> DataFrame:
+    """(s, name, n): for each seed, names in hash order until their occurrences reach those of a matched set, so that controls delete as much.
+
+    vocabulary (name, n occurrences), matched (name): the set whose occurrences are the budget. Names of the set aren't drawn.
+    """
+    from .ordered import running
+
+    budget = vocabulary.join(matched.select("name").distinct(), "name", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("budget"))
+    rest = vocabulary.join(matched.select("name").distinct(), "name", "left_anti").select("name", "n", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("s"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("s").cast("string"), "name"))
+    return running(rest, ["s"], [order, "name"], _b="n").crossJoin(budget).where(F.col("_b") < F.col("budget")).select("s", "name", "n")
+
+
 def cut_bootstrap(scores: DataFrame, rule, replicates: int = 20, seed: int = 17) -> DataFrame:
     """(key, low, mid, high) of a cut rule over resampled scores; the replicate is part of the rule's key. scores (key, id, score)."""
-    copies = scores.where("score > 0").select("key", "score", "id", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "r", "id"), 11) / F.lit(float(1 << 53))
-    times = F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).when(u < 0.981, 3).otherwise(4)  # a Poisson bootstrap
-    drawn = copies.select("key", "r", "id", "score", times.alias("t")).where("t > 0").withColumn("t", F.explode(F.sequence(F.lit(1), F.col("t"))))
-    keyed = drawn.select(F.concat_ws("\u0001", "key", "r").alias("key"), "id", "score")
-    cuts = rule(keyed).select(F.substring_index("key", "\u0001", 1).alias("key"), "cut")
-    return cuts.groupBy("key").agg(F.percentile("cut", [0.05, 0.5, 0.95]).alias("p")).select("key", F.col("p")[0].alias("low"), F.col("p")[1].alias("mid"), F.col("p")[2].alias("high"))
+    drawn = replicated(scores.where("score > 0").select("key", "id", "score"), replicates).withColumn("t", poisson(uniform(seed, "r", "id"))).where("t > 0")
+    keyed = drawn.select(F.concat_ws("\u0001", "key", "r").alias("key"), "id", "score", F.explode(F.sequence(F.lit(1), F.col("t"))))
+    cuts = rule(keyed.select("key", "id", "score")).select(F.substring_index("key", "\u0001", 1).alias("key"), "cut")
+    return cuts.groupBy("key").agg(*(F.percentile("cut", q).alias(a) for q, a in ((0.05, "low"), (0.5, "mid"), (0.95, "high"))))
 
 
 def ablation(channels: DataFrame, names: list[str], weights: dict[str, float]) -> DataFrame:
@@ -129,27 +135,24 @@ def principal_vectors(rows: DataFrame, id: str, vector: str, k: int = 8) -> Data
 
 def cluster_bootstrap(values: DataFrame, replicates: int = 2000, seed: int = 17) -> DataFrame:
     """One row: mean, low, high of x when whole clusters are drawn. values (cluster, x); clusters are summed before they are multiplied."""
-    sums = numbered(values.groupBy("cluster").agg(F.sum("x").alias("s"), F.count("x").alias("c")), "cluster")
-    n = sums.agg(F.count(F.lit(1)).alias("n"), (F.sum("s") / F.sum("c")).alias("mean"))
-    places = sums.select(F.col("i").alias("place")).crossJoin(n).select("place", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    means = places.select("b", draw(seed, F.col("b"), F.col("place"), F.col("n")).alias("i")).join(sums, "i").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("m"))
-    return means.agg(F.percentile("m", [0.025, 0.975]).alias("p")).crossJoin(n).select("mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    sums = values.groupBy("cluster").agg(F.sum("x").alias("s"), F.count("x").alias("c"))
+    w = poisson(uniform(seed, "r", "cluster"))
+    means = replicated(sums, replicates).withColumn("w", w).groupBy("r").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("c")), F.lit(0))).alias("m"))
+    return sums.agg((F.sum("s") / F.sum("c")).alias("mean")).crossJoin(means.agg(*interval(means, "m")))
 
 
 def paired_auc(rows: DataFrame, replicates: int = 1000, seed: int = 17) -> DataFrame:
     """One row: delta of the AUCs of two scores, low, high; each draw serves both. rows (id, gold, a, b)."""
-    r = numbered(rows.select("id", "gold", "a", "b"), "id")
-    n = r.agg(F.count(F.lit(1)).alias("n"))
-    places = r.select(F.col("i").alias("place")).crossJoin(n).select("place", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("r"))
-    x = places.select("r", F.when(F.col("r") == 0, F.col("place")).otherwise(draw(seed, F.col("r"), F.col("place"), F.col("n"))).alias("i")).join(r, "i")
-    both = x.select("r", "gold", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("score")), F.struct(F.lit("b").alias("side"), F.col("b").alias("score")))).alias("s")).select("r", "gold", "s.side", "s.score")
-    d = auc(both, "r", "side").groupBy("r").agg(F.sum(F.when(F.col("side") == "a", F.col("auc")).otherwise(-F.col("auc"))).alias("d"))
-    return d.agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("delta"), F.percentile(F.when(F.col("r") > 0, F.col("d")), [0.025, 0.975]).alias("p")).select("delta", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    w = F.when(F.col("r") == 0, 1).otherwise(poisson(uniform(seed, "r", "id")))
+    x = replicated(rows.select("id", "gold", "a", "b"), replicates, 0).withColumn("w", w).where("w > 0")
+    both = x.select("r", "gold", "w", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("score")), F.struct(F.lit("b").alias("side"), F.col("b").alias("score")))).alias("s")).select("r", "gold", "w", "s.side", "s.score")
+    d = auc(both, "r", "side", weight="w").groupBy("r").agg(F.sum(F.when(F.col("side") == "a", F.col("auc")).otherwise(-F.col("auc"))).alias("d"), F.count("auc").alias("k"))
+    d = d.where("k = 2").withColumn("drawn", F.when(F.col("r") > 0, F.col("d")))
+    return d.agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("delta"), *interval(d, "drawn"))
 
 
 def auc_null(rows: DataFrame, replicates: int = 200, seed: int = 17) -> DataFrame:
     """(r, delta): differences of mean AUC between two random rankings over cells; what no information looks like. rows (cell, id, gold)."""
-    x = rows.select("cell", "id", "gold", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-    score = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "r", "side", "cell", "id"), 11) / F.lit(float(1 << 53))
-    a = auc(x.select("cell", "r", "side", "gold", score.alias("score")), "cell", "r", "side")
+    x = replicated(rows.select("cell", "id", "gold"), replicates).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    a = auc(x.select("cell", "r", "side", "gold", uniform(seed, "r", "side", "cell", "id").alias("score")), "cell", "r", "side")
     return a.groupBy("r").agg((F.avg(F.when(F.col("side") == 0, F.col("auc"))) - F.avg(F.when(F.col("side") == 1, F.col("auc")))).alias("delta"))

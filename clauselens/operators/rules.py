@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grammar import FORCES
 from ..lineage import cut
 
 # --- conflicts ------------------------------------------------------------------------------------
@@ -63,22 +64,74 @@ def valid_extraction(norms: DataFrame, conditions: DataFrame, atoms: DataFrame)
 # --- closure --------------------------------------------------------------------------------------
 
 
-def reachable(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(a, b, hops): the shortest number of steps from a to b, up to ``most``; cycles give (a, a). edges (a, b)."""
+def reachable(edges: DataFrame, most: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """(a, b, hops): the shortest number of steps from a to b, up to ``most``; cycles give (a, a). edges (a, b).
+
+    starts (a), if given, are the only nodes that are followed. Each round writes its new pairs only.
+    """
+    e = cut(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    first = e if starts is None else e.join(starts.select("a").distinct(), "a", "left_semi")
+    fronts = [cut(first.withColumn("hops", F.lit(1)))]
+    while (most is None or len(fronts) < most) and not fronts[-1].isEmpty():
+        step = fronts[-1].select("a", F.col("b").alias("m")).join(e.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+        seen = reduce(DataFrame.union, (f.select("a", "b") for f in fronts))
+        fronts.append(cut(step.join(seen, ["a", "b"], "left_anti").withColumn("hops", F.lit(len(fronts) + 1))))
+    return reduce(DataFrame.union, fronts)
+
+
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node) of the starts (node) and all they lead to: a search from all of them at once, a row a node. edges (a, b)."""
     e = cut(edges.select("a", "b").where("a is not null and b is not null").distinct())
-    done = front = e.withColumn("hops", F.lit(1))
-    hops = 1
-    while (most is None or hops < most) and not front.isEmpty():
-        hops += 1
-        step = front.select("a", F.col("b").alias("m")).join(e.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
-        front = cut(step.join(done, ["a", "b"], "left_anti").withColumn("hops", F.lit(hops)))
-        done = cut(done.union(front))
-    return done
+    fronts = [cut(starts.select("node").where("node is not null").distinct())]
+    while not fronts[-1].isEmpty():
+        step = fronts[-1].join(e, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        fronts.append(cut(step.join(reduce(DataFrame.union, fronts), "node", "left_anti")))
+    return reduce(DataFrame.union, fronts)
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """The edges (a, b) that are left when those that no edge leads to, or whose end leads nowhere, are taken off again and again: empty if there is no cycle."""
+    e, n = cut(edges.select("a", "b").where("a is not null and b is not null").distinct()), -1
+    while (now := e.count()) not in (0, n):
+        n = now
+        e = cut(e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+    return e
 
 
 def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """Nodes that reach themselves, with the shortest way."""
-    return reachable(edges, most).where("a = b").select(F.col("a").alias("node"), "hops")
+    """(node, hops): nodes that reach themselves, with the shortest way; only the cyclic core is searched."""
+    return reachable(cyclic_core(edges), most).where("a = b").select(F.col("a").alias("node"), "hops")
+
+
+def feedback_edges(edges: DataFrame) -> DataFrame:
+    """(a, b): edges that close a cycle when edges are added in rank order. edges (a, b, rank).
+
+    Edges outside the cyclic core can't; the core's are added one by one within each of its weakly
+    connected parts, which the rules that use this keep small.
+    """
+    from .components import components
+
+    core = cyclic_core(edges)
+    at = components(core.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("a"), "root")
+    rows = core.join(at, "a").join(edges.groupBy("a", "b").agg(F.min("rank").alias("rank")), ["a", "b"])
+    spot = F.row_number().over(Window.partitionBy("root").orderBy("rank"))
+
+    def close(pdf):
+        after: dict = {}
+        out = []
+        for a, b in pdf.sort_values("spot")[["a", "b"]].itertuples(index=False):
+            seen, todo = {b}, [b]
+            while todo and a not in seen:
+                new = after.get(todo.pop(), set()) - seen
+                seen |= new
+                todo += new
+            if a in seen:
+                out.append((a, b))
+            else:
+                after.setdefault(a, set()).add(b)
+        return type(pdf)(out, columns=["a", "b"])
+
+    return rows.withColumn("spot", spot).select("root", "a", "b", "spot").groupBy("root").applyInPandas(close, edges.select("a", "b").schema)
 
 
 def self_loops(needs: DataFrame, provides: DataFrame) -> DataFrame:
@@ -96,7 +149,7 @@ def standing(asserts: DataFrame, beats: DataFrame) -> DataFrame:
     whose passage beats its own and that stands itself. beats must have no cycle; it is evaluated
     from the unbeaten ones down, a round for each depth. Raises on a cycle.
     """
-    if not beats.isEmpty() and not cycles(beats.select(F.col("x").alias("a"), F.col("y").alias("b"))).isEmpty():
+    if not cyclic_core(beats.select(F.col("x").alias("a"), F.col("y").alias("b"))).isEmpty():
         raise ValueError("beats has a cycle")
     a = cut(asserts.select("p", "d", "act").distinct())
     opposite = ((F.col("d") == "forbid") & F.col("d2").isin("permit", "oblige")) | ((F.col("d2") == "forbid") & F.col("d").isin("permit", "oblige"))
@@ -154,57 +207,37 @@ def engaged(node_acts: DataFrame, wanted: DataFrame, parents: DataFrame) -> Data
     return wanted.withColumnRenamed("act", "w").join(near.select(F.col("a").alias("w"), F.col("b").alias("act")), "w").join(node_acts, "act").select("q", "node", "act").distinct()
 
 
-def wall(annotated: DataFrame, declared: DataFrame, column: str) -> DataFrame:
-    """(q, node, passes): a declared query passes a node if some annotation agrees or is unspecified; no annotation passes.
+def wall(hits: DataFrame, annotated: DataFrame, declared: DataFrame, column: str) -> DataFrame:
+    """(q, node, passes) of the hits (q, node) that a wall applies to: the query declares something and the node is annotated.
 
-    annotated (node, value), declared (q, value). Queries that declare nothing pass everywhere and aren't listed.
+    A wall passes if some annotation agrees or is unspecified. annotated (node, value), declared (q, value).
     """
     q = declared.groupBy("q").agg(F.collect_set("value").alias("want"))
     n = annotated.groupBy("node").agg(F.collect_set("value").alias("have"))
-    return q.crossJoin(n).select("q", "node", (F.array_contains("have", "unspecified") | F.arrays_overlap("want", "have")).alias(column))
+    pairs = hits.select("q", "node").distinct().join(q, "q").join(n, "node")
+    return pairs.select("q", "node", (F.array_contains("have", "unspecified") | F.arrays_overlap("want", "have")).alias(column))
 
 
-def relevant(hits: DataFrame, walls: dict[str, DataFrame], channel: DataFrame | None = None) -> DataFrame:
-    """(q, node, relevant, blocked_by): hits behind walls; a channel (q, node) alone suffices. An absent wall row passes."""
+def relevant(hits: DataFrame, walls: dict[str, tuple[DataFrame, DataFrame]], channel: DataFrame | None = None) -> DataFrame:
+    """(q, node, relevant, blocked_by): hits behind walls (name: annotated, declared); a channel (q, node) alone suffices. Where a wall doesn't apply it passes."""
     out = hits.select("q", "node").distinct()
-    for name, w in walls.items():
-        out = out.join(w.select("q", "node", F.col(name)), ["q", "node"], "left").withColumn(name, F.coalesce(name, F.lit(True)))
-    stopped = F.array_compact(F.array(*(F.when(~F.col(n), F.lit(n)) for n in walls))) if walls else F.array().cast("array<string>")
+    for name, (annotated, declared) in walls.items():
+        out = out.join(wall(hits, annotated, declared, name), ["q", "node"], "left").withColumn(name, F.coalesce(name, F.lit(True)))
+    none = F.array().cast("array<string>")
+    stopped = F.array_compact(F.array(*(F.when(~F.col(n), F.lit(n)) for n in walls))) if walls else none
     out = out.select("q", "node", stopped.alias("blocked_by")).withColumn("relevant", F.size("blocked_by") == 0)
     if channel is not None:
         more = channel.select("q", "node").distinct().withColumn("c", F.lit(True))
-        out = out.join(more, ["q", "node"], "full_outer").select("q", "node", F.coalesce("blocked_by", F.array().cast("array<string>")).alias("blocked_by"), (F.coalesce("relevant", F.lit(False)) | F.coalesce("c", F.lit(False))).alias("relevant"))
+        out = out.join(more, ["q", "node"], "full_outer").select("q", "node", F.coalesce("blocked_by", none).alias("blocked_by"), (F.coalesce("relevant", F.lit(False)) | F.coalesce("c", F.lit(False))).alias("relevant"))
     return out
 
 
-# --- relations between names ----------------------------------------------------------------------
-
-
-def derived_relations(names: DataFrame) -> DataFrame:
-    """(a, rel, b) by rule: contrary of x and not_x; subsumes by name (y = modifier_x); same_as by equal key. names (name, key)."""
-    n = names.select("name", "key").distinct()
-    contrary = n.join(n.select(F.col("name").alias("b")), F.concat(F.lit("not_"), F.col("name")) == F.col("b")).select(F.col("name").alias("a"), F.lit("contrary").alias("rel"), "b")
-    tail = n.where(F.instr("name", "_") > 0).select(F.regexp_replace("name", "^[^_]+_", "").alias("a"), F.col("name").alias("b"), F.regexp_extract("name", "^([^_]+)_", 1).alias("m"))
-    subsumes = tail.where("m <> 'not'").join(n.select(F.col("name").alias("a")), "a").select("a", F.lit("subsumes").alias("rel"), "b")
-    other = n.select(F.col("name").alias("b"), "key")
-    same = n.join(other, "key").where("name < b").select(F.col("name").alias("a"), F.lit("same_as").alias("rel"), "b")
-    return contrary.union(subsumes).union(same)
-
-
-def guarded_relations(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, rel, b, reason): each proposed relation with the first reason to refuse it, or null. rows (a, rel, b, kind_a, kind_b)."""
-    k = known.select("name").distinct()
-    has = lambda c: k.select(F.col("name").alias(c), F.lit(True).alias("has_" + c))
-    turned = rows.where("rel = 'subsumes'").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("subsumes").alias("rel"), F.lit(True).alias("both")).distinct()
-    clash = rows.groupBy("a", "b").agg(F.bool_or(F.col("rel") == "contrary").alias("no"), F.bool_or(F.col("rel") == "same_as").alias("yes"))
-    j = rows.join(has("a"), "a", "left").join(has("b"), "b", "left").join(turned, ["a", "b", "rel"], "left").join(clash, ["a", "b"])
-    reason = F.when(F.col("has_a").isNull() | F.col("has_b").isNull(), "unknown").when(F.col("a") == F.col("b"), "self").when((F.col("rel") != "entails") & (F.col("kind_a") != F.col("kind_b")), "cross kind").when(F.col("no") & F.col("yes"), "contradictory").when(F.col("both"), "cycle")
-    return j.select("a", "rel", "b", reason.alias("reason"))
+# --- names ----------------------------------------------------------------------------------------
 
 
 def containment_edges(names: DataFrame, reserved: list[str], least: int = 2) -> DataFrame:
     """(child, parent): child is one plain modifier and the parent's name, and the parent has enough children. names (name)."""
-    n = names.select("name").where(~F.col("name").contains("__") & ~F.col("name").startswith("not_")).distinct()
+    n = names.select("name").where(~F.col("name").contains("__") & ~F.split("name", "_")[0].isin(*FORCES, "not")).distinct()
     t = n.where(F.instr("name", "_") > 0).select(F.col("name").alias("child"), F.regexp_extract("name", "^([^_]+)_", 1).alias("m"), F.regexp_replace("name", "^[^_]+_", "").alias("parent"))
     e = t.where(~F.col("m").isin(reserved)).join(n.withColumnRenamed("name", "parent"), "parent").select("child", "parent")
     many = e.groupBy("parent").agg(F.count_distinct("child").alias("k")).where(F.col("k") >= least).select("parent")
@@ -213,8 +246,6 @@ def containment_edges(names: DataFrame, reserved: list[str], least: int = 2) ->
 
 def rename_candidates(needs: DataFrame, provides: DataFrame, k: int = 3) -> DataFrame:
     """(need, provide, jaccard, rank): for each dangling need the provided names whose words are most alike; ties by name. Both: (name, words array)."""
-    from pyspark.sql import Window
-
     a = needs.select(F.col("name").alias("need"), F.explode(F.array_distinct("words")).alias("w"), F.size(F.array_distinct("words")).alias("sa"))
     b = provides.select(F.col("name").alias("provide"), F.explode(F.array_distinct("words")).alias("w"), F.size(F.array_distinct("words")).alias("sb"))
     g = a.join(b, "w").groupBy("need", "provide", "sa", "sb").agg(F.count(F.lit(1)).alias("n"))
@@ -234,9 +265,9 @@ def findings(*checks: tuple[str, str, DataFrame]) -> DataFrame:
 def state_machine_faults(steps: DataFrame, start: str, final: list[str]) -> DataFrame:
     """(state, fault): unreachable states, dead ends, and states that reach no final one. steps (a, b)."""
     all_ = steps.select("a").union(steps.select("b")).distinct().toDF("state")
-    r = reachable(steps)
-    at = r.where(F.col("a") == start).select(F.col("b").alias("state")).union(steps.sparkSession.createDataFrame([(start,)], "state string")).distinct()
-    ends = r.where(F.col("b").isin(final)).select(F.col("a").alias("state")).distinct()
+    given = lambda states: steps.sparkSession.createDataFrame([(x,) for x in states], "node string")
+    at = reached(steps, given([start])).withColumnRenamed("node", "state")
+    ends = reached(steps.select(F.col("b").alias("a"), F.col("a").alias("b")), given(final)).withColumnRenamed("node", "state")
     off = all_.join(at, "state", "left_anti").select("state", F.lit("unreachable").alias("fault"))
     no_end = all_.where(~F.col("state").isin(final)).join(ends, "state", "left_anti").select("state", F.lit("reaches no end").alias("fault"))
     return off.union(no_end)
@@ -255,9 +286,65 @@ def situations(spark, atoms: list[str], exclusive: list[tuple[str, str]]) -> tup
     return out, (1 << len(atoms)) - out.count()
 
 
-def covering_set(rows: DataFrame) -> DataFrame:
-    """(atom, m1, m2): for each atom the first two situations that differ in it alone and in what follows. rows (mask, derived)."""
+def covering_set(rows: DataFrame, atoms: int) -> DataFrame:
+    """(atom, m1, m2): for each of so many atoms the first two situations that differ in it alone and in what follows. rows (mask, derived).
+
+    An atom without such a pair has no row. Raises if a mask holds an atom beyond them.
+    """
+    if not rows.where(F.shiftright(F.col("mask").cast("bigint"), atoms) != 0).isEmpty():
+        raise ValueError(f"a mask holds more than {atoms} atoms")
     x, y = rows.select(F.col("mask").alias("m1"), F.col("derived").alias("d1")), rows.select(F.col("mask").alias("m2"), F.col("derived").alias("d2"))
-    flip = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("atom")).withColumn("m2", F.col("m1").bitwiseXOR(F.pow(F.lit(2.0), "atom").cast("bigint"))).where("m1 < m2")
+    bits = F.array(*(F.struct(F.lit(k).alias("atom"), F.lit(1 << k).alias("bit")) for k in range(atoms)))
+    flip = x.select("*", F.explode(bits).alias("x")).select("m1", "d1", "x.atom", F.col("m1").bitwiseXOR(F.col("x.bit")).alias("m2")).where("m1 < m2")
     pairs = flip.join(y, "m2").where(~F.col("d1").eqNullSafe(F.col("d2")))
     return pairs.groupBy("atom").agg(F.min(F.struct("m1", "m2")).alias("p")).select("atom", "p.m1", "p.m2")
+
+
+# --- what an extraction says about its conflicts --------------------------------------------------
+
+
+def rule_coverage(rules: DataFrame, rejected: DataFrame, provisions: int) -> DataFrame:
+    """One row: rules_claimed, rules_rejected, rules_emitted, coverage, coverage_claimed (null if there are no provisions). rules (id), rejected (id); a rejected rule that wasn't claimed doesn't count."""
+    j = rules.select("id").where("id is not null").distinct().join(rejected.select("id").distinct().withColumn("no", F.lit(1)), "id", "left")
+    g = j.agg(F.count(F.lit(1)).alias("rules_claimed"), F.count("no").alias("rules_rejected"))
+    n = F.nullif(F.lit(float(provisions)), F.lit(0.0))
+    emitted = F.col("rules_claimed") - F.col("rules_rejected")
+    return g.select("*", emitted.alias("rules_emitted"), (emitted / n).alias("coverage"), (F.col("rules_claimed") / n).alias("coverage_claimed"))
+
+
+def unencoded_reasons(rows: DataFrame) -> DataFrame:
+    """(reason, n) of what wasn't encoded; null is an empty reason."""
+    return rows.groupBy(F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def conflict_channels(norms: DataFrame, incompatible: DataFrame) -> DataFrame:
+    """One row: n_incompat, n_live (between two obliged acts), n_both (acts both obliged and forbidden), any_open: whether any conflict can be derived at all.
+
+    norms (act, modality), incompatible (a, b).
+    """
+    acts = norms.where("act is not null").groupBy("act").agg(F.bool_or(F.col("modality") == "oblige").alias("o"), F.bool_or(F.col("modality") == "forbid").alias("f"))
+    obliged = acts.where("o").select("act")
+    live = incompatible.where("a <> b").join(obliged.withColumnRenamed("act", "a"), "a", "left_semi").join(obliged.withColumnRenamed("act", "b"), "b", "left_semi")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    one = n(incompatible, "n_incompat").crossJoin(n(live, "n_live")).crossJoin(n(acts.where("o and f"), "n_both"))
+    return one.withColumn("any_open", (F.col("n_live") > 0) | (F.col("n_both") > 0))
+
+
+def needs_reading(found: DataFrame, interpretive: DataFrame) -> DataFrame:
+    """conflicts() with literal: whether the witness holds without any interpretive atom (atom), so that the conflict stands on facts alone.
+
+    The witness is the smallest scenario, so an interpretive atom in it is in every scenario.
+    """
+    open_ = found.select("n1", "n2", "kind", F.explode("witness").alias("atom")).join(interpretive.select("atom").distinct(), "atom", "left_semi").select("n1", "n2", "kind").distinct().withColumn("_r", F.lit(True))
+    return found.join(open_, ["n1", "n2", "kind"], "left").withColumn("literal", F.col("_r").isNull()).drop("_r")
+
+
+def conflict_report(found: DataFrame, locators: DataFrame) -> DataFrame:
+    """One row a conflict of conflicts(): id (c0001 and on, by tier, then norms), both locators, the witness and its sentence. locators (norm, locator)."""
+    at = lambda x: locators.select(F.col("norm").alias(x), F.col("locator").alias("at_" + x))
+    j = found.join(at("n1"), "n1", "left").join(at("n2"), "n2", "left")
+    from .ordered import placed
+
+    out = placed(j, [], ["tier", "n1", "n2", "kind"], "_i")
+    prose = witness_prose(F.col("n1").cast("string"), F.col("n2").cast("string"), F.col("witness"))
+    return out.select(F.format_string("c%04d", "_i").alias("id"), "n1", "n2", "kind", "tier", "resolved", "at_n1", "at_n2", "witness", prose.alias("prose"))

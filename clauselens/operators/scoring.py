@@ -7,10 +7,14 @@ names or ids; which side is broadcast is left to the optimizer, by its size.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import raw_words, stemmed_rows
+from ..functions.grammar import parse_name, stem_of
+from ..functions.text import counted_stems, raw_words, stemmed_rows
+from .ordered import placed
 
 
 def term_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -18,9 +22,9 @@ def term_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     return stemmed_rows(docs.select(F.col(id).alias("id"), F.explode(raw_words(F.col(text))).alias("term")), "term")
 
 
-def term_counts(terms: DataFrame, *keys: str) -> DataFrame:
-    """(keys, term, tf)"""
-    return terms.groupBy(*(keys or ("id",)), "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, term, tf) of texts, one row of docs an id; see counted_stems()."""
+    return counted_stems(docs, id, text)
 
 
 def count_ids(rows: DataFrame, id: str = "id") -> DataFrame:
@@ -47,9 +51,10 @@ def atom_idf(atoms: DataFrame, total: DataFrame, stop: float = 0.25) -> DataFram
     return df.crossJoin(total).select("name", "df", weight.alias("idf"))
 
 
-def vocabulary(atoms: DataFrame) -> DataFrame:
-    """(name, df, occurrences), for a sort by falling df and name."""
-    return atoms.groupBy("name").agg(F.count_distinct("id").alias("df"), F.count(F.lit(1)).alias("occurrences"))
+def vocabulary(atoms: DataFrame, times: str | None = None) -> DataFrame:
+    """(name, df, occurrences), for a sort by falling df and name; times: a column that says how often a row counts."""
+    n = F.count(F.lit(1)) if times is None else F.sum(times)
+    return atoms.groupBy("name").agg(F.count_distinct("id").alias("df"), n.alias("occurrences"))
 
 
 def unit_vectors(counts: DataFrame, weights: DataFrame, key: str = "id") -> DataFrame:
@@ -109,27 +114,69 @@ def section_top_mean(scores: DataFrame, section: str = "section", k: int = 3) ->
 def combined_scores(universe: DataFrame, channels: dict[str, tuple[DataFrame, float]], section: str = "section", section_weight: float = 0.45, k: int = 3) -> DataFrame:
     """(q, id, section, one column a channel, section_score, raw): weighted channels and the section channel on top.
 
-    universe: (q, id, section), so that ids without any signal stay with 0.
+    universe (id, section). Rows are the ids of every section in which a query has any signal: the
+    others are 0 in each column and are left out, so queries and ids are never crossed. A section's
+    mean is over its k best ids, those without signal included.
     """
-    out = universe
-    for name, (scores, weight) in channels.items():
-        out = out.join(scores.select("q", "id", (F.lit(weight) * F.col("score")).alias(name)), ["q", "id"], "left").fillna(0.0, [name])
-    out = out.withColumn("score", sum((F.col(c) for c in channels), F.lit(0.0)))
-    means = section_top_mean(out, section, k).select("q", section, (F.lit(section_weight) * F.col("score")).alias("section_score"))
-    return out.join(means, ["q", section]).withColumn("raw", F.col("score") + F.col("section_score")).drop("score")
+    named = [s.select("q", "id", F.struct(*(F.lit(weight).cast("double") * F.col("score") if n == name else F.lit(0.0) for n in channels)).alias("c")) for name, (s, weight) in channels.items()]
+    parts = [d.select("q", "id", *(F.col("c")[f"col{i + 1}"].alias(n) for i, n in enumerate(channels))) for d in named]
+    both = parts[0]
+    for d in parts[1:]:
+        both = both.unionByName(d)
+    sums = both.groupBy("q", "id").agg(*(F.sum(n).alias(n) for n in channels)).join(universe.select("id", section), "id")
+    sums = sums.withColumn("score", sum((F.col(c) for c in channels), F.lit(0.0)))
+    size = universe.groupBy(section).agg(F.count(F.lit(1)).alias("_m"))
+    best = top_ids(sums.where("score > 0"), k, "q", section).groupBy("q", section).agg(F.sum("score").alias("_s")).join(size, section)
+    means = best.select("q", section, (F.lit(section_weight) * F.col("_s") / F.least(F.lit(k), F.col("_m"))).alias("section_score"))
+    rows = means.join(universe.select("id", section), section).join(sums.drop(section), ["q", "id"], "left").fillna(0.0, [*channels, "score"])
+    return rows.select("q", "id", section, *channels, "section_score", (F.col("score") + F.col("section_score")).alias("raw"))
 
 
 def ranked(scores: DataFrame, value: str = "raw", key: str = "q") -> DataFrame:
-    """score = value over the key's largest (0 without signal), and rank by falling score, then id."""
-    top = scores.groupBy(key).agg(F.max(value).alias("top"))
-    out = scores.join(top, key).withColumn("score", F.when(F.col("top") > 0, F.col(value) / F.col("top")).otherwise(0.0)).drop("top")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id")))
+    """score = value over the key's largest (0 without signal), and rank by falling score, then id. A key's rows are split over tasks."""
+    top = scores.groupBy(key).agg(F.max(value).alias("_top"))
+    out = scores.join(top, key).withColumn("score", F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(0.0)).drop("_top")
+    return placed(out, [key], [F.desc("score"), "id"])
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Every knob of the bag scorer, so that a number can name the setting that gave it. The defaults are fixed values."""
+
+    lex: float = 1.0
+    atom: float = 0.6
+    kind: float = 0.0
+    section: float = 0.45
+    section_top_k: int = 3
+    expansion_docs: int = 12
+    expansion_terms: int = 25
+    expansion_beta: float = 0.5
+    kind_mismatch_discount: float = 0.4
+    atom_stopword_frac: float = 0.25
+
+
+def bag_scores(terms: DataFrame, atoms: DataFrame, sections: DataFrame, query_terms: DataFrame, query_atoms: DataFrame, weights: Weights = Weights()) -> DataFrame:
+    """(q, id, section, lex, atom, kind, section_score, raw) of every query and id that some channel or the section channel reaches.
+
+    terms (id, term, tf), atoms (id, name, kind), sections (id, section), query_terms (q, term, tf), query_atoms (q, name, kind). Ids that
+    aren't listed have no signal at all. The query is expanded by its best documents first.
+    """
+    total = sections.agg(F.count_distinct("id").alias("n"))
+    idf_ = idf(terms, total)
+    vectors, asked = unit_vectors(terms, idf_), unit_vectors(query_terms, idf_, "q")
+    asked = expanded(asked, vectors, weights.expansion_docs, weights.expansion_terms, weights.expansion_beta)
+    channels = {
+        "lex": (cosines(asked, vectors), weights.lex),
+        "atom": (atom_scores(query_atoms, atoms, atom_idf(atoms, total, weights.atom_stopword_frac), weights.kind_mismatch_discount), weights.atom),
+        "kind": (kind_scores(query_atoms, atoms), weights.kind),
+    }
+    return combined_scores(sections, channels, "section", weights.section, weights.section_top_k)
 
 
 def explain_terms(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(q, id, terms): the k terms that add most to a cosine, as an array of (part, term)."""
     part = queries.select("q", "term", F.col("w").alias("qw")).join(vectors, "term").select("q", "id", "term", (F.col("qw") * F.col("w")).alias("part"))
-    order = Window.partitionBy("q", "id").orderBy(F.desc("part"), "term")
+    order = Window.partitionBy("q", "id").orderBy(F.desc(F.round("part", 12)), "term")
     best = part.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
     return best.groupBy("q", "id").agg(F.array_sort(F.collect_list(F.struct("rn", "term", "part"))).alias("terms"))
 
@@ -141,23 +188,74 @@ RUNGS = ("act_and_situation", "multi_atom", "act_match", "situation_match", "sup
 
 
 def evidence(queries: DataFrame, atoms: DataFrame, contraries: DataFrame | None = None) -> DataFrame:
-    """(q, id, slot, name, how): an atom meets a query atom by exact name, else by stem; contraries block.
+    """(q, id, slot, query_name, name, how): an id's atom meets a query atom by its whole name, else by its stem, in one slot.
 
-    queries (q, slot, name), atoms (id, name), contraries (name, against).
+    queries (q, slot, name), atoms (id, name, and maybe slot), contraries (name, against): an atom that a
+    query atom of the slot is against, by name or stem, is no evidence.
     """
-    exact = queries.join(atoms.select("id", "name").distinct(), "name").select("q", "id", "slot", "name", F.lit("name").alias("how"))
-    stem = lambda c: F.regexp_replace(F.regexp_replace(c, "__.*$", ""), "^not_", "")
-    left, right = queries.withColumn("stem", stem(F.col("name"))), atoms.select("id", F.col("name").alias("own"), stem(F.col("name")).alias("stem")).distinct()
-    loose = left.join(right, "stem").where("own <> name").select("q", "id", "slot", F.col("own").alias("name"), F.lit("stem").alias("how"))
-    loose = loose.join(exact.select("q", "id", "slot").distinct(), ["q", "id", "slot"], "left_anti")
-    out = exact.unionByName(loose)
+    slots = ["slot"] if "slot" in atoms.columns else []
+    own = atoms.select("id", *slots, "name").distinct().withColumn("stem", stem_of(F.col("name")))
+    asked = queries.select("q", "slot", F.col("name").alias("query_name")).distinct()
+    exact = asked.join(own.withColumn("query_name", F.col("name")), ["query_name", *slots]).select("q", "id", "slot", "query_name", "name", F.lit("name").alias("how"))
+    loose = asked.join(own.where("stem <> name").withColumnRenamed("stem", "query_name"), ["query_name", *slots]).select("q", "id", "slot", "query_name", "name", F.lit("stem").alias("how"))
+    out = exact.unionByName(loose.join(exact.select("q", "id", "slot", "name"), ["q", "id", "slot", "name"], "left_anti"))
     if contraries is not None:
-        both = contraries.union(contraries.select("against", "name"))
-        blocked = queries.join(both, "name").select("q", "slot", F.col("against").alias("name")).join(atoms, "name").select("q", "id", "slot").distinct()
-        out = out.join(blocked, ["q", "id", "slot"], "left_anti")
+        both = contraries.select("name", "against").union(contraries.select("against", "name")).distinct()
+        foes = queries.join(both, "name").select("q", "slot", F.col("against").alias("foe")).distinct()
+        met = out.withColumn("foe", F.explode(F.array_distinct(F.array("name", stem_of(F.col("name")))))).join(foes, ["q", "slot", "foe"], "left_semi")
+        out = out.join(met.select("q", "id", "slot", "name").distinct(), ["q", "id", "slot", "name"], "left_anti")
     return out
 
 
+# What each force directs: the conduct, its absence, or neither.
+FORCE_SIGN = {"must": 1, "should": 1, "mustnot": -1, "shouldnot": -1, "may": 0}
+
+
+def _sign(name: str):
+    force = parse_name(F.col(name))["polarity"]
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in FORCE_SIGN.items() for x in pair))[force], F.lit(0))
+
+
+def _filled(slot: str) -> Column:
+    return F.coalesce(F.bool_or(F.col("slot") == slot), F.lit(False))
+
+
+def _aligned(parties: Column) -> Column:
+    """An atom without a chain, or one whose chain shares a party with those wanted; all where nothing is wanted."""
+    chain = parse_name(F.col("name"))["principals"]
+    return (F.size(parties) == 0) | (F.size(chain) == 0) | F.arrays_overlap(chain, parties)
+
+
+def _patient_aligned() -> Column:
+    chain = parse_name(F.col("name"))["principals"]
+    wanted = F.when(F.size("patients") > 0, F.col("patients")).otherwise(F.col("roles"))
+    return (F.size(wanted) == 0) | (F.size(chain) == 0) | F.arrays_overlap(F.slice(chain, 2, 20), wanted)
+
+
+#: Predicates over the evidence (slot, query_name, name, roles, patients) of a (q, id), as aggregates without a parameter.
+#: roles are the parties that the query names, patients those it names as acted upon. What carries no notation excludes nothing.
+OPERATORS = {
+    "act_and_situation": lambda: _filled("act") & _filled("situation"),
+    "multi_atom": lambda: F.count_distinct("name") >= 2,
+    "act_match": lambda: _filled("act"),
+    "situation_match": lambda: _filled("situation"),
+    "sit_or_act": lambda: _filled("act") | _filled("situation"),
+    "any_atom": lambda: F.count(F.lit(1)) > 0,
+    "support_only": lambda: ~(_filled("act") | _filled("situation")),
+    "directive_atom": lambda: F.bool_or((_sign("name") != 0) | parse_name(F.col("name"))["polarity"].isNull()),
+    "polarity_consistent": lambda: F.bool_or(~((_sign("name") != 0) & (_sign("query_name") != 0) & (_sign("name") != _sign("query_name")))),
+    "role_aligned": lambda: F.bool_or(_aligned(F.col("roles"))),
+    "patient_aligned": lambda: F.bool_or(_patient_aligned()),
+}
+
+
+def typed_operators(found: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(q, id, one boolean an operator) of evidence() rows; roles and patients are empty where the columns are missing."""
+    for c in ("roles", "patients"):
+        found = found if c in found.columns else found.withColumn(c, F.array().cast("array<string>"))
+    return found.groupBy("q", "id").agg(*(OPERATORS[n]().alias(n) for n in names or OPERATORS))
+
+
 def rungs(found: DataFrame) -> DataFrame:
     """(q, id, rung): the first rung of RUNGS that evidence (q, id, slot, name) satisfies, from 0."""
     has = lambda slot: F.bool_or(F.col("slot") == slot)
@@ -187,8 +285,8 @@ def elections(fired: DataFrame, majority: float = 0.5, need_top: bool = False) -
     return g.withColumn("why_not", why).withColumn("elected", F.col("why_not").isNull())
 
 
-def best_subsumption(queries: DataFrame, atoms: DataFrame, parents: DataFrame, weights: DataFrame) -> DataFrame:
-    """(q, id, name, own, credit): for each query atom an id's best atom under a shared parent, min of both idfs.
+def subsumption_pairs(queries: DataFrame, atoms: DataFrame, parents: DataFrame, weights: DataFrame) -> DataFrame:
+    """(q, id, name, own, credit): query atoms and an id's atoms under a shared parent, at the smaller of the parent's and the atom's idf.
 
     queries (q, name), atoms (id, name), parents (child, parent), weights (name, idf).
     """
@@ -196,28 +294,44 @@ def best_subsumption(queries: DataFrame, atoms: DataFrame, parents: DataFrame, w
     w = lambda df, name, out: df.join(weights.select(F.col("name").alias(name), F.col("idf").alias(out)), name)
     left = w(up(queries.select("q", "name"), "name").withColumnRenamed("parent", "p"), "p", "wp")
     right = w(up(atoms.select("id", F.col("name").alias("own")), "own").withColumnRenamed("parent", "p"), "own", "wo")
-    pairs = left.join(right, "p").withColumn("credit", F.least("wp", "wo"))
+    return left.join(right, "p").select("q", "id", "name", "own", F.least("wp", "wo").alias("credit"))
+
+
+def best_subsumption(queries: DataFrame, atoms: DataFrame, parents: DataFrame, weights: DataFrame) -> DataFrame:
+    """(q, id, name, own, credit): for each query atom an id's best atom of subsumption_pairs(), the first by name of equals."""
+    pairs = subsumption_pairs(queries, atoms, parents, weights)
     best = pairs.groupBy("q", "id", "name").agg(F.min(F.struct((-F.col("credit")).alias("c"), "own")).alias("b"))
     return best.select("q", "id", "name", F.col("b.own").alias("own"), (-F.col("b.c")).alias("credit"))
 
 
+def explain_evidence(found: DataFrame) -> DataFrame:
+    """(q, id, why): for each slot the first evidence by kind of match and name, as text; = is a match by name, ~ by stem."""
+    first = found.groupBy("q", "id", "slot").agg(F.min(F.struct("how", "name", "query_name")).alias("e"))
+    say = F.concat(F.lit("["), "slot", F.lit("] "), "e.query_name", F.when(F.col("e.how") == "name", " = ").otherwise(" ~ "), "e.name")
+    g = first.groupBy("q", "id").agg(F.array_sort(F.collect_list(F.struct("slot", say.alias("say")))).alias("s"))
+    return g.select("q", "id", F.array_join(F.transform("s", lambda x: x["say"]), "; ").alias("why"))
+
+
 def greedy_credits(pairs: DataFrame) -> DataFrame:
-    """One-to-one credits: query atoms by name each take the best free atom of an id. pairs (q, id, name, own, credit).
+    """One-to-one credits: query atoms by name each take the best free atom of an id, the first by name of equals. pairs (q, id, name, own, credit).
 
-    The order matters, so each (q, id) is one group of its few atoms, in Arrow.
+    The order matters, so the few pairs of each (q, id) are sorted into an array and claimed one after the other.
     """
-
-    def claim(pdf):
-        taken, rows = set(), []
-        for name, group in sorted(pdf.groupby("name")):
-            free = [(-c, o) for c, o in zip(group.credit, group.own, strict=True) if o not in taken]
-            if free:
-                c, o = min(free)
-                taken.add(o)
-                rows.append((pdf.q.iloc[0], pdf.id.iloc[0], name, o, -c))
-        return type(pdf)(rows, columns=["q", "id", "name", "own", "credit"])
-
-    return pairs.groupBy("q", "id").applyInPandas(claim, pairs.select("q", "id", "name", "own", "credit").schema)
+    kind = {f.name: f.dataType for f in pairs.schema}
+    row = F.struct("name", (-F.col("credit")).alias("c"), "own")
+    empty = lambda t: F.array().cast(f"array<{t.simpleString()}>")
+    none = F.struct(
+        F.lit(None).cast(kind["name"]).alias("name"), empty(kind["own"]).alias("taken"),
+        F.array().cast(f"array<struct<name:{kind['name'].simpleString()},own:{kind['own'].simpleString()},credit:{kind['credit'].simpleString()}>>").alias("rows"),
+    )
+
+    def claim(held, x):
+        free = ~held["name"].eqNullSafe(x["name"]) & ~F.array_contains(held["taken"], x["own"])
+        more = F.struct(x["name"].alias("name"), F.array_append(held["taken"], x["own"]).alias("taken"), F.array_append(held["rows"], F.struct(x["name"].alias("name"), x["own"].alias("own"), (-x["c"]).alias("credit"))).alias("rows"))
+        return F.when(free, more).otherwise(held)
+
+    g = pairs.groupBy("q", "id").agg(F.array_sort(F.collect_list(row)).alias("p"))
+    return g.select("q", "id", F.explode(F.aggregate("p", none, claim, lambda s: s["rows"])).alias("r")).select("q", "id", "r.*")
 
 
 def patient_priced(credits: DataFrame, patients: DataFrame, discount: float = 0.5) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import formatting_reason, sentences
+from ..functions.text import citation_text, formatting_reason, sentences
 
 
 def lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,3 +110,23 @@ def neighbours(rows: DataFrame, width: int, doc: str = "id", pos: str = "pos", s
 def preceding(rows: DataFrame, value: str, doc: str = "id", section: str = "section", pos: str = "pos") -> DataFrame:
     """rows with before: the value of the nearest earlier row of the section."""
     return rows.withColumn("before", F.lag(value).over(Window.partitionBy(doc, section).orderBy(pos)))
+
+
+def passages(rows: DataFrame, version: str) -> DataFrame:
+    """(id, locator, section, pos, text): the content paragraphs under each heading of marked_lines(), normalised, numbered from 1 in their section.
+
+    The locator is version > #anchor or path > ¶pos. A paragraph that only repeats a section's title (a table of contents) is left out;
+    numbers count it, as they do in the document.
+    """
+    parts = sections(rows).where("section > 0")
+    body = blocks(rows).where("kind <> 'heading'")
+    own = Window.partitionBy("id").orderBy("at", "what")
+    marks = parts.select("id", F.col("start").alias("at"), F.lit(0).alias("what"), "section", F.lit(None).cast("string").alias("text"))
+    found = marks.unionByName(body.select("id", F.col("start").alias("at"), F.lit(1).alias("what"), F.lit(None).cast("bigint").alias("section"), "text"))
+    placed = found.withColumn("section", F.last("section", True).over(own)).where("what = 1 and section is not null")
+    numbered = placed.withColumn("pos", F.row_number().over(Window.partitionBy("id", "section").orderBy("at")))
+    named = numbered.join(parts.select("id", "section", "anchor", F.array_join("path", " > ").alias("path")), ["id", "section"]).withColumn("text", citation_text(F.col("text"))).where("text <> ''")
+    titles = parts.select("id", citation_text(F.col("title")).alias("text")).distinct()
+    ref = F.coalesce(F.concat(F.lit("#"), F.nullif(F.col("anchor"), F.lit(""))), F.col("path"))
+    where = F.concat(F.lit(version + " > "), ref, F.lit(" > ¶"), F.col("pos").cast("string"))
+    return named.join(titles, ["id", "text"], "left_anti").select("id", where.alias("locator"), F.col("path").alias("section"), "pos", "text")

@@ -12,8 +12,8 @@ from ..functions.text import content_hash
 
 
 def hashed(seed: int, *columns: str) -> Column:
-    """A number that orders rows at random, fixed by seed and columns."""
-    return F.xxhash64(F.lit(seed), *columns)
+    """Text that orders rows at random, fixed by seed and columns: md5(seed:values), the same in SQL."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
 
 
 def freeze(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,8 +66,12 @@ def least_severe(rows: DataFrame, key: str, severity: str, order: str) -> DataFr
 
 
 def equivalence(rows: DataFrame) -> DataFrame:
-    """(signature, ids, n): ids with the same set of names; rows (id, name). Only a hash and sorted names are shuffled."""
-    s = rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("signature"))
+    """(signature, first, n): ids with the same set of names, the smallest of them, and how many; rows (id, name).
+
+    The signature is the SHA-256 of the sorted names, their lengths before them, so that no two sets share one by their spelling.
+    """
+    named = F.transform(F.array_sort(F.collect_set(F.col("name").cast("string"))), lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x))
+    s = rows.groupBy("id").agg(F.sha2(F.array_join(named, ","), 256).alias("signature"))
     return s.groupBy("signature").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
@@ -121,7 +125,7 @@ def batches(rows: DataFrame, section: str, order: str, size: int) -> DataFrame:
 
 def split_pairs(rows: DataFrame, key: str, seed: int = 17) -> DataFrame:
     """rows with side: dev or held, by a coin for each key."""
-    return rows.withColumn("side", F.when(F.pmod(hashed(seed, key), F.lit(2)) == 0, "dev").otherwise("held"))
+    return rows.withColumn("side", F.when(F.substring(hashed(seed, key), 1, 1) < "8", "dev").otherwise("held"))
 
 
 def kept_by_gate(rows: DataFrame, seed: str, bucket: str, id: str, rate: str) -> DataFrame:
@@ -142,3 +146,22 @@ def waivers(findings: DataFrame, waived: DataFrame, keys: list[str]) -> DataFram
     """(keys, status): open findings, honoured waivers and unused ones."""
     j = findings.select(*keys).distinct().withColumn("f", F.lit(1)).join(waived.select(*keys).distinct().withColumn("w", F.lit(1)), keys, "full_outer")
     return j.select(*keys, F.when(F.col("f").isNull(), "unused").when(F.col("w").isNull(), "open").otherwise("honoured").alias("status"))
+
+
+def without_names(annotations: DataFrame, queries: DataFrame, drop: DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """Both tables without the names of drop (name): a set operation on the shared vocabulary. Neither is changed otherwise."""
+    gone = drop.select(name).distinct()
+    return annotations.join(gone, name, "left_anti").select(*annotations.columns), queries.join(gone, name, "left_anti").select(*queries.columns)
+
+
+def emptied(annotations: DataFrame, drop: DataFrame, id: str = "id", name: str = "name") -> DataFrame:
+    """Ids all of whose names are dropped."""
+    gone = drop.select(name).distinct()
+    return annotations.select(id).distinct().join(annotations.join(gone, name, "left_anti").select(id).distinct(), id, "left_anti")
+
+
+def conflict_buckets(tool: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(a, b, bucket) of unordered pairs: tool_only, baseline_only or both. Both: (a, b)."""
+    pairs = lambda df, x: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn(x, F.lit(True))
+    j = pairs(tool, "_t").join(pairs(baseline, "_s"), ["a", "b"], "full_outer")
+    return j.select("a", "b", F.when(F.col("_t") & F.col("_s"), "both").when(F.col("_t"), "tool_only").otherwise("baseline_only").alias("bucket"))

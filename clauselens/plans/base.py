@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import STEM_ROUNDS, STOPWORDS, SUFFIXES
+from ..operators.resample import POISSON
 from ..workers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +53,17 @@ def tokens_sql(table: str, id: str, text: str = "text", p: str = "") -> str:
     return ",\n".join(out)
 
 
+def uniform_sql(parts: str, seed: int = 17) -> str:
+    """uniform() in SQL; parts: texts, comma-separated."""
+    return f"(('0x' || left(md5(concat_ws(':', '{seed}', {parts})), 8))::BIGINT / 4294967296.0)"
+
+
+def poisson_sql(parts: str, seed: int = 17) -> str:
+    """poisson(uniform()) in SQL."""
+    u = uniform_sql(parts, seed)
+    return "list_sum([" + ", ".join(f"({u} >= {p})::INT" for p in POISSON) + "])::BIGINT"
+
+
 DOC_TOK = tokens_sql("documents", "doc_id")
 BENCH_TOK = tokens_sql("benchmark", "item_id", p="b")
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import cuts as C
 from ..operators import metrics as M
 from ..operators import resample as R
-from .base import Tables, otsu_sql, query
+from ..operators import scoring as S
+from .base import DOC_TOK, Tables, otsu_sql, poisson_sql, query, uniform_sql
 
 EV = "WITH sc AS (SELECT event_type AS key, event_id AS id, value AS score FROM events)"
 EXT = EV + ", pos AS (SELECT * FROM sc WHERE score > 0), e AS (SELECT key, min(score) AS lo, max(score) AS hi, count(*) AS n, avg(score) AS mu, stddev_pop(score) AS sd FROM pos GROUP BY key)"
@@ -58,7 +59,11 @@ def top_quantile_cuts_events(t):
     return C.label_free_cuts(_events(t), ["top_q=0.05", "top_q=0.10", "top_q=0.25"])
 
 
-@query()
+@query(
+    EXT.replace("WITH", "WITH RECURSIVE", 1)
+    + """, r AS (SELECT key, mu AS cut, 0 AS k FROM e UNION ALL SELECT r.key, coalesce((avg(p.score) FILTER (p.score < r.cut) + avg(p.score) FILTER (p.score >= r.cut)) / 2, any_value(r.cut)), any_value(r.k) + 1 FROM r JOIN pos p ON p.key = r.key WHERE r.k < 100 GROUP BY r.key)
+SELECT e.key, round(CASE WHEN lo = hi THEN 2.0 ELSE cut END, 6) AS cut FROM r JOIN e ON e.key = r.key WHERE k = 100"""
+)
 def isodata_cut_events(t):
     return C.isodata(_events(t)).select("key", F.round("cut", 6).alias("cut"))
 
@@ -76,7 +81,10 @@ def cut_bystanders_events(t):
     return C.bystanders(e, C.otsu(e), [0.5, 2.5, 10.0])
 
 
-@query()
+@query(
+    EV + ", d AS (SELECT key || chr(1) || r AS key, id, score, unnest(range(" + poisson_sql("r::VARCHAR, id::VARCHAR") + ")) AS n FROM sc, (SELECT unnest(range(1, 11)) AS r) WHERE score > 0),"
+    + otsu_sql("d") + " SELECT split_part(key, chr(1), 1) AS key, round(quantile_cont(cut, 0.05), 6) AS low, round(quantile_cont(cut, 0.5), 6) AS mid, round(quantile_cont(cut, 0.95), 6) AS high FROM otsu_cut GROUP BY ALL"
+)
 def cut_bootstrap_events(t):
     return R.cut_bootstrap(_events(t), C.otsu, 10).select("key", F.round("low", 6).alias("low"), F.round("mid", 6).alias("mid"), F.round("high", 6).alias("high"))
 
@@ -242,12 +250,8 @@ def stratified_flag_effect(t):
 
 
 def _growth(t: Tables):
-    from ..operators.scoring import term_rows
-
-    return M.growth(term_rows(t.documents, "doc_id", "text").groupBy("term").agg(F.min("id").alias("pos")))
-
+    return M.growth(S.term_counts(t.documents, "doc_id", "text").groupBy("term").agg(F.min("id").alias("pos")))
 
-from .base import DOC_TOK  # noqa: E402
 
 GROW = f"WITH {DOC_TOK}, f AS (SELECT term, min(id) AS pos FROM tok GROUP BY term), c AS (SELECT pos, count(*) AS c FROM f GROUP BY pos), g AS (SELECT pos, (sum(c) OVER (ORDER BY pos))::BIGINT AS names FROM c)"
 
@@ -262,47 +266,97 @@ def heaps_slope_tokens(t):
     return M.heaps_slope(_growth(t)).select(F.round("slope", 6).alias("slope"))
 
 
-# --- resampling: hash draws, so rows only ---------------------------------------------------------
+# --- resampling: draws are read from md5, which SQL has too ---------------------------------------
 
+LOW_HIGH = "round(quantile_cont({x}, 0.025), 6) AS low, round(quantile_cont({x}, 0.975), 6) AS high"
 
-@query()
+
+@query(
+    "WITH x AS (SELECT r, " + poisson_sql("r::VARCHAR, doc_id::VARCHAR") + " AS w, quality FROM labels, (SELECT unnest(range(1, 301)) AS r)), m AS (SELECT r, sum(w * quality) / nullif(sum(w), 0) AS m FROM x GROUP BY r) SELECT round((SELECT avg(quality) FROM labels), 6) AS mean, "
+    + LOW_HIGH.format(x="m") + " FROM m"
+)
 def bootstrap_mean_quality(t):
-    return R.bootstrap_mean(t.labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("x")), 300)
+    return _rounded(R.bootstrap_mean(t.labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("x")), 300))
+
+
+def _rounded(df):
+    return df.select(*(F.round(c, 6).alias(c) for c in df.columns))
 
 
 def _cells(t: Tables):
     return _labelled(t).select(F.col("lang").alias("cell"), "id", "gold", F.col("pred").alias("a"), (F.col("n_chars") > 300).alias("b"))
 
 
-@query()
+def _mcc_sql(pred: str, w: str = "w") -> str:
+    """Weighted confusion cells of a predicate inside an aggregate, as one MCC."""
+    k = lambda p, g: f"coalesce(sum({w}) FILTER ({p}{pred} AND {g}gold), 0)::DOUBLE"
+    tp, fp, fn, tn = k("", ""), k("", "NOT "), k("NOT ", ""), k("NOT ", "NOT ")
+    d = f"({tp} + {fp}) * ({tp} + {fn}) * ({tn} + {fp}) * ({tn} + {fn})"
+    return f"CASE WHEN {d} > 0 THEN ({tp} * {tn} - {fp} * {fn}) / sqrt({d}) ELSE 0 END"
+
+
+@query(
+    LAB + ", c AS (SELECT lang AS cell, id, gold, pred AS a, n_chars > 300 AS b FROM r), x AS (SELECT c.*, i AS r, CASE WHEN i = 0 THEN 1 ELSE " + poisson_sql("i::VARCHAR, cell, id::VARCHAR") + " END AS w FROM c, (SELECT unnest(range(0, 201)) AS i)), g AS (SELECT cell, r, "
+    + _mcc_sql("a") + " - (" + _mcc_sql("b") + ") AS d FROM x GROUP BY ALL), d AS (SELECT r, avg(d) AS d FROM g GROUP BY r) SELECT round((SELECT d FROM d WHERE r = 0), 6) AS delta, " + LOW_HIGH.format(x="d") + " FROM d WHERE r > 0"
+)
 def paired_bootstrap_mcc(t):
-    return R.paired_bootstrap(_cells(t), 200)
+    return _rounded(R.paired_bootstrap(_cells(t), 200))
 
 
-@query()
+@query(
+    LAB + ", c AS (SELECT lang AS cell, id, gold, pred AS a FROM r), x AS (SELECT c.*, i AS r, " + poisson_sql("i::VARCHAR, cell, id::VARCHAR") + " AS w0, " + poisson_sql("i::VARCHAR, cell, id::VARCHAR", 18) + " AS w1 FROM c, (SELECT unnest(range(1, 201)) AS i)), g AS (SELECT cell, r, "
+    + _mcc_sql("a", "w0") + " - (" + _mcc_sql("a", "w1") + ") AS d FROM x GROUP BY ALL), d AS (SELECT r, avg(d) AS d FROM g GROUP BY r) SELECT round((quantile_cont(d, 0.975) - quantile_cont(d, 0.025)) / 2, 6) AS floor FROM d"
+)
 def noise_floor_mcc(t):
-    return R.noise_floor(_cells(t), 200)
+    return _rounded(R.noise_floor(_cells(t), 200))
 
 
-@query()
+def _auc_sql(rows: str, keys: str, weight: str = "1") -> str:
+    """Common table expressions over {rows} (keys, score, gold) that end in auc (keys, auc)."""
+    return (
+        f"lv AS (SELECT {keys}, score, coalesce(sum({weight}) FILTER (gold), 0) AS p, coalesce(sum({weight}) FILTER (NOT gold), 0) AS n FROM {rows} GROUP BY ALL), un AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {keys} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS un FROM lv), "
+        f"auc AS (SELECT {keys}, sum(p * (un + n / 2.0)) / nullif(sum(p) * sum(n), 0) AS auc FROM un GROUP BY ALL)"
+    )
+
+
+@query(
+    LAB + ", x AS (SELECT i AS r, gold, CASE WHEN i = 0 THEN 1 ELSE " + poisson_sql("i::VARCHAR, id::VARCHAR") + " END AS w, unnest([{'s': 'a', 'v': n_chars::DOUBLE}, {'s': 'b', 'v': toxic::DOUBLE}]) AS y FROM r, (SELECT unnest(range(0, 101)) AS i)), z AS (SELECT r, gold, w, y.s AS side, y.v AS score FROM x WHERE w > 0), "
+    + _auc_sql("z", "r, side", "w") + ", d AS (SELECT r, sum(CASE WHEN side = 'a' THEN auc ELSE -auc END) AS d FROM auc GROUP BY r HAVING count(auc) = 2) SELECT round((SELECT d FROM d WHERE r = 0), 6) AS delta, " + LOW_HIGH.format(x="d") + " FROM d WHERE r > 0"
+)
 def paired_auc_delta(t):
-    return R.paired_auc(_labelled(t).select("id", "gold", F.col("n_chars").cast("double").alias("a"), F.col("toxic").cast("double").alias("b")), 100)
+    return _rounded(R.paired_auc(_labelled(t).select("id", "gold", F.col("n_chars").cast("double").alias("a"), F.col("toxic").cast("double").alias("b")), 100))
 
 
-@query()
+@query(
+    LAB + ", x AS (SELECT i AS r, j AS side, lang AS cell, gold, " + uniform_sql("i::VARCHAR, j::VARCHAR, lang, id::VARCHAR") + " AS score FROM r, (SELECT unnest(range(1, 51)) AS i), (SELECT unnest([0, 1]) AS j)), "
+    + _auc_sql("x", "cell, r, side") + " SELECT r::INT AS r, round(avg(auc) FILTER (side = 0) - avg(auc) FILTER (side = 1), 6) AS delta FROM auc GROUP BY r"
+)
 def auc_null_deltas(t):
-    return R.auc_null(_labelled(t).select(F.col("lang").alias("cell"), "id", "gold"), 50)
+    return R.auc_null(_labelled(t).select(F.col("lang").alias("cell"), "id", "gold"), 50).select("r", F.round("delta", 6).alias("delta"))
 
 
-@query()
+@query(
+    LAB + ", s AS (SELECT source, sum(quality) AS s, count(quality) AS c FROM r GROUP BY source), x AS (SELECT i AS r, s, c, " + poisson_sql("i::VARCHAR, source") + " AS w FROM s, (SELECT unnest(range(1, 201)) AS i)), m AS (SELECT r, sum(w * s) / nullif(sum(w * c), 0) AS m FROM x GROUP BY r) SELECT round((SELECT sum(s) / sum(c) FROM s), 6) AS mean, "
+    + LOW_HIGH.format(x="m") + " FROM m"
+)
 def cluster_bootstrap_quality(t):
-    return R.cluster_bootstrap(_labelled(t).select(F.col("source").alias("cluster"), F.col("quality").cast("double").alias("x")), 200)
+    return _rounded(R.cluster_bootstrap(_labelled(t).select(F.col("source").alias("cluster"), F.col("quality").cast("double").alias("x")), 200))
 
 
-@query()
+@query(
+    LAB + ", s AS (SELECT count(*) AS n, count(*) FILTER (toxic = 1) AS k, avg(quality) FILTER (toxic = 1) AS seen FROM r), m AS (SELECT i, avg(quality) AS m FROM r, s, (SELECT unnest(range(1, 200)) AS i) WHERE " + uniform_sql("i::VARCHAR, id::VARCHAR") + " < k / n GROUP BY i) SELECT round((SELECT seen FROM s), 6) AS observed, round((1 + count(*) FILTER (m >= (SELECT seen FROM s))) / 200.0, 6) AS p FROM m"
+)
 def set_null_pvalue(t):
     v = _labelled(t)
-    return R.set_null(v.select("id", F.col("quality").cast("double").alias("x")), v.where("toxic = 1").select("id"), 199)
+    return _rounded(R.set_null(v.select("id", F.col("quality").cast("double").alias("x")), v.where("toxic = 1").select("id"), 199))
+
+
+@query(
+    f"WITH {DOC_TOK}, v AS (SELECT term AS name, count(*) AS n FROM tok GROUP BY term), m AS (SELECT name FROM v WHERE length(name) = 9), b AS (SELECT coalesce(sum(n), 0) AS b FROM v WHERE name IN (SELECT name FROM m)), x AS (SELECT s, name, n, coalesce(sum(n) OVER (PARTITION BY s ORDER BY md5('17:' || s || ':' || name), name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM v, (SELECT unnest(range(1, 4)) AS s) WHERE name NOT IN (SELECT name FROM m)) SELECT s::INT AS s, name, n FROM x, b WHERE u < b"
+)
+def matched_random_names(t):
+    v = S.vocabulary(S.term_counts(t.documents, "doc_id", "text").withColumnRenamed("term", "name"), "tf").select("name", F.col("occurrences").alias("n"))
+    return R.random_names(v, v.where(F.length("name") == 9), 3)
 
 
 @query(LAB + ", ch AS (SELECT 1 AS q, id, n_chars / 1000.0 AS lex, quality::DOUBLE AS atom, toxic::DOUBLE AS kind FROM r), v AS (SELECT unnest([{'v': 'full', 'a': 1.0, 'b': 0.6, 'c': 0.2}, {'v': 'minus lex', 'a': 0.0, 'b': 0.6, 'c': 0.2}, {'v': 'minus atom', 'a': 1.0, 'b': 0.0, 'c': 0.2}, {'v': 'minus kind', 'a': 1.0, 'b': 0.6, 'c': 0.0}, {'v': 'lex only', 'a': 1.0, 'b': 0.0, 'c': 0.0}]) AS st) SELECT st.v AS variant, q, id, round(st.a * lex + st.b * atom + st.c * kind, 6) AS score FROM ch, v")

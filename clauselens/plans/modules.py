@@ -11,13 +11,13 @@ from ..operators import modules as Q
 from ..operators import scoring as S
 from .base import Tables, query
 
-EDGE = "WITH e AS (SELECT o_orderkey AS id, o_orderkey % 400 AS nlo, o_orderkey % 400 + 3 AS nhi, (o_orderkey * 13) % 400 AS plo, (o_orderkey * 13) % 400 + 3 AS phi, o_orderstatus AS s FROM orders WHERE o_orderkey < 1500)"
+EDGE = "WITH e AS (SELECT o_orderkey AS id, o_orderkey % 400 AS nlo, o_orderkey % 400 + 3 AS nhi, (o_orderkey * 13) % 400 AS plo, (o_orderkey * 13) % 400 + 3 AS phi, o_orderstatus AS s FROM orders)"
 OVER = "e.nlo <= f.nhi AND f.nlo <= e.nhi AND e.plo <= f.phi AND f.plo <= e.phi"
 
 
 def _edges(t: Tables):
     k = F.col("o_orderkey")
-    return t.orders.where("o_orderkey < 1500").select(k.alias("id"), (k % 400).alias("nlo"), (k % 400 + 3).alias("nhi"), ((k * 13) % 400).alias("plo"), ((k * 13) % 400 + 3).alias("phi"), F.col("o_orderstatus").alias("s"))
+    return t.orders.select(k.alias("id"), (k % 400).alias("nlo"), (k % 400 + 3).alias("nhi"), ((k * 13) % 400).alias("plo"), ((k * 13) % 400 + 3).alias("phi"), F.col("o_orderstatus").alias("s"))
 
 
 @query(EDGE + f" SELECT id FROM e WHERE s = 'O' AND EXISTS (SELECT 1 FROM e f WHERE f.s = 'O' AND f.id <> e.id AND {OVER})")
@@ -31,35 +31,39 @@ def graph_comparison(t):
     return G.compare(e.where("s = 'F'"), e.where("s = 'O'")).select("a", "b", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-SPAN = "WITH n AS (SELECT c_custkey AS id, (c_custkey * 37) % 3000 AS lo, (c_custkey * 37) % 3000 + c_nationkey AS hi, c_mktsegment AS class FROM customer WHERE c_custkey < 400)"
+SPAN = "WITH n AS (SELECT c_custkey AS id, c_custkey * 3 AS lo, CASE WHEN c_custkey % 97 = 0 THEN c_custkey * 3 - 1 ELSE c_custkey * 3 + c_nationkey END AS hi, c_mktsegment AS class FROM customer)"
+
+
+LINES = 1 << 40
 
 
 def _spans(t: Tables):
+    """Closed line ranges; a few end before they begin."""
     k = F.col("c_custkey")
-    return t.customer.where("c_custkey < 400").select(k.alias("id"), ((k * 37) % 3000).alias("lo"), ((k * 37) % 3000 + F.col("c_nationkey")).alias("hi"), F.col("c_mktsegment").alias("class"))
+    return t.customer.select(k.alias("id"), (k * 3).alias("lo"), F.when(k % 97 == 0, k * 3 - 1).otherwise(k * 3 + F.col("c_nationkey")).alias("hi"), F.col("c_mktsegment").alias("class"))
 
 
 @query(
-    SPAN + """, g AS (SELECT * FROM n WHERE hi < 3000), p AS (SELECT a.lo AS la, a.hi AS ha, b.lo AS lb, b.hi AS hb FROM g a JOIN g b ON a.id < b.id AND a.lo <= b.hi AND b.lo <= a.hi),
-nd AS (SELECT o_custkey AS node, o_orderkey % 300 AS name FROM orders WHERE o_custkey < 400), pv AS (SELECT c_custkey AS node, c_custkey % 250 AS name FROM customer WHERE c_custkey < 400)
-SELECT 'nodes' AS measure, count(*)::DOUBLE AS value FROM n UNION ALL SELECT 'bad ranges', count(*) FROM n WHERE hi >= 3000 UNION ALL SELECT 'smallest span', min(hi - lo + 1) FROM g UNION ALL SELECT 'median span', quantile_cont(hi - lo + 1, 0.5) FROM g UNION ALL SELECT 'largest span', max(hi - lo + 1) FROM g
+    SPAN + """, g AS (SELECT * FROM n WHERE hi >= lo), p AS (SELECT a.lo AS la, a.hi AS ha, b.lo AS lb, b.hi AS hb FROM g a JOIN g b ON a.id < b.id AND a.lo <= b.hi AND b.lo <= a.hi),
+nd AS (SELECT o_custkey AS node, o_orderkey AS name FROM orders), pv AS (SELECT c_custkey AS node, c_custkey // 2 * 3 AS name FROM customer)
+SELECT 'nodes' AS measure, count(*)::DOUBLE AS value FROM n UNION ALL SELECT 'bad ranges', count(*) FROM n WHERE hi < lo UNION ALL SELECT 'smallest span', min(hi - lo + 1) FROM g UNION ALL SELECT 'median span', quantile_cont(hi - lo + 1, 0.5) FROM g UNION ALL SELECT 'largest span', max(hi - lo + 1) FROM g
 UNION ALL SELECT 'overlapping pairs', count(*) FROM p UNION ALL SELECT 'nested pairs', count(*) FROM p WHERE (la <= lb AND hb <= ha) OR (lb <= la AND ha <= hb) UNION ALL SELECT 'multi-provided names', count(*) FROM (SELECT name FROM pv GROUP BY name HAVING count(DISTINCT node) > 1)
 UNION ALL SELECT 'dangling names', count(DISTINCT name) FROM nd WHERE name NOT IN (SELECT name FROM pv) UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT name, nd.node, pv.node FROM nd JOIN pv USING (name)) UNION ALL SELECT 'covered lines', count(DISTINCT l) FROM (SELECT unnest(range(lo, hi + 1)) AS l FROM g)"""
 )
 def graph_statistics(t):
-    needs = t.orders.where("o_custkey < 400").select(F.col("o_custkey").alias("node"), (F.col("o_orderkey") % 300).alias("name"))
-    provides = t.customer.where("c_custkey < 400").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") % 250).alias("name"))
-    return G.graph_statistics(_spans(t), needs, provides, 3000)
+    needs = t.orders.select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("name"))
+    provides = t.customer.select(F.col("c_custkey").alias("node"), (F.floor(F.col("c_custkey") / 2) * 3).alias("name"))
+    return G.graph_statistics(_spans(t), needs, provides, LINES)
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 @query(
-    SPAN + ", r AS (SELECT list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], class) AS r, class, unnest(range(lo, hi + 1)) AS l FROM n), o AS (SELECT l, arg_min(class, coalesce(r, 99)) AS class FROM r WHERE l < 3000 GROUP BY l), a AS (SELECT coalesce(class, 'unowned') AS class FROM range(0, 3000) t(l) LEFT JOIN o USING (l)) SELECT class, count(*) AS lines, round(count(*) / 3000.0, 6) AS share FROM a GROUP BY class"
+    SPAN + ", r AS (SELECT list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], class) AS r, class, unnest(range(lo, hi + 1)) AS l FROM n WHERE hi >= lo), o AS (SELECT l, arg_min(class, coalesce(r, 99)) AS class FROM r GROUP BY l), a AS (SELECT coalesce(class, 'unowned') AS class FROM (SELECT o_orderkey AS l FROM orders) LEFT JOIN o USING (l)) SELECT class, count(*) AS lines, round(count(*) / (SELECT count(*) FROM orders), 6) AS share FROM a GROUP BY class"
 )
 def line_mass(t):
-    return G.line_mass(_spans(t), {s: i for i, s in enumerate(SEGMENTS)}, t.spark.range(3000).withColumnRenamed("id", "line_no")).withColumn("share", F.round("share", 6))
+    return G.line_mass(_spans(t).where("hi >= lo"), {s: i for i, s in enumerate(SEGMENTS)}, t.orders.select(F.col("o_orderkey").alias("line_no"))).withColumn("share", F.round("share", 6))
 
 
 @query("WITH v AS (SELECT p_brand AS b, p_type AS ty, p_size > 25 AS verdict FROM part), g AS (SELECT b, ty, count(*) AS n, count(*) FILTER (verdict) AS yes FROM v GROUP BY ALL) SELECT n, yes, yes > 0 AND yes < n AS unsat, count(*) AS classes FROM g GROUP BY ALL")
@@ -108,9 +112,9 @@ def topk_precision(t):
     return Q.top_precision(r, 8).withColumn("precision", F.round("precision", 6))
 
 
-@query("WITH c AS (SELECT value / 500 AS cut FROM events WHERE event_id < 500) SELECT count(*) AS n, min(cut) AS low, max(cut) AS high, round(avg(cut), 6) AS mean, round(stddev_pop(cut), 6) AS sd, quantile_disc(cut, 0.05) AS q05, quantile_disc(cut, 0.5) AS q50, quantile_disc(cut, 0.95) AS q95 FROM c WHERE cut < 0.3")
+@query("WITH c AS (SELECT value / 500 AS cut FROM events) SELECT count(*) AS n, min(cut) AS low, max(cut) AS high, round(avg(cut), 6) AS mean, round(stddev_pop(cut), 6) AS sd, quantile_disc(cut, 0.05) AS q05, quantile_disc(cut, 0.5) AS q50, quantile_disc(cut, 0.95) AS q95 FROM c WHERE cut < 0.3")
 def cut_band(t):
-    return Q.band(t.events.where("event_id < 500").select((F.col("value") / 500).alias("cut")), 0.3).withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
+    return Q.band(t.events.select((F.col("value") / 500).alias("cut")), 0.3).withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
 @query(RANKED + ", o AS (SELECT id AS c, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r), n AS (SELECT count(*) AS n FROM o), s AS (SELECT o_custkey AS c, o_orderkey % 500 AS p FROM orders), b AS (SELECT p, max(n - rank + 1)::DOUBLE AS score FROM s JOIN o USING (c), n GROUP BY p) SELECT u AS p, coalesce(score, 0) AS score FROM range(0, 520) t(u) LEFT JOIN b ON b.p = u")
@@ -140,38 +144,41 @@ def module_comparison(t):
     return Q.compare_modules(modules, l.select("q", "id"), l.where("quality = 1")).select("module", "q", "tp", "fp", "fn", "tn", F.round("auc", 6).alias("auc"))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT c_nationkey % 2 AS side, CASE WHEN c_acctbal > 0 THEN 'agree' ELSE 'split' END AS stratum, c_custkey AS id FROM customer),
+p AS (SELECT *, row_number() OVER (PARTITION BY side, stratum ORDER BY md5('17:' || id), id) AS rn FROM r), q AS (SELECT * FROM p WHERE rn <= 20)
+SELECT side, stratum, id FROM q QUALIFY row_number() OVER (PARTITION BY side ORDER BY CASE WHEN rn <= 10 THEN 0 ELSE 1 END, rn, stratum) <= 20"""
+)
 def stratified_draw(t):
     return Q.stratified_draw(t.customer.select((F.col("c_nationkey") % 2).alias("side"), F.when(F.col("c_acctbal") > 0, "agree").otherwise("split").alias("stratum"), F.col("c_custkey").alias("id")), 20)
 
 
 @query()
 def readback_trials(t):
-    c = t.part.select(F.col("p_partkey").alias("id"), F.lit(0).alias("doc"), F.col("p_brand").alias("section"), F.col("p_type").alias("kind"), F.concat("p_type", F.col("p_size") % 5).alias("signature"))
+    """A brand is a document, a type a section."""
+    c = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("doc"), F.col("p_type").alias("section"), F.col("p_name").alias("kind"), F.concat("p_type", F.col("p_size") % 5).alias("signature"))
     return Q.readback_trials(c, 4)
 
 
-@query("WITH b AS (SELECT s_suppkey AS q, s_suppkey % 12 AS act, CASE s_nationkey % 3 WHEN 0 THEN 'does' WHEN 1 THEN 'avoids' ELSE 'permits' END AS form FROM supplier), d AS (SELECT DISTINCT o_orderkey % 10 AS act, CASE o_orderstatus WHEN 'F' THEN 'forbid' ELSE 'oblige' END AS d FROM orders WHERE o_orderkey < 40), j AS (SELECT q, b.act, CASE WHEN d IS NULL THEN 'silence' WHEN form = 'does' AND d = 'forbid' THEN 'act' WHEN form = 'avoids' AND d = 'oblige' THEN 'duality' WHEN form = 'permits' AND d = 'forbid' THEN 'permission' END AS kind FROM b LEFT JOIN d USING (act)) SELECT DISTINCT q, act, kind FROM j WHERE kind IS NOT NULL")
+@query("WITH b AS (SELECT s_suppkey AS q, s_suppkey % 1200 AS act, CASE s_nationkey % 3 WHEN 0 THEN 'does' WHEN 1 THEN 'avoids' ELSE 'permits' END AS form FROM supplier), d AS (SELECT DISTINCT o_orderkey % 1000 AS act, CASE o_orderstatus WHEN 'F' THEN 'forbid' ELSE 'oblige' END AS d FROM orders WHERE o_totalprice > 100000), j AS (SELECT q, b.act, CASE WHEN d IS NULL THEN 'silence' WHEN form = 'does' AND d = 'forbid' THEN 'act' WHEN form = 'avoids' AND d = 'oblige' THEN 'duality' WHEN form = 'permits' AND d = 'forbid' THEN 'permission' END AS kind FROM b LEFT JOIN d USING (act)) SELECT DISTINCT q, act, kind FROM j WHERE kind IS NOT NULL")
 def behaviour_conflicts(t):
-    b = t.supplier.select(F.col("s_suppkey").alias("q"), (F.col("s_suppkey") % 12).alias("act"), F.when(F.col("s_nationkey") % 3 == 0, "does").when(F.col("s_nationkey") % 3 == 1, "avoids").otherwise("permits").alias("form"))
-    d = t.orders.where("o_orderkey < 40").select((F.col("o_orderkey") % 10).alias("act"), F.when(F.col("o_orderstatus") == "F", "forbid").otherwise("oblige").alias("d"))
+    b = t.supplier.select(F.col("s_suppkey").alias("q"), (F.col("s_suppkey") % 1200).alias("act"), F.when(F.col("s_nationkey") % 3 == 0, "does").when(F.col("s_nationkey") % 3 == 1, "avoids").otherwise("permits").alias("form"))
+    d = t.orders.where("o_totalprice > 100000").select((F.col("o_orderkey") % 1000).alias("act"), F.when(F.col("o_orderstatus") == "F", "forbid").otherwise("oblige").alias("d"))
     return T.behaviour_conflicts(b, d)
 
 
-@query("WITH e AS (SELECT c_custkey % 30 AS question, c_nationkey AS answer FROM customer WHERE c_custkey < 100), o AS (SELECT c_custkey % 28 AS question, c_nationkey AS answer FROM customer WHERE c_custkey < 110) SELECT question, 'no run' AS fault FROM (SELECT DISTINCT question FROM e) WHERE question NOT IN (SELECT question FROM o) UNION ALL SELECT question, 'missing ' || answer FROM e WHERE question IN (SELECT question FROM o) AND (question, answer) NOT IN (SELECT (question, answer) FROM o) UNION ALL SELECT question, 'unexpected ' || answer FROM o WHERE (question, answer) NOT IN (SELECT (question, answer) FROM e)")
+@query("WITH e AS (SELECT c_custkey % 300 AS question, c_nationkey AS answer FROM customer WHERE c_acctbal > 0), o AS (SELECT c_custkey % 298 AS question, c_nationkey AS answer FROM customer WHERE c_mktsegment <> 'BUILDING') SELECT question, 'no run' AS fault FROM (SELECT DISTINCT question FROM e) WHERE question NOT IN (SELECT question FROM o) UNION ALL SELECT question, 'missing ' || answer FROM e WHERE question IN (SELECT question FROM o) AND (question, answer) NOT IN (SELECT (question, answer) FROM o) UNION ALL SELECT question, 'unexpected ' || answer FROM o WHERE (question, answer) NOT IN (SELECT (question, answer) FROM e)")
 def competency_faults(t):
-    c = lambda n, m: t.customer.where(f"c_custkey < {n}").select((F.col("c_custkey") % m).alias("question"), F.col("c_nationkey").alias("answer"))
-    return T.competency(c(100, 30), c(110, 28))
+    c = lambda rows, m: rows.select((F.col("c_custkey") % m).alias("question"), F.col("c_nationkey").alias("answer"))
+    return T.competency(c(t.customer.where("c_acctbal > 0"), 300), c(t.customer.where("c_mktsegment <> 'BUILDING'"), 298))
 
 
-@query("WITH RECURSIVE e AS (SELECT o_orderkey % 80 AS x, o_custkey % 80 AS y FROM orders WHERE o_orderkey < 120 AND o_orderkey % 80 <> o_custkey % 80), b AS (SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e), r AS (SELECT s_suppkey AS q, s_suppkey AS p FROM supplier WHERE s_suppkey < 4 UNION SELECT r.q, b.b FROM r JOIN b ON r.p = b.a) SELECT q, p FROM r")
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS x, p_partkey // 3 AS y FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e), r AS (SELECT s_suppkey AS q, s_suppkey AS p FROM supplier UNION SELECT r.q, b.b FROM r JOIN b ON r.p = b.a) SELECT q, p FROM r")
 def defeat_reachability(t):
-    b = t.orders.where("o_orderkey < 120").select((F.col("o_orderkey") % 80).alias("x"), (F.col("o_custkey") % 80).alias("y")).where("x <> y")
-    return T.defeat_reach(t.supplier.where("s_suppkey < 4").select(F.col("s_suppkey").alias("q"), F.col("s_suppkey").alias("p")), b)
+    k = F.col("p_partkey")
+    return T.defeat_reach(t.supplier.select(F.col("s_suppkey").alias("q"), F.col("s_suppkey").alias("p")), t.part.where(k % 5 != 0).select(k.alias("x"), F.floor(k / 3).alias("y")))
 
 
 @query("WITH s AS (SELECT c_custkey AS id, c_acctbal / 100 AS n FROM customer) SELECT a.m AS measure, count(*) AS n FROM s, (SELECT unnest(['low', 'high']) AS m) a WHERE (a.m = 'low' AND n < 20) OR (a.m = 'high' AND n >= 20) GROUP BY ALL")
 def tier_counts(t):
     return t.customer.select(F.when(F.col("c_acctbal") / 100 < 20, "low").otherwise("high").alias("measure")).groupBy("measure").agg(F.count(F.lit(1)).alias("n"))
-
-

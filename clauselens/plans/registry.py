@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import measuring, modules, scoring, structure  # noqa: F401
+from . import evidence, language, measuring, modules, scoring, structure  # noqa: F401
 from .base import ORACLE, QUERIES
 
 

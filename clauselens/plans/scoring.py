@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import dense_cosine
+from ..lineage import cut
 from ..operators import cuts as C
 from ..operators import joins as J
 from ..operators import scoring as S
@@ -12,7 +13,12 @@ from .base import BENCH_TOK, DOC_TOK, Tables, otsu_sql, query
 
 
 def _counts(t: Tables):
-    return S.term_counts(S.term_rows(t.documents, "doc_id", "text"))
+    return S.term_counts(t.documents, "doc_id", "text")
+
+
+def _kept_counts(t: Tables):
+    """Term counts for plans that read them more than once: written once, so that texts are tokenised once."""
+    return cut(_counts(t))
 
 
 def _total(t: Tables):
@@ -20,16 +26,14 @@ def _total(t: Tables):
 
 
 def _queries(t: Tables):
-    return S.term_counts(S.term_rows(t.benchmark, "item_id", "text"))
+    return S.term_counts(t.benchmark, "item_id", "text")
 
 
-def _overlap(t: Tables, items=None):
+def _overlap(t: Tables):
     """(q, id, score): summed idf of the terms that a benchmark item and a document share."""
-    counts = _counts(t)
-    idf = S.idf(counts, _total(t))
-    q = _queries(t).select(F.col("id").alias("q"), "term").distinct()
-    q = q.where(F.col("q") < items) if items else q
-    return q.join(idf, "term").join(counts.select("id", "term"), "term").groupBy("q", "id").agg(F.sum("idf").alias("score"))
+    counts = _kept_counts(t)
+    q = _queries(t).select(F.col("id").alias("q"), "term")
+    return q.join(S.idf(counts, _total(t)), "term").join(counts.select("id", "term"), "term").groupBy("q", "id").agg(F.sum("idf").alias("score"))
 
 
 CNT = f"WITH {DOC_TOK}, cnt AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL), nn AS (SELECT count(DISTINCT doc_id) AS n FROM documents)"
@@ -73,12 +77,12 @@ def doc_otsu_predictions(t):
 
 @query(VEC + " SELECT id, term, round(w, 6) AS w FROM vec")
 def doc_tfidf_vectors(t):
-    counts = _counts(t)
+    counts = _kept_counts(t)
     return S.unit_vectors(counts, S.idf(counts, _total(t))).select("id", "term", F.round("w", 6).alias("w"))
 
 
 def _vectors(t: Tables):
-    counts = _counts(t)
+    counts = _kept_counts(t)
     idf = S.idf(counts, _total(t))
     return S.unit_vectors(counts, idf), S.unit_vectors(_queries(t).withColumnRenamed("id", "q"), idf, "q")
 
@@ -106,7 +110,7 @@ ATOMS = f"WITH {DOC_TOK}, {BENCH_TOK}, atm AS (SELECT DISTINCT id, term AS name,
 
 
 def _atoms(t: Tables):
-    return S.term_rows(t.documents, "doc_id", "text").distinct().join(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("kind")), "id").select("id", F.col("term").alias("name"), "kind")
+    return _counts(t).join(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("kind")), "id").select("id", F.col("term").alias("name"), "kind")
 
 
 @query(ATOMS + " SELECT name, df, round(idf, 6) AS idf FROM ai")
@@ -116,16 +120,16 @@ def atom_idf_with_floor(t):
 
 @query(f"WITH {DOC_TOK} SELECT term AS name, count(DISTINCT id) AS df, count(*) AS occurrences FROM tok GROUP BY term")
 def atom_vocabulary(t):
-    return S.vocabulary(S.term_rows(t.documents, "doc_id", "text").withColumnRenamed("term", "name"))
+    return S.vocabulary(_counts(t).withColumnRenamed("term", "name"), "tf")
 
 
 def _query_atoms(t: Tables):
-    return S.term_rows(t.benchmark, "item_id", "text").distinct().select(F.col("id").alias("q"), F.col("term").alias("name"), F.lit("en").alias("kind"))
+    return _queries(t).select(F.col("id").alias("q"), F.col("term").alias("name"), F.lit("en").alias("kind"))
 
 
 @query(ATOMS + ", qa AS (SELECT DISTINCT id AS q, term AS name FROM btok), tp AS (SELECT max(idf) AS top FROM ai) SELECT q, atm.id, round(sum(idf * CASE WHEN kind = 'en' THEN 1 ELSE 0.4 END) / any_value(top), 6) AS score FROM qa JOIN atm USING (name) JOIN ai USING (name), tp GROUP BY q, atm.id")
 def atom_equi_join_scores(t):
-    a = _atoms(t)
+    a = cut(_atoms(t))
     return S.atom_scores(_query_atoms(t), a, S.atom_idf(a, _total(t))).select("q", "id", F.round("score", 6).alias("score"))
 
 
@@ -137,15 +141,15 @@ def section_top3_mean(t):
 
 BAG = (
     OVER
-    + """, u AS (SELECT q, doc_id AS id, source AS section FROM documents, (SELECT DISTINCT q FROM q WHERE q < 5)),
-lex AS (SELECT u.q, u.id, u.section, coalesce(round(ov.score, 6), 0) AS lex FROM u LEFT JOIN ov ON u.q = ov.q AND u.id = ov.id),
+    + """, u AS (SELECT DISTINCT q, source AS section FROM ov JOIN documents d ON d.doc_id = ov.id WHERE round(score, 6) > 0),
+lex AS (SELECT u.q, d.doc_id AS id, u.section, coalesce(round(ov.score, 6), 0) AS lex FROM u JOIN documents d ON d.source = u.section LEFT JOIN ov ON u.q = ov.q AND d.doc_id = ov.id),
 top3 AS (SELECT * FROM lex QUALIFY row_number() OVER (PARTITION BY q, section ORDER BY lex DESC, id) <= 3), sm AS (SELECT q, section, 0.45 * avg(lex) AS sec FROM top3 GROUP BY ALL)"""
 )
 
 
 def _bag(t: Tables):
-    u = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("section")).crossJoin(_queries(t).select(F.col("id").alias("q")).distinct().where("q < 5"))
-    return S.combined_scores(u, {"lex": (_overlap(t, 5).withColumn("score", F.round("score", 6)), 1.0)})
+    u = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("section"))
+    return S.combined_scores(u, {"lex": (_overlap(t).withColumn("score", F.round("score", 6)), 1.0)})
 
 
 @query(BAG + " SELECT q, id, section, round(lex + 3e-8, 5) AS lex, round(sec + 3e-8, 5) AS section_score, round(lex + sec + 3e-8, 5) AS raw FROM lex JOIN sm USING (q, section)")
@@ -161,11 +165,11 @@ def bag_scorer_rank(t):
 
 
 @query(
-    COS + ", pt AS (SELECT q, vec.id, term, qv.w * vec.w AS p FROM qv JOIN vec USING (term)), b AS (SELECT q, id, term, round(p, 6) AS part, row_number() OVER (PARTITION BY q, id ORDER BY round(p, 12) DESC, term) AS rn FROM pt WHERE q < 3) SELECT q, id, rn::INT AS rn, term, part FROM b WHERE rn <= 3"
+    COS + ", pt AS (SELECT q, vec.id, term, qv.w * vec.w AS p FROM qv JOIN vec USING (term)), b AS (SELECT q, id, term, round(p, 6) AS part, row_number() OVER (PARTITION BY q, id ORDER BY round(p, 12) DESC, term) AS rn FROM pt) SELECT q, id, rn::INT AS rn, term, part FROM b WHERE rn <= 3"
 )
 def explain_top_terms(t):
     v, q = _vectors(t)
-    e = S.explain_terms(q.where("q < 3").withColumn("w", F.col("w")), v, 3)
+    e = S.explain_terms(q, v, 3)
     return e.select("q", "id", F.explode("terms").alias("x")).select("q", "id", "x.rn", "x.term", F.round("x.part", 6).alias("part"))
 
 
@@ -185,7 +189,7 @@ def _slots(t: Tables):
 f AS (SELECT q, cnt.id, slot, max(ic * 2 / 3.0) AS b FROM qs JOIN ic USING (name) JOIN cnt ON cnt.term = qs.name GROUP BY ALL) SELECT q, id, round(sum(b), 6) AS mass FROM f GROUP BY ALL"""
 )
 def typed_evidence_mass(t):
-    counts = _counts(t)
+    counts = _kept_counts(t)
     ic = S.information_content(counts, _total(t)).select(F.col("term").alias("name"), "ic")
     found = _slots(t).join(counts.select("id", F.col("term").alias("name")), "name").withColumns({"hops": F.lit(0), "weight": F.lit(2)})
     return S.evidence_mass(found, ic).select("q", "id", F.round("mass", 6).alias("mass"))
@@ -212,9 +216,10 @@ def cosine_topk_embeddings(t):
     return J.top_similar(q, i, F.when(F.col("q") != F.col("id"), F.round(dense_cosine(F.col("x"), F.col("y")), 6)), 6).where("sim is not null and rank <= 5").select("q", "id", "sim", "rank")
 
 
-@query(f"WITH p AS (SELECT a.vec_id % 100 // 10 AS q, a.vec_id AS qa, b.vec_id AS id, greatest(0, {SIM}) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 100 AND a.vec_id % 10 < 3 AND a.label = b.label), m AS (SELECT q, id, qa, max(s) AS s FROM p GROUP BY ALL) SELECT q, id, round(sum(s), 5) AS score FROM m GROUP BY ALL")
+@query(f"WITH p AS (SELECT a.vec_id // 200 AS q, a.vec_id AS qa, b.vec_id AS id, greatest(0, {SIM}) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.label = b.label), m AS (SELECT q, id, qa, max(s) AS s FROM p GROUP BY ALL) SELECT q, id, round(sum(s), 5) AS score FROM m GROUP BY ALL")
 def soft_match_embeddings(t):
+    """Queries are the vectors whose id is divisible by 100, against all."""
     e = t.embeddings
-    q = e.where("vec_id < 100 and vec_id % 10 < 3").select(F.floor(F.col("vec_id") / 10).alias("q"), F.col("vec_id").alias("qa"), F.col("embedding").alias("x"), F.col("label").alias("block"))
+    q = e.where("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 200).alias("q"), F.col("vec_id").alias("qa"), F.col("embedding").alias("x"), F.col("label").alias("block"))
     i = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("y"), F.col("label").alias("block"))
     return S.soft_scores(q, i, dense_cosine(F.col("x"), F.col("y"))).select("q", "id", F.round("score", 5).alias("score"))

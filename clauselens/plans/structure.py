@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..lineage import cut
 from ..operators import joins as J
 from ..operators import log as L
 from ..operators import rules as R
 from ..operators import segment as G
 from ..operators import sets as D
+from ..operators.components import components
 from ..sources import loaders as O
-from .base import DOC_TOK, Tables, query
+from .base import Tables, query
 
 LINES = "WITH l AS (SELECT doc_id AS id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
 
@@ -43,21 +46,6 @@ def character_accounting(t):
     return a.agg(F.sum("chars").alias("chars")).crossJoin(total).select("chars", (F.col("chars") == F.col("n")).alias("whole"))
 
 
-@query()
-def document_sections(t):
-    return G.sections(G.marked_lines(G.lines(t.documents)))
-
-
-@query()
-def sentence_split(t):
-    return G.sentence_rows(t.documents)
-
-
-@query()
-def html_segments(t):
-    return O.html_blocks(t.pages)
-
-
 @query("SELECT * FROM (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[0-9]{4,}')) AS marker FROM documents)")
 def inline_markers(t):
     return G.markers(t.documents, r"[0-9]{4,}").select("id", "marker")
@@ -86,12 +74,35 @@ def neighbour_window(t):
 
 # --- scalar functions over texts ------------------------------------------------------------------
 
-BNK = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\[\\^[^\\]]*\\]', '', 'g'), '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '^\\s*(?:[-*+]|\\d+[.)])\\s+', '', 'g'), '\\s+', ' ', 'g'))"
+def joined_sql(text: str = "text", part: int = 1) -> str:
+    """join_text() in SQL."""
+    bare = f"regexp_replace(coalesce({text}, ''), '\\[\\^[a-z0-9]+\\]', '', 'g')"
+    plain = f"regexp_replace(regexp_replace({bare}, '\\[([^\\]]*)\\]\\(([^)]*)\\)', '\\{part}', 'g'), '\\*\\*|\\*|`', '', 'g')"
+    return f"trim(regexp_replace({plain}, '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT item_id, lower(trim(regexp_replace(regexp_replace({BNK}, '[*_`]+', '', 'g'), '\\s+', ' ', 'g'))) AS norm FROM benchmark")
+LINKED = "CASE item_id % 4 WHEN 0 THEN 'See [^a1] **the** [' || text || '](#s' || item_id || ') and [b](c)' WHEN 1 THEN replace(text, ' ', '  *') ELSE text END"
+
+
+def _linked(t: Tables):
+    """Benchmark items, some with links, footnote marks and emphasis."""
+    i, x = F.col("item_id"), F.col("text")
+    return t.benchmark.select(i, F.when(i % 4 == 0, F.concat(F.lit("See [^a1] **the** ["), x, F.lit("](#s"), i.cast("string"), F.lit(") and [b](c)"))).when(i % 4 == 1, F.replace(x, F.lit(" "), F.lit("  *"))).otherwise(x).alias("text"))
+
+
+@query(f"WITH l AS (SELECT item_id, {LINKED} AS text FROM benchmark) SELECT item_id, {joined_sql()} AS norm FROM l")
 def join_normaliser(t):
-    return t.benchmark.select("item_id", X.join_text(F.col("text")).alias("norm"))
+    return _linked(t).select("item_id", X.join_text(F.col("text")).alias("norm"))
+
+
+@query(f"WITH l AS (SELECT item_id, {LINKED} AS text FROM benchmark), v AS (SELECT item_id, {joined_sql()} AS norm FROM l UNION SELECT item_id, {joined_sql(part=2)} FROM l) SELECT item_id, norm FROM v")
+def link_renderings(t):
+    return _linked(t).select("item_id", F.explode(X.link_variants(F.col("text"))).alias("norm"))
+
+
+@query(f"WITH l AS (SELECT item_id, {LINKED} AS text FROM benchmark), m AS (SELECT item_id, unnest(CASE WHEN item_id % 4 = 0 THEN [text, 'See **the** ' || split_part(split_part(text, '**the** [', 2), '](#s', 1) || ' and c', 'See **the** #s' || item_id || ' and b', 'See **the** #s' || item_id || ' and c'] ELSE [text] END) AS text FROM l) SELECT DISTINCT item_id, {joined_sql()} AS norm FROM m")
+def mixed_link_renderings(t):
+    return _linked(t).select("item_id", F.explode(X.mixed_link_variants(F.col("text"))).alias("norm"))
 
 
 def _modal(words):
@@ -107,30 +118,6 @@ def modal_profiles(t):
     return t.documents.select("doc_id", X.modal_profile(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
-@query("SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(lower(text), '\\b{c}\\b') THEN '{c};' ELSE '' END" for c in X.DEFEATERS) + " AS cues FROM documents")
-def defeater_cues(t):
-    return t.documents.select("doc_id", F.array_join(F.transform(X.defeaters(F.col("text")), lambda c: F.concat(c, F.lit(";"))), "").alias("cues"))
-
-
-@query()
-def deontic_forces(t):
-    return t.conversations.select("conv_id", "turn", X.classify(F.col("text")).alias("c")).select("conv_id", "turn", F.array_join("c.forces", ",").alias("forces"), F.array_join("c.principals", ",").alias("principals"), F.array_join("c.categories", ",").alias("categories"))
-
-
-NAMES = "WITH n AS (SELECT p_partkey, replace(p_name, ' ', '_') || CASE WHEN p_size % 3 = 0 THEN '__user' WHEN p_size % 3 = 1 THEN '__operator__user' ELSE '' END AS name FROM part)"
-
-
-def _names(t: Tables):
-    chain = F.when(F.col("p_size") % 3 == 0, "__user").when(F.col("p_size") % 3 == 1, "__operator__user").otherwise("")
-    return t.part.select("p_partkey", F.concat(F.translate("p_name", " ", "_"), chain).alias("name"))
-
-
-@query(NAMES + " SELECT p_partkey, 'pos' AS polarity, split_part(name, '__', 1) AS stem, len(string_split(name, '__')) - 1 AS principals, name AS back, split_part(name, '__', 1) AS bare FROM n")
-def notation_round_trip(t):
-    n = _names(t).withColumn("p", X.parse_name(F.col("name")))
-    return n.select("p_partkey", "p.polarity", "p.stem", F.size("p.principals").cast("bigint").alias("principals"), X.format_name(F.col("p")).alias("back"), X.dechained(F.col("name")).alias("bare"))
-
-
 @query("SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")
 def json_props(t):
     return t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
@@ -149,7 +136,8 @@ def content_hashes(t):
 
 # --- containment ----------------------------------------------------------------------------------
 
-NJOIN = f"WITH p AS (SELECT doc_id AS p, lower(trim(regexp_replace(regexp_replace({BNK}, '[*_`]+', '', 'g'), '\\s+', ' ', 'g'))) AS pt, source FROM documents), c AS (SELECT item_id AS c, lower(trim(regexp_replace(regexp_replace({BNK}, '[*_`]+', '', 'g'), '\\s+', ' ', 'g'))) AS ct FROM benchmark), pr AS (SELECT DISTINCT p, c FROM p JOIN c ON contains(pt, ct))"
+NJOIN = f"""WITH p0 AS (SELECT doc_id AS p, {joined_sql()} AS pt, source FROM documents UNION SELECT doc_id, {joined_sql(part=2)}, source FROM documents), p AS (SELECT * FROM p0 WHERE pt <> ''),
+c0 AS (SELECT item_id AS c, {joined_sql()} AS ct FROM benchmark UNION SELECT item_id, {joined_sql(part=2)} FROM benchmark), c AS (SELECT * FROM c0 WHERE ct <> ''), pr AS (SELECT DISTINCT p, c FROM p JOIN c ON contains(pt, ct))"""
 
 
 def _pairs(t: Tables):
@@ -161,10 +149,11 @@ def containment_contamination(t):
     return _pairs(t)
 
 
-@query(NJOIN + ", s AS (SELECT CASE WHEN p.p IN (SELECT p FROM pr) THEN 'matched' WHEN length(pt) < 200 THEN 'short' ELSE 'no clause' END AS stratum FROM p) SELECT stratum, count(*) AS n FROM s GROUP BY stratum")
+@query(NJOIN + f", s AS (SELECT CASE WHEN d.doc_id IN (SELECT p FROM pr) THEN 'matched' WHEN length({joined_sql()}) < 14 THEN 'degenerate_quote_refused' WHEN doc_id % 10 = 3 THEN 'example_block' WHEN source IS NULL THEN 'unknown' WHEN lang = 'en' THEN 'verbatim_but_unsegmented' ELSE 'not_verbatim_in_source' END AS stratum FROM documents d) SELECT stratum, count(*) AS n FROM s GROUP BY stratum")
 def containment_accounting(t):
-    u = t.documents.select(F.col("doc_id").alias("p"), F.length(X.join_text(F.col("text"))).alias("len"))
-    return J.join_accounting(u, _pairs(t), F.when(F.col("len") < 200, "short").otherwise("no clause"))
+    u = t.documents.select(F.col("doc_id").alias("p"), "text", "source", "lang")
+    why = J.unmatched_stratum(F.length(X.join_text(F.col("text"))) < 14, F.col("p") % 10 == 3, F.col("source").isNotNull(), F.col("lang") == "en")
+    return J.join_accounting(u, _pairs(t), why)
 
 
 @query(NJOIN + " SELECT DISTINCT p FROM pr WHERE c % 2 = 0")
@@ -172,16 +161,25 @@ def lift_semi_join(t):
     return J.lifted(_pairs(t), t.benchmark.where("item_id % 2 = 0").select(F.col("item_id").alias("c")))
 
 
-@query(NJOIN + ", b AS (SELECT p, max(c / 10.0) AS s FROM pr GROUP BY p) SELECT p.p, coalesce(s, 0) AS score FROM p LEFT JOIN b USING (p)")
+@query(NJOIN + ", b AS (SELECT p, max(c / 10.0) AS s FROM pr GROUP BY p) SELECT d.doc_id AS p, coalesce(s, 0) AS score FROM documents d LEFT JOIN b ON b.p = d.doc_id")
 def passage_scores(t):
     scores = t.benchmark.select(F.col("item_id").alias("c"), (F.col("item_id") / 10.0).alias("score"))
     return J.lifted_scores(t.documents.select(F.col("doc_id").alias("p")), _pairs(t), scores)
 
 
-@query(NJOIN + ", g AS (SELECT pr.p, pr.c, source, c % 20 AS own FROM pr JOIN p USING (p)), k AS (SELECT DISTINCT c % 20 AS a FROM c) SELECT p, c, ('src' || own) = source OR source IN (SELECT 'src' || a FROM k) AS restricted FROM g WHERE ('src' || own) = source")
+GUARD = f"""WITH p0 AS (SELECT doc_id AS p, {joined_sql()} AS pt, source AS pa FROM documents UNION ALL SELECT item_id + 10000000, left({joined_sql()}, 20 + item_id % 30), 'src' || item_id % 20 FROM benchmark), p AS (SELECT * FROM p0 WHERE length(pt) >= 14),
+c AS (SELECT item_id AS c, {joined_sql()} AS ct, 'src' || item_id % 20 AS ca FROM benchmark WHERE item_id % 7 <> 0),
+x AS (SELECT p, c, pa, ca, NOT contains(pt, ct) AS part FROM p JOIN c ON contains(pt, ct) OR contains(ct, pt)), r AS (SELECT *, pa IN (SELECT ca FROM c) AS restricted FROM x), k AS (SELECT * FROM r WHERE NOT restricted OR pa = ca),
+g AS (SELECT p, count(*) AS m, bool_and(part) AS part FROM k GROUP BY p)"""
+
+
+@query(GUARD + " SELECT k.p, k.c, k.restricted FROM k JOIN g USING (p) WHERE NOT (m > 1 AND g.part)")
 def containment_guarded(t):
-    p = t.documents.select(F.col("doc_id").alias("p"), "text", F.col("source").alias("anchor"))
-    c = t.benchmark.select(F.col("item_id").alias("c"), "text", F.concat(F.lit("src"), F.col("item_id") % 20).alias("anchor"))
+    """Whole documents and parts of benchmark items as passages; every seventh item is a heading in disguise."""
+    i = F.col("item_id")
+    some = t.benchmark.select((i + 10_000_000).alias("p"), F.substring(X.join_text(F.col("text")), F.lit(1), (i % 30 + 20).cast("int")).alias("text"), F.concat(F.lit("src"), i % 20).alias("anchor"))
+    p = t.documents.select(F.col("doc_id").alias("p"), "text", F.col("source").alias("anchor")).union(some)
+    c = t.benchmark.select(i.alias("c"), F.when(i % 7 == 0, F.lit("**In short**")).otherwise(F.col("text")).alias("text"), F.concat(F.lit("src"), i % 20).alias("anchor"), F.when(i % 7 == 0, "meta").alias("kind"))
     return J.guarded_containment(p, c)
 
 
@@ -194,22 +192,25 @@ def interval_overlaps(t):
     return J.interval_overlaps(i, i, 1000).where("ida < idb")
 
 
-ALIGN = "WITH a AS (SELECT DISTINCT l_suppkey AS node, l_partkey % 200 AS line FROM lineitem WHERE l_suppkey < 50 AND l_linenumber = 1), b AS (SELECT DISTINCT l_suppkey AS node, l_partkey % 200 AS line FROM lineitem WHERE l_suppkey < 50 AND l_linenumber = 2), k AS (SELECT a.node AS na, b.node AS nb, count(*) AS k FROM a JOIN b USING (line) GROUP BY ALL), j AS (SELECT na, nb, k / ((SELECT count(*) FROM a WHERE node = na) + (SELECT count(*) FROM b WHERE node = nb) - k) AS jaccard FROM k)"
+ALIGN = "WITH a AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS line FROM lineitem WHERE l_linenumber % 2 = 1), b AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS line FROM lineitem WHERE l_linenumber % 2 = 0), sa AS (SELECT node AS na, count(*) AS ca FROM a GROUP BY ALL), sb AS (SELECT node AS nb, count(*) AS cb FROM b GROUP BY ALL), k AS (SELECT a.node AS na, b.node AS nb, count(*) AS k FROM a JOIN b USING (line) GROUP BY ALL), j AS (SELECT na, nb, k / (ca + cb - k) AS jaccard FROM k JOIN sa USING (na) JOIN sb USING (nb))"
 
 
 def _aligned(t: Tables):
-    x = lambda n: t.lineitem.where(f"l_suppkey < 50 and l_linenumber = {n}").select(F.col("l_suppkey").alias("node"), (F.col("l_partkey") % 200).alias("line"))
-    return J.line_alignment(x(1), x(2), 0.3)
+    x = lambda odd: t.lineitem.where(f"l_linenumber % 2 = {odd}").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("line"))
+    return J.line_alignment(x(1), x(0), 0.5)
 
 
-@query(ALIGN + " SELECT na, nb, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.3")
+@query(ALIGN + " SELECT na, nb, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.5")
 def line_set_alignment(t):
     return _aligned(t).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query()
 def alignment_matching(t):
-    return J.maximum_matching(_aligned(t).select(F.lit(0).alias("g"), F.col("na").alias("a"), F.col("nb").alias("b")), "g")
+    """A maximum matching inside each connected group of aligned nodes."""
+    pairs = cut(_aligned(t).select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    group = components(pairs.select((F.col("a") * 2).alias("u"), (F.col("b") * 2 + 1).alias("v"))).select((F.col("node") / 2).cast("bigint").alias("a"), F.col("root").alias("g"), (F.col("node") % 2).alias("side"))
+    return J.maximum_matching(pairs.join(group.where("side = 0").select("a", "g"), "a").select("g", "a", "b"), "g")
 
 
 NEEDS = "WITH nd AS (SELECT DISTINCT o_custkey AS node, (o_orderkey * 7) % 900 AS name FROM orders), pv AS (SELECT p_partkey AS node, p_partkey % 600 AS name FROM part)"
@@ -240,12 +241,12 @@ def input_dependency_channel(t):
     return J.input_providers(n, p, t.orders.where("o_custkey % 4 = 0").select(F.col("o_custkey").alias("node")).distinct(), 4)
 
 
-EDGE = "WITH e AS (SELECT o_orderkey AS id, o_orderkey % 400 AS nlo, o_orderkey % 400 + 3 AS nhi, (o_orderkey * 13) % 400 AS plo, (o_orderkey * 13) % 400 + 3 AS phi, o_orderstatus AS s FROM orders WHERE o_orderkey < 2000)"
+EDGE = "WITH e AS (SELECT o_orderkey AS id, o_orderkey % 400 AS nlo, o_orderkey % 400 + 3 AS nhi, (o_orderkey * 13) % 400 AS plo, (o_orderkey * 13) % 400 + 3 AS phi, o_orderstatus AS s FROM orders)"
 
 
 def _edge_rows(t: Tables):
     k = F.col("o_orderkey")
-    return t.orders.where("o_orderkey < 2000").select(k.alias("id"), (k % 400).alias("nlo"), (k % 400 + 3).alias("nhi"), ((k * 13) % 400).alias("plo"), ((k * 13) % 400 + 3).alias("phi"), F.col("o_orderstatus").alias("s"))
+    return t.orders.select(k.alias("id"), (k % 400).alias("nlo"), (k % 400 + 3).alias("nhi"), ((k * 13) % 400).alias("plo"), ((k * 13) % 400 + 3).alias("phi"), F.col("o_orderstatus").alias("s"))
 
 
 @query(EDGE + " SELECT id FROM e WHERE s = 'F' AND EXISTS (SELECT 1 FROM e f WHERE f.s = 'O' AND e.nlo <= f.nhi AND f.nlo <= e.nhi AND e.plo <= f.phi AND f.plo <= e.phi)")
@@ -256,7 +257,7 @@ def edge_overlap_match(t):
 
 # --- rules ----------------------------------------------------------------------------------------
 
-NORMS = """WITH n AS (SELECT p_partkey AS norm, p_partkey % 40 AS act, CASE WHEN p_size % 2 = 0 THEN 'oblige' ELSE 'forbid' END AS modality, p_size % 3 AS tier FROM part WHERE p_partkey < 300),
+NORMS = """WITH n AS (SELECT p_partkey AS norm, p_partkey // 8 AS act, CASE WHEN p_size % 2 = 0 THEN 'oblige' ELSE 'forbid' END AS modality, p_size % 3 AS tier FROM part),
 c AS (SELECT norm, unnest(list_distinct(['x' || norm % 5, 'y' || norm % 7])) AS atom FROM n), x AS (SELECT 'x' || i AS a, 'x' || (i + 1) AS b FROM range(0, 3) t(i)),
 d AS (SELECT norm, 'd' AS defeater, 'y' || (norm + 1) % 7 AS atom FROM n WHERE norm % 3 = 0), u AS (SELECT norm, list_sort(list(atom)) AS cond FROM c GROUP BY norm)"""
 CONFLICT = NORMS + """, pr AS (SELECT a.norm AS n1, b.norm AS n2, least(a.tier, b.tier) AS tier, a.tier <> b.tier AS resolved, list_sort(list_distinct(list_concat(ua.cond, ub.cond))) AS w FROM n a JOIN n b ON a.act = b.act AND a.modality = 'oblige' AND b.modality = 'forbid' JOIN u ua ON ua.norm = a.norm JOIN u ub ON ub.norm = b.norm),
@@ -265,8 +266,7 @@ ok AS (SELECT * FROM pr WHERE NOT EXISTS (SELECT 1 FROM x WHERE list_contains(w,
 
 def _conflicts(t: Tables):
     s = t.spark
-    p = t.part.where("p_partkey < 300")
-    n = p.select(F.col("p_partkey").alias("norm"), (F.col("p_partkey") % 40).alias("act"), F.when(F.col("p_size") % 2 == 0, "oblige").otherwise("forbid").alias("modality"), (F.col("p_size") % 3).alias("tier"))
+    n = t.part.select(F.col("p_partkey").alias("norm"), F.floor(F.col("p_partkey") / 8).alias("act"), F.when(F.col("p_size") % 2 == 0, "oblige").otherwise("forbid").alias("modality"), (F.col("p_size") % 3).alias("tier"))
     c = n.select("norm", F.explode(F.array(F.concat(F.lit("x"), F.col("norm") % 5), F.concat(F.lit("y"), F.col("norm") % 7))).alias("atom"))
     d = n.where("norm % 3 = 0").select("norm", F.lit("d").alias("defeater"), F.concat(F.lit("y"), (F.col("norm") + 1) % 7).alias("atom"))
     x = s.createDataFrame([(f"x{i}", f"x{i + 1}") for i in range(3)], "a string, b string")
@@ -303,18 +303,10 @@ def deontic_statuses(t):
     return R.standing(*_kernel(t))
 
 
-@query("WITH s AS (SELECT DISTINCT event_type AS a, lead(event_type) OVER (ORDER BY event_id) AS b FROM events WHERE event_id < 200), e AS (SELECT * FROM s WHERE b IS NOT NULL) SELECT a, b FROM e")
+@query("WITH s AS (SELECT DISTINCT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events), e AS (SELECT * FROM s WHERE b IS NOT NULL) SELECT a, b FROM e")
 def transition_table(t):
-    from pyspark.sql import Window
-
-    e = t.events.where("event_id < 200")
-    return e.select(F.col("event_type").alias("a"), F.lead("event_type").over(Window.orderBy("event_id")).alias("b")).where("b is not null").distinct()
-
-
-@query("WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part UNION SELECT split_part(p_name, ' ', 2) FROM part) SELECT x.name AS a, 'subsumes' AS rel, y.name AS b FROM n x JOIN n y ON contains(y.name, '_') AND regexp_replace(y.name, '^[^_]+_', '') = x.name AND split_part(y.name, '_', 1) <> 'not'")
-def derived_relations(t):
-    n = t.part.select(F.translate("p_name", " ", "_").alias("name")).union(t.part.select(F.element_at(F.split("p_name", " "), 2))).distinct()
-    return R.derived_relations(n.withColumn("key", F.col("name")))
+    """What follows what for one user."""
+    return t.events.select(F.col("event_type").alias("a"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id")).alias("b")).where("b is not null").distinct()
 
 
 @query("WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part UNION SELECT split_part(p_name, ' ', 2) FROM part), e AS (SELECT y.name AS child, x.name AS parent FROM n x JOIN n y ON contains(y.name, '_') AND regexp_replace(y.name, '^[^_]+_', '') = x.name WHERE split_part(y.name, '_', 1) NOT IN ('red')) SELECT child, parent FROM e WHERE parent IN (SELECT parent FROM e GROUP BY parent HAVING count(DISTINCT child) >= 2)")
@@ -342,7 +334,7 @@ def situation_enumeration(t):
 
 @query("WITH m AS (SELECT i AS mask, (i % 3 = 0)::INT AS derived FROM range(0, 64) t(i)), p AS (SELECT k AS atom, a.mask AS m1, b.mask AS m2 FROM m a, m b, range(0, 6) t(k) WHERE xor(a.mask, b.mask) = (1 << k) AND a.mask < b.mask AND a.derived <> b.derived) SELECT atom::INT AS atom, min({'m1': m1, 'm2': m2}).m1 AS m1, min({'m1': m1, 'm2': m2}).m2 AS m2 FROM p GROUP BY atom")
 def mcdc_covering_set(t):
-    return R.covering_set(t.spark.range(64).select(F.col("id").alias("mask"), (F.col("id") % 3 == 0).cast("int").alias("derived")))
+    return R.covering_set(t.spark.range(64).select(F.col("id").alias("mask"), (F.col("id") % 3 == 0).cast("int").alias("derived")), 6)
 
 
 # --- sets, snapshots, samples ---------------------------------------------------------------------
@@ -379,7 +371,7 @@ def best_artifact(t):
     return D.least_severe(t.orders.select("o_custkey", "o_orderpriority", "o_orderkey"), "o_custkey", "o_orderpriority", "o_orderkey")
 
 
-EQ = "WITH s AS (SELECT l_orderkey AS id, array_to_string(list_sort(list(DISTINCT l_returnflag || l_linestatus)), ',') AS signature FROM lineitem GROUP BY id), g AS (SELECT signature, min(id) AS first, count(*) AS n FROM s GROUP BY signature)"
+EQ = "WITH s AS (SELECT l_orderkey AS id, sha256(array_to_string(list_sort(list(DISTINCT '2:' || l_returnflag || l_linestatus)), ',')) AS signature FROM lineitem GROUP BY id), g AS (SELECT signature, min(id) AS first, count(*) AS n FROM s GROUP BY signature)"
 
 
 def _classes(t: Tables):
@@ -401,7 +393,7 @@ def largest_remainder(t):
     return D.allocate(t.customer.groupBy(F.col("c_mktsegment").alias("stratum")).agg(F.count(F.lit(1)).alias("n")), 97).select("stratum", "n", F.col("k").cast("bigint").alias("k"))
 
 
-@query()
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, (row_number() OVER w)::INT AS draw FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY md5('17:' || c_custkey), c_custkey) QUALIFY row_number() OVER w <= 10")
 def strat_sample_customers(t):
     return D.stratified(t.customer, "c_mktsegment", "c_custkey", 10)
 

@@ -15,13 +15,13 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def first_existing(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+def first_existing(spark: SparkSession, paths: list[str], format: str = "json", **options) -> DataFrame:
     """The rows of the first path that can be read, with its label as ``source``; raises if none can."""
     from pyspark.errors import AnalysisException
 
     for path in paths:
         try:
-            return spark.read.json(path, **options).withColumn("source", F.lit(path))
+            return spark.read.format(format).options(**options).load(path).withColumn("source", F.lit(path))
         except AnalysisException as e:
             last = e
     raise last
@@ -72,6 +72,20 @@ def votes(panel: DataFrame) -> DataFrame:
     return panel.select("id", F.explode(verdict_map(F.col("verdicts"))).alias("judge", "verdict"))
 
 
+PASSAGE = "struct<id:string,locator:string,quote:string,exampleBlock:boolean,verdicts:map<string,int>,score:int>"
+
+
+def panel_rows(raw: DataFrame) -> DataFrame:
+    """(behaviour, spec, id, locator, quote, example, score, verdicts) from a column json {behaviours: [{slug, coverage: {spec: {passages}}}]}.
+
+    A missing example flag is false, a missing score 0; verdicts outside 0, 1, 2 go.
+    """
+    schema = f"struct<behaviours:array<struct<slug:string,coverage:map<string,struct<passages:array<{PASSAGE}>>>>>>"
+    b = raw.select(F.explode(F.from_json("json", schema)["behaviours"]).alias("b")).select(F.col("b.slug").alias("behaviour"), F.explode("b.coverage").alias("spec", "c"))
+    p = b.select("behaviour", "spec", F.explode("c.passages").alias("p"))
+    return p.select("behaviour", "spec", "p.id", "p.locator", "p.quote", F.coalesce("p.exampleBlock", F.lit(False)).alias("example"), F.coalesce("p.score", F.lit(0)).alias("score"), F.map_filter("p.verdicts", lambda _, v: v.isin(0, 1, 2)).alias("verdicts"))
+
+
 def html_blocks(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
     """(id, pos, tag, text): headings, paragraphs and list items of HTML, scripts, styles and comments taken out, entities read."""
     clean = F.col(html)
@@ -85,55 +99,61 @@ def html_blocks(pages: DataFrame, id: str = "page_id", html: str = "html") -> Da
     return rows.select("id", "pos", F.lower(F.regexp_extract("part", r"^<([A-Za-z0-9]+)", 1)).alias("tag"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
 
 
-_TERM = re.compile(r"""<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^\S+)?|(\S+?)(?=[\s;,.]|$)""")
+_TERM = re.compile(r"""<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^[^\s;,\]]+)?|([^\s;,\[\]]+?)(?=[\s;,\[\]]|\.(?:\s|$)|$)""")
+TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+
+
+def _triples(text: str) -> Iterator[tuple[str, str, str]]:
+    """Triples of a Turtle text: prefixes, a, ; and , lists, literals, and blank nodes in brackets, which are named _:1, _:2 and on."""
+    prefixes: dict[str, str] = {}
+    body = re.sub(r"(?m)(?:^|\s)#[^\n]*", " ", text or "")
+    for m in re.finditer(r"@?prefix\s+(\S*?):\s*<([^>]*)>\s*\.?", body, re.IGNORECASE):
+        prefixes[m[1]] = m[2]
+    body = re.sub(r"@?prefix\s+\S*?:\s*<[^>]*>\s*\.?", " ", body, flags=re.IGNORECASE)
+
+    def name(t: str) -> str:
+        head, colon, tail = t.partition(":")
+        return TYPE if t == "a" else prefixes[head] + tail if colon and head in prefixes else t
+
+    i, blanks, open_ = 0, 0, [[]]  # for each open bracket its subject, predicate and object so far
+    while i < len(body):
+        c = body[i]
+        if c.isspace():
+            i += 1
+            continue
+        now = open_[-1]
+        if c in ";,.[]":
+            i += 1
+            if c == "[":
+                blanks += 1
+                open_.append([f"_:{blanks}"])
+                continue
+            if len(now) == 3:
+                yield tuple(now)
+            if c == "]" and len(open_) > 1:
+                open_.pop()
+                open_[-1].append(now[0])
+            elif c == ",":
+                del now[2:]
+            elif c == ";":
+                del now[1:]
+            elif c == ".":
+                open_ = [[]]
+            continue
+        m = _TERM.match(body, i)
+        if not m or m.end() == i:
+            i += 1
+            continue
+        now.append(m[1] if m[1] is not None else m[2] if m[2] is not None else name(m[3]))
+        i = m.end()
 
 
 def turtle_triples(files: DataFrame) -> DataFrame:
-    """(path, s, p, o) of Turtle text (path, text): prefixes, a, ; and , lists, literals. Blank nodes in brackets aren't read."""
-
-    def parse(text: str) -> Iterator[tuple[str, str, str]]:
-        prefixes: dict[str, str] = {}
-        body = re.sub(r"(?m)(?:^|\s)#[^\n]*", " ", text or "")
-        for m in re.finditer(r"@?prefix\s+(\S*?):\s*<([^>]*)>\s*\.?", body, re.IGNORECASE):
-            prefixes[m[1]] = m[2]
-        body = re.sub(r"@?prefix\s+\S*?:\s*<[^>]*>\s*\.?", " ", body, flags=re.IGNORECASE)
-
-        def name(t: str) -> str:
-            if t == "a":
-                return "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-            head, colon, tail = t.partition(":")
-            return prefixes[head] + tail if colon and head in prefixes else t
-
-        s = p = None
-        at, i = [], 0
-        while i < len(body):
-            if body[i].isspace():
-                i += 1
-            elif body[i] in ";,.":
-                if len(at) >= 1:
-                    if s is None and len(at) == 3:
-                        s, p = at[0], at[1]
-                        yield s, p, at[2]
-                    elif len(at) == 2:
-                        p = at[0]
-                        yield s, p, at[1]
-                    elif len(at) == 1:
-                        yield s, p, at[0]
-                at = []
-                if body[i] == ".":
-                    s = p = None
-                i += 1
-            else:
-                m = _TERM.match(body, i)
-                if not m or m.end() == i:
-                    i += 1
-                    continue
-                at.append(m[1] if m[1] is not None else m[2] if m[2] is not None else name(m[3]))
-                i = m.end()
+    """(path, s, p, o) of Turtle text (path, text), file by file; see _triples()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(path, *t) for path, text in zip(pdf.path, pdf.text, strict=True) for t in parse(text)], columns=["path", "s", "p", "o"])
+            yield pd.DataFrame([(path, *t) for path, text in zip(pdf.path, pdf.text, strict=True) for t in _triples(text)], columns=["path", "s", "p", "o"])
 
     return files.select("path", "text").mapInPandas(run, "path string, s string, p string, o string")
 

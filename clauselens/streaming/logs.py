@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -74,3 +76,40 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str):
         df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+class InFlight:
+    """Records of work that is under way, one folder of JSON a job, in a folder that all machines see.
+
+    A record stands from the moment work is given out until its results are written. A killed process
+    leaves it behind; sweep() shows such orphans and never removes one, so they are settled before clear().
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _fs(self, at: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def record(self, name: str, entry: dict) -> None:
+        """Write or replace a job's record; it appears whole or not at all."""
+        body = self.spark.createDataFrame([(name, json.dumps(entry, sort_keys=True))], "name string, entry string")
+        new = f"{self.path}/.new-{uuid.uuid4().hex}"
+        body.coalesce(1).write.json(new)
+        fs, to = self._fs(f"{self.path}/{name}")
+        fs.delete(to, True)
+        fs.rename(self._fs(new)[1], to)
+
+    def sweep(self) -> DataFrame:
+        """(name, entry) of all records, entry as JSON."""
+        fs, at = self._fs(self.path)
+        schema = "name string, entry string"
+        names = sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+        found = [f"{self.path}/{n}" for n in names if not n.startswith(".")]
+        return self.spark.read.schema(schema).json(found) if found else self.spark.createDataFrame([], schema)
+
+    def clear(self, name: str) -> None:
+        """Remove a job's record; one that isn't there is no error."""
+        fs, at = self._fs(f"{self.path}/{name}")
+        fs.delete(at, True)

@@ -8,11 +8,16 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from clauselens.functions import grammar as N
 from clauselens.functions import text as X
+from clauselens.operators import components as K
 from clauselens.operators import cuts as C
+from clauselens.operators import graphs as H
 from clauselens.operators import joins as J
 from clauselens.operators import log as L
 from clauselens.operators import metrics as M
+from clauselens.operators import ordered as Z
+from clauselens.operators import relations as E
 from clauselens.operators import resample as R
 from clauselens.operators import rules as U
 from clauselens.operators import scoring as S
@@ -51,35 +56,114 @@ def test_tokens_and_stems_agree(spark):
 
 def test_text_functions(spark):
     assert one(spark, X.citation_text(F.col("t")), t="- See [the rule](#r) now[^ab12]") == "See the rule now"
-    assert one(spark, X.link_variants(F.col("t")), t="[A](b) *c*") == ["a c", "b c"]
-    assert sorted(one(spark, X.mixed_link_variants(F.col("t")), t="[A](b) [C](d)")) == ["a c", "a d", "b c", "b d"]
+    assert one(spark, X.citation_text(F.col("t")), t="see [?](#chain) and [a](b)") == "see #chain and a"
+    assert one(spark, X.match_text(F.col("t")), t="“a” — b… -- c") == '"a" - b... - c'
+    assert one(spark, X.link_variants(F.col("t")), t="[A](b) *c*") == ["A c", "b c"]
+    assert sorted(one(spark, X.mixed_link_variants(F.col("t")), t="[A](b) [C](d)")) == ["A C", "A d", "b C", "b d"]
+    four = " ".join(f"[{c}]({c}{c})" for c in "ABCD")
+    assert sorted(one(spark, X.mixed_link_variants(F.col("t")), t=four)) == ["A B C D", "AA BB CC DD"]
     assert one(spark, X.locator(F.lit("v1"), F.lit("S"), F.lit(3), F.lit("m0001"))) == "v1 > S > L3 [m0001]"
-    p = one(spark, X.parse_locator(F.col("t")), t="v1 > #intro > B2-3.S1")
-    assert (p.version, p.section, p.b1, p.b2, p.s1, p.s2) == ("v1", "intro", 2, 3, 1, 1)
+    p = one(spark, X.parse_locator(F.col("t")), t="v1-x@2025-12-18 > #intro > ¶2 s1 - ¶3 s4")
+    assert p.error == "bad spec identifier"
+    p = one(spark, X.parse_locator(F.col("t")), t="model-spec@2025-12-18 > #intro > ¶2 s1 - ¶3 s4")
+    assert (p.spec, p.version, p.section, p.b1, p.s1, p.b2, p.s2, p.error) == ("model-spec", "2025-12-18", "#intro", 2, 1, 3, 4, None)
     assert one(spark, X.locator_anchor(F.col("t")), t="v1 > #intro > B2") == "intro"
-    assert one(spark, X.sentences(F.col("t")), t="See e.g. Dr. Who. Next one! (Third?) end") == ["See e.g. Dr. Who.", "Next one!", "(Third?) end"]
-    assert one(spark, X.forces(F.col("t")), t="It must not lie; it should help. Never stop.") == ["mustnot", "should"]
-    assert one(spark, X.defeaters(F.col("t")), t="Unless told, however") == ["unless", "however"]
-    assert one(spark, X.principals(F.col("t")), t="the user and the operator") == ["user", "operator"]
-    n = one(spark, X.parse_name(F.col("t")), t="not_share_data__third_party__user")
-    assert (n.polarity, n.stem, n.principals, n.error) == ("neg", "share_data", ["third_party", "user"], None)
-    assert one(spark, X.parse_name(F.col("t")), t="Bad Name").error
-    assert one(spark, X.format_name(X.parse_name(F.col("t"))), t="not_share__user") == "not_share__user"
-    assert one(spark, X.principal_named(F.col("t")), t="warn_user") == "user"
+    assert one(spark, X.sentences(F.col("t")), t='See e.g. Dr. Who. Next one! (Third?) End (no. 4) here. "Said." #5') == ["See e.g. Dr. Who.", "Next one!", "(Third?)", "End (no. 4) here.", '"Said."', "#5"]
     assert one(spark, X.modal_flags(F.col("a"), F.col("b")), a="It must.", b="It may.") == ["strengthened"]
     assert [one(spark, X.formatting_reason(F.col("t")), t=t) for t in ("", "# h", "```", "---", "text")] == ["blank", "heading", "fence", "rule", None]
     assert one(spark, X.mentions(F.col("t"), F.col("n")), t="uses foo_bar.", n="foo_bar") and not one(spark, X.mentions(F.col("t"), F.col("n")), t="foo_barx", n="foo_bar")
-    assert one(spark, X.vocab_key(F.col("t")), t="rules_of_user_not_operator") == "not operator rule user|user>operator"
+    assert one(spark, X.vocab_key(F.col("t")), t="harmful_queries_of_user_not_operator") == "harm not of operator querie user | user>operator"
     assert one(spark, X.verdict_lines(F.col("t"), 2), t="1: 2\n2: 0") == {1: 2, 2: 0} == one(spark, X.verdict_lines(F.col("t"), 2), t="so\n2\n0")
     assert one(spark, X.verdict_lines(F.col("t"), 3), t="none") is None
     assert one(spark, X.message_cause(F.col("t")), t="File a/b.py line 12: 'x'") == "file <path> line <n>: <q>"
     assert one(spark, X.jaccard_empty_zero(F.array().cast("array<string>"), F.array().cast("array<string>"))) == 0.0
     assert one(spark, X.jaccard_empty_one(F.array().cast("array<string>"), F.array().cast("array<string>"))) == 1.0
-    assert one(spark, X.span_text(F.array(F.lit("A b. C d."), F.lit("E.")), X.parse_locator(F.col("t"))), t="v > s > B1.S2") == "C d."
+    assert one(spark, X.span_text(F.array(F.lit("A b. C d."), F.lit("E.")), X.parse_locator(F.col("t"))), t="v > s > ¶1 s2 - ¶2 s1") == "C d.\n\nE."
     assert one(spark, X.published_quote(F.col("t")), t="Caption ~~~ code") == "Caption"
     assert one(spark, X.gloss_is_empty(F.col("a"), F.col("b")), a="share_data", b="the data, share")
 
 
+FORCES = {
+    "You must not lie": ["mustnot"], "must always never lie": ["mustnot"], "must respect the user, not the operator": ["must"], "You may not": ["mustnot"], "It may help": ["may"],
+    "It can help": [], "It can't help": ["mustnot"], "It cannot": ["mustnot"], "shouldn’t": ["shouldnot"], "should generally not": ["shouldnot"], "It should help": ["should"], "never": ["mustnot"],
+    "must never": ["mustnot"], "is prohibited": ["mustnot"], "refrain from it": ["mustnot"], "are required to": ["must"], "has to": ["must"], "free to": ["may"], "may it must": ["must", "may"],
+    "mustard mayor": [], "must by default in general not": ["must"], "must by default not": ["mustnot"], "could not": [], None: [],
+}
+NAMES = {
+    "mustnot_disclose__model_user": ("mustnot", "disclose", ["model", "user"]), "must_x": ("must", "x", []), "shouldnot_x__third_party": ("shouldnot", "x", ["third_party"]), "plain_name": (None, "plain_name", []),
+    "no_moral": (None, "no_moral", []), "a__operator_model": (None, "a", ["operator", "model"]), "may_a_b__root": ("may", "a_b", ["root"]), "not_share": (None, "not_share", []), "mustard": (None, "mustard", []),
+}
+
+
+def test_grammar(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(FORCES)], "i int, t string")
+    assert {r.t: r.f for r in df.select("t", N.forces(F.col("t")).alias("f")).collect()} == FORCES
+    assert one(spark, N.defeaters(F.col("t")), t="Unless told, apart from exceptions; even when, otherwise") == ["unless", "exception", "aside from", "even if", "otherwise"]
+    assert one(spark, N.principals(F.col("t")), t="Third parties and ChatGPT; the Model Spec; users") == ["model", "third_party", "user"]
+    c = one(spark, N.classify(F.col("t")), t="The user must tell the operator, but")
+    assert (c.categories, c.forces, c.defeaters, c.principals) == (["DEONTIC", "DEFEATED", "PARTIED"], ["must"], ["but"], ["operator", "user"])
+    assert one(spark, N.classify(F.col("t")), t="Hello user").categories == ["CONTROL"]
+    names = spark.createDataFrame([(n,) for n in NAMES], "n string").withColumn("p", N.parse_name(F.col("n")))
+    rows = names.select("n", "p.*", N.format_name(F.col("p")).alias("back"), N.stem_of(F.col("n")).alias("s")).collect()
+    assert {r.n: (r.polarity, r.stem, r.principals) for r in rows} == NAMES and all(r.error is None and r.back == r.n and r.s == r.stem for r in rows)
+    for bad in ("", "must_", "a__b__c", "a__", "__user", "a__platform", "a___user", "must___user", "a__user_x"):
+        p = one(spark, N.parse_name(F.col("t")), t=bad)
+        assert p.error and p.polarity is None and p.principals == [] and p.stem == bad, bad
+        assert one(spark, N.stem_of(F.col("t")), t=bad) == bad
+    assert one(spark, N.principal_named(F.col("t")), t="warn_third_party") == "third_party" and one(spark, N.principal_named(F.col("t")), t="superuser") is None
+    assert one(spark, N.role(F.col("t")), t=" Topic ") == "topic" and one(spark, N.role(F.col("t")), t="other") is None
+
+
+def test_mechanical_relations(spark):
+    vocabulary = [
+        ("share_data", "act", "", 9), ("avoid_share_data", "act", "", 2), ("share_private_data", "act", "", 4), ("share_public_data", "act", "", 3), ("data_shares", "act", "", 1), ("share_datas", "situation", "", 1),
+        ("dog", "act", "", 1), ("walk_dog", "act", None, 1), ("pet_care", "act", "to walk a dog and feed it daily", 1), ("long_care", "act", "to walk a dog and feed it daily in parks", 1), ("known_fact", "situation", "", 1), ("unknown_fact", "situation", "", 1),
+    ]
+    v = spark.createDataFrame(vocabulary, "name string, kind string, gloss string, n int")
+    found = E.mechanical(v)
+    got = {(r.rel, r.a, r.b, r.via) for r in found.collect()}
+    assert {
+        ("contrary", "avoid_share_data", "share_data", "contrary_negation"), ("contrary", "share_private_data", "share_public_data", "contrary_antonym"), ("contrary", "known_fact", "unknown_fact", "contrary_antonym"),
+        ("same_as", "data_shares", "share_data", "same_as_key"), ("entails", "share_data", "share_datas", "entails_nominalisation"), ("subsumes", "share_data", "share_private_data", "subsumes_name_tokens"),
+        ("subsumes", "dog", "walk_dog", "subsumes_name_tokens"), ("subsumes", "walk_dog", "pet_care", "subsumes_gloss_names"), ("subsumes", "pet_care", "long_care", "subsumes_gloss_tokens"),
+    } <= got
+    assert not any(rel == "subsumes" and b == "avoid_share_data" for rel, _, b, _ in got) and not any({a, b} == {"share_data", "share_datas"} for rel, a, b, _ in got if rel != "entails")
+    rows = [("subsumes", "a", "b", 1), ("subsumes", "b", "c", 2), ("subsumes", "c", "a", 3), ("subsumes", "b", "a", 4), ("subsumes", "a", "b", 9), ("contrary", "d", "a", 5), ("subsumes", "a", "d", 0), ("entails", "a", "z", 1), ("odd", "a", "b", 1), ("same_as", "a", "a", 1), ("same_as", "a", "k", 1)]
+    out = E.refused(spark.createDataFrame(rows, "rel string, a string, b string, rank int"), spark.createDataFrame([(x, "act") for x in "abcd"] + [("k", "situation")], "name string, kind string"))
+    assert {(r.rel, r.a, r.b, r.rank): r.reason for r in out.collect()} == {
+        ("subsumes", "a", "b", 1): None, ("subsumes", "b", "c", 2): None, ("subsumes", "c", "a", 3): "cycle", ("subsumes", "b", "a", 4): "cycle", ("subsumes", "a", "b", 9): "duplicate", ("contrary", "d", "a", 5): None,
+        ("subsumes", "a", "d", 0): "contradictory_pair", ("entails", "a", "z", 1): "unknown_atom", ("odd", "a", "b", 1): "bad_relation", ("same_as", "a", "a", 1): "self_loop", ("same_as", "a", "k", 1): "cross_kind",
+    }
+    assert sorted((r.name, r.against) for r in E.contraries(found.where("a = 'known_fact'")).collect()) == [("known_fact", "unknown_fact"), ("unknown_fact", "known_fact")]
+
+
+def test_running_sums(spark):
+    rng = random.Random(6)
+    rows = [(None if k == 3 else k, i, rng.randint(0, 9)) for i in range(300) for k in [0 if i % 3 else rng.randint(1, 3)]]
+    df = spark.createDataFrame(rows, "k int, i int, x int").repartition(7)
+    got = {(r.k, r.i): r.s for r in Z.running(df, ["k"], [F.desc("i")], s="x").collect()}
+    assert got == {(k, i): sum(y for c, j, y in rows if c == k and j > i) for k, i, _ in rows}
+    assert {r.i: r.rank for r in Z.placed(df, [], ["i"]).collect()} == {i: i + 1 for i in range(300)}
+    assert Z.placed(df.limit(0), ["k"], ["i"]).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 230)] + [(7, 7), (300, 300)]
+    root = {}
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for u, v in edges:
+        a, b = sorted((top(u), top(v)))
+        root[b] = a
+    got = {r.node: r.root for r in K.components(spark.createDataFrame(edges, "u int, v int")).collect()}
+    assert got == {x: top(x) for x in list(root)}
+    assert K.components(spark.createDataFrame([], "u int, v int")).count() == 0
+    assert {r.id: r.root for r in K.clusters(spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), spark.createDataFrame([("c", "b")], "u string, v string")).collect()} == {"a": "a", "b": "b", "c": "b"}
+
+
 def test_segments(spark):
     t = "Intro\n\n# One\npara a\npara b\n- item\n```\ncode\n\n# no\n```\n## Two\nlast"
     docs = spark.createDataFrame([(1, t), (2, None)], "doc_id int, text string")
@@ -130,11 +214,31 @@ def test_metrics(spark):
     assert M.labelling_agreement(lab, "a", "b").first().ari == 1.0
 
 
+def _matchings(edges):
+    """Bit masks of the edge sets that share no end."""
+    out = [(0, frozenset(), frozenset())]
+    for i, (a, b) in enumerate(edges):
+        out += [(m | 1 << i, x | {a}, y | {b}) for m, x, y in out if a not in x and b not in y]
+        out = list({(x, y): (m, x, y) for m, x, y in out}.values())
+    return [m for m, _, _ in out]
+
+
 def test_joins(spark):
-    p = spark.createDataFrame([(1, "x The quick brown fox jumps over it", "a"), (2, "nothing", "b"), (3, "", "a")], "p int, text string, anchor string")
-    c = spark.createDataFrame([(10, "the  QUICK brown fox jumps over", "a"), (11, "noth", "z"), (12, "", "a")], "c int, text string, anchor string")
+    p = spark.createDataFrame([(1, "x The *quick* brown fox jumps over it", "a"), (2, "nothing", "b"), (3, "", "a")], "p int, text string, anchor string")
+    c = spark.createDataFrame([(10, "The  quick brown `fox` jumps over", "a"), (11, "noth", "z"), (12, "", "a")], "c int, text string, anchor string")
     assert sorted((r.p, r.c) for r in J.contained(p, c).collect()) == [(1, 10), (2, 11)]
     assert [(r.p, r.c, r.restricted) for r in J.guarded_containment(p, c).collect()] == [(1, 10, True)]
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(["aa", "ab", "b", "[ab](b)", "*aa*", "ba"]) for _ in range(n))
+    ps, cs = [(i, say(rng.randint(0, 12))) for i in range(60)], [(i, say(rng.randint(1, 8))[rng.randint(0, 1) :]) for i in range(60)]
+    form = lambda t, k: " ".join(re.sub(r"\*\*|\*|`", "", re.sub(r"\[([^\]]*)\]\(([^)]*)\)", rf"\{k}", t)).split())
+    sides = lambda t: {form(t, 1), form(t, 2)} - {""}
+    got = {(r.p, r.c) for r in J.contained(spark.createDataFrame(ps, "p int, text string"), spark.createDataFrame(cs, "c int, text string")).collect()}
+    assert got == {(i, j) for i, t in ps for j, u in cs if any(y in x for x in sides(t) for y in sides(u))}
+    head = spark.createDataFrame([(20, "**Title here now**", "a", "meta"), (21, "The quick brown fox", "a", "rule")], "c int, text string, anchor string, kind string")
+    part = spark.createDataFrame([(1, "quick brown fox jumps", "a"), (2, "**Title here now**", "a"), (3, "short", "a")], "p int, text string, anchor string")
+    both = head.union(spark.createDataFrame([(22, "a quick brown fox jumps up", "a", "rule"), (23, "b quick brown fox jumps up", "a", "rule")], head.schema))
+    assert J.guarded_containment(part, both).count() == 0 and {r.c for r in J.guarded_containment(part, both.where("c < 23")).collect()} == {22}
     assert {r.p: r.score for r in J.lifted_scores(p, J.contained(p, c), spark.createDataFrame([(10, 0.7)], "c int, score double")).collect()} == {1: 0.7, 2: 0.0, 3: 0.0}
     rng = random.Random(3)
     iv = [(i, rng.randint(0, 2), x := rng.randint(0, 90), x + rng.randint(0, 30)) for i in range(60)]
@@ -143,6 +247,19 @@ def test_joins(spark):
     assert got == Counter((a[0], b[0]) for a in iv for b in iv if a[1] == b[1] and a[2] < b[3] and b[2] < a[3] and a[2] < a[3] and b[2] < b[3])
     m = spark.createDataFrame([(0, 1, 5), (0, 1, 6), (0, 2, 5), (0, 3, 6), (0, 3, 7)], "g int, a int, b int")
     assert J.maximum_matching(m, "g").count() == 3
+    for seed in range(6):
+        rng = random.Random(seed)
+        es = {(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(rng.randint(1, 40))}
+        best = max(bin(mask).count("1") for mask in _matchings(sorted(es)))
+        got = J.maximum_matching(spark.createDataFrame([(0, a, b) for a, b in es], "g int, a int, b int"), "g").collect()
+        assert len(got) == best == len({r.a for r in got}) == len({r.b for r in got}) and {(r.a, r.b) for r in got} <= es
+    chain = [(0, i, i) for i in range(4000)] + [(0, i, i + 1) for i in range(4000)]
+    assert J.maximum_matching(spark.createDataFrame(chain, "g int, a int, b int"), "g").count() == 4000
+    boxes = [(i, a := rng.randint(0, 60), a + rng.randint(0, 9), b := rng.randint(0, 60), b + rng.randint(0, 40)) for i in range(80)]
+    e = spark.createDataFrame(boxes, "id int, nlo int, nhi int, plo int, phi int")
+    meet = lambda x, y: x[1] <= y[2] and y[1] <= x[2] and x[3] <= y[4] and y[3] <= x[4]
+    assert {r.id for r in J.edge_overlap(e.where("id < 40"), e.where("id >= 40"), 7).collect()} == {x[0] for x in boxes[:40] if any(meet(x, y) for y in boxes[40:])}
+    assert {r.id for r in H.shadowed(e, 7).collect()} == {x[0] for x in boxes if any(meet(x, y) for y in boxes if x is not y)}
     with pytest.raises(ValueError):
         J.rejoined(p.select("p"), p.where("p > 1").select("p"), "p")
 
@@ -150,13 +267,32 @@ def test_joins(spark):
 def test_scoring(spark):
     pairs = spark.createDataFrame([("q", 1, "a", "x", 0.9), ("q", 1, "a", "y", 0.5), ("q", 1, "b", "x", 0.8)], "q string, id int, name string, own string, credit double")
     assert sorted((r.name, r.own) for r in S.greedy_credits(pairs).collect()) == [("a", "x")]
-    q = spark.createDataFrame([("q", "act", "share_data__user"), ("q", "situation", "risk")], "q string, slot string, name string")
-    a = spark.createDataFrame([(1, "share_data__operator"), (1, "risk"), (2, "risk"), (2, "no_risk")], "id int, name string")
-    e = sorted((r.id, r.slot, r.how) for r in S.evidence(q, a).collect())
-    assert e == [(1, "act", "stem"), (1, "situation", "name"), (2, "situation", "name")]
-    blocked = S.evidence(q, a, spark.createDataFrame([("risk", "no_risk")], "name string, against string"))
-    assert (2, "situation") not in {(r.id, r.slot) for r in blocked.collect()}
-    assert {r.id: r.rung for r in S.rungs(S.evidence(q, a)).collect()} == {1: 0, 2: 3}
+    rng = random.Random(2)
+    many = [("q", i, n, o, rng.randint(1, 3) / 2) for i in range(12) for n in "abc" for o in rng.sample("uvwx", rng.randint(0, 4))]
+    want = set()
+    for i in range(12):
+        taken = set()
+        for n in "abc":
+            free = sorted((-c, o) for _, j, m, o, c in many if j == i and m == n and o not in taken)
+            if free:
+                taken.add(free[0][1])
+                want.add((i, n, free[0][1], -free[0][0]))
+    assert {(r.id, r.name, r.own, r.credit) for r in S.greedy_credits(spark.createDataFrame(many, pairs.schema)).collect()} == want
+    q = spark.createDataFrame([("q", "act", "share_data"), ("q", "situation", "risk")], "q string, slot string, name string")
+    a = spark.createDataFrame([(1, "must_share_data__operator"), (1, "risk"), (2, "risk"), (2, "may_risk")], "id int, name string")
+    e = sorted((r.id, r.slot, r.name, r.how) for r in S.evidence(q, a).collect())
+    assert e == [(1, "act", "must_share_data__operator", "stem"), (1, "situation", "risk", "name"), (2, "situation", "may_risk", "stem"), (2, "situation", "risk", "name")]
+    blocked = S.evidence(q, a, spark.createDataFrame([("risk", "may_risk")], "name string, against string"))
+    assert {(r.id, r.name) for r in blocked.collect() if r.slot == "situation"} == {(1, "risk"), (2, "risk")}
+    ops = {r.id: r for r in S.typed_operators(S.evidence(q, a)).collect()}
+    assert ops[1].act_and_situation and not ops[2].act_match and ops[2].multi_atom and ops[2].directive_atom
+    w = S.bag_scores(
+        spark.createDataFrame([(1, "dog", 2), (2, "cat", 1), (3, "eel", 1)], "id int, term string, tf int"), spark.createDataFrame([(1, "dog", "act"), (2, "cat", "act")], "id int, name string, kind string"),
+        spark.createDataFrame([(1, "s"), (2, "s"), (3, "t")], "id int, section string"), spark.createDataFrame([("q", "dog", 1)], "q string, term string, tf int"), spark.createDataFrame([("q", "dog", "act")], "q string, name string, kind string"),
+    )
+    got = {r.id: r for r in w.collect()}
+    assert set(got) == {1, 2} and got[1].lex > 0.9 and got[1].raw > got[2].raw > 0 == got[2].lex and math.isclose(got[1].section_score, 0.45 * got[1].lex / 2 + 0.45 * got[1].atom / 2)
+    assert {r.id: r.rung for r in S.rungs(S.evidence(q, a)).collect()} == {1: 0, 2: 1}
     parents = spark.createDataFrame([("dog", "animal"), ("cat", "animal")], "child string, parent string")
     w = spark.createDataFrame([("animal", 1.5), ("cat", 2.0), ("dog", 3.0)], "name string, idf double")
     s = S.best_subsumption(spark.createDataFrame([("q", "dog")], "q string, name string"), spark.createDataFrame([(1, "cat")], "id int, name string"), parents, w).first()
@@ -227,12 +363,16 @@ def test_rules(spark):
     assert {r.node for r in U.cycles(e).collect()} == {1, 2, 3}
     hits = U.engaged(spark.createDataFrame([("n1", "tell_lie"), ("n2", "help")], "node string, act string"), spark.createDataFrame([("q", "deceive")], "q string, act string"), spark.createDataFrame([("tell_lie", "deceive")], "a string, b string"))
     assert [(r.q, r.node) for r in hits.collect()] == [("q", "n1")]
-    w = U.wall(spark.createDataFrame([("n1", "user")], "node string, value string"), spark.createDataFrame([("q", "public")], "q string, value string"), "party")
-    r = U.relevant(hits, {"party": w}).first()
+    wall = (spark.createDataFrame([("n1", "user")], "node string, value string"), spark.createDataFrame([("q", "public")], "q string, value string"))
+    assert [(r.q, r.node, r.party) for r in U.wall(hits, *wall, "party").collect()] == [("q", "n1", False)]
+    r = U.relevant(hits, {"party": wall}).first()
     assert not r.relevant and r.blocked_by == ["party"]
-    rel = spark.createDataFrame([("a", "subsumes", "b", "k", "k"), ("b", "subsumes", "a", "k", "k"), ("a", "same_as", "z", "k", "k"), ("c", "entails", "c", "k", "j"), ("a", "subsumes", "c", "k", "j")], "a string, rel string, b string, kind_a string, kind_b string")
-    known = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
-    assert [r.reason for r in U.guarded_relations(rel, known).orderBy("a", "rel", "b").collect()] == ["unknown", "cycle", "cross kind", "cycle", "self"]
+    assert {(r.a, r.b) for r in U.feedback_edges(e.withColumn("rank", F.col("a"))).collect()} == {(3, 1)}
+    assert {r.node for r in U.reached(e, spark.createDataFrame([(4,), (9,)], "node int")).collect()} == {4, 5, 9} and U.cyclic_core(e.where("a > 1")).count() == 0
+    with pytest.raises(ValueError):
+        U.covering_set(spark.createDataFrame([(1024, 1)], "mask bigint, derived int"), 10)
+    cover = U.covering_set(spark.createDataFrame([(m, m >> 11 & 1) for m in (0, 2048, 1, 3)], "mask bigint, derived int"), 12).collect()
+    assert [(r.atom, r.m1, r.m2) for r in cover] == [(11, 0, 2048)]
     ren = U.rename_candidates(spark.createDataFrame([("n", ["a", "b"])], "name string, words array<string>"), spark.createDataFrame([("p", ["a"]), ("o", ["a", "b", "c"]), ("z", ["q"])], "name string, words array<string>"))
     assert [(r.provide, r.rank) for r in ren.orderBy("rank").collect()] == [("o", 1), ("p", 2)]
     f = U.state_machine_faults(spark.createDataFrame([("open", "done"), ("open", "stuck"), ("stuck", "stuck"), ("lost", "done")], "a string, b string"), "open", ["done"])
@@ -264,7 +404,6 @@ def test_resampling(spark):
     df = spark.createDataFrame([(i, float(i % 10)) for i in range(200)], "id int, x double")
     r = R.bootstrap_mean(df, 200).first()
     assert r.mean == 4.5 and 3.8 < r.low < 4.5 < r.high < 5.2
-    assert [x.i for x in R.numbered(df.repartition(7), "id").orderBy("id").collect()] == list(range(200))
     cells = spark.createDataFrame([("c", i, i % 2 == 0, i % 2 == 0 or i % 10 == 1, i % 3 == 0) for i in range(120)], "cell string, id int, gold boolean, a boolean, b boolean")
     r = R.paired_bootstrap(cells, 100).first()
     assert r.low < r.delta < r.high and r.low > 0
@@ -310,6 +449,10 @@ def test_loaders(spark, tmp_path):
     assert [(r.tag, r.text) for r in got] == [("title", "T & t"), ("h1", "H"), ("p", "One two"), ("p", "Three"), ("li", "item")]
 
 
+#: Queries whose twins take long even on small tables; the driver compares them.
+LARGE = {"subsumption_credits", "patient_priced_credits", "explain_top_terms", "typed_evidence", "typed_operators", "typed_rank", "explained_evidence"}
+
+
 def test_queries_against_their_twins(spark):
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path
@@ -328,6 +471,8 @@ def test_queries_against_their_twins(spark):
         return sorted((tuple(map(say, r)) for r in pdf[columns].itertuples(index=False)), key=str)
 
     for name, sql in registry.ORACLE.items():
+        if name in LARGE:
+            continue
         want = con.sql(sql).df()
         columns = sorted(want.columns)
         got = registry.QUERIES[name](spark, str(folder)).toPandas()

@@ -23,7 +23,7 @@ def test_graphs(spark):
     pairs = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "na int, nb int")
     groups = G.alignment_groups(pairs, spark.createDataFrame([(1, 10), (2, 12)], "a int, b int")).collect()
     assert [(r.kind, r.node, r.others) for r in groups] == [("split", 1, [10, 11])]
-    c = spark.createDataFrame([("not_share__user", "k", "r", 1, 3, "user")], "c_name string, c_kind string, c_role string, c_lo int, c_hi int, c_principal string")
+    c = spark.createDataFrame([("mustnot_share__user", "k", "r", 1, 3, "user")], "c_name string, c_kind string, c_role string, c_lo int, c_hi int, c_principal string")
     r = spark.createDataFrame([("share__user", "k", "r", 2, 9, "user")], "r_name string, r_kind string, r_role string, r_lo int, r_hi int, r_principal string")
     assert {level: c.join(r, G.span_match(level)).count() for level in ("span", "stem", "deontic", "exact")} == {"span": 1, "stem": 1, "deontic": 0, "exact": 0}
     doc = spark.createDataFrame([(1, "# A {authority=user}\n## B\n# C")], "doc_id int, text string")

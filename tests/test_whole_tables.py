@@ -9,9 +9,9 @@ from clauselens.plans import registry
 def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
     orders = [(k, (k * k * 7 + k // 3) % 1009, "FOP"[k * k % 3]) for k in range(1, 1200, 2)]
-    parts = [(k, f"b{k % 7}", f"t{k % 5}", k % 11) for k in range(1, 801)]
+    parts = [(k, f"b{k % 7}", f"t{k % 5}", k % 11, f"n{k % 3}") for k in range(1, 801)]
     spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(f"{at}/orders.parquet")
-    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_type string, p_size int").write.parquet(f"{at}/part.parquet")
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_type string, p_size int, p_name string").write.parquet(f"{at}/part.parquet")
     return at, orders, parts
 
 
@@ -43,6 +43,6 @@ def test_deontic_statuses(spark, folder):
 def test_readback_trials(spark, folder):
     at, _, parts = folder
     got = registry.QUERIES["readback_trials"](spark, at).collect()
-    brand = {k: b for k, b, _, _ in parts}
+    brand = {k: b for k, b, *_ in parts}
     assert {r.id for r in got if r.answer and r.option == r.id} == set(brand)
-    assert len(got) == 4 * len(brand)
+    assert len(got) == 4 * len(brand) and all(brand[r.id] == brand[r.option] for r in got)

@@ -17,21 +17,23 @@ def components(edges: DataFrame) -> DataFrame:
     empty table gives an empty table; null ends are dropped.
     """
     print_of = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first())
-    some = edges.select("u", "v").where("u is not null and v is not null")
-    e = cut(some.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    keyed = lambda df: df.withColumn("k", F.xxhash64("u"))  # noqa: E731  a second key, so that a hashed join side may be any size
+    down = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    given = cut(down(edges.where("u is not null and v is not null")))
+    e = given.where("u <> v")
     seen = print_of(e)
     while seen[0]:
-        least = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         upward = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        big = cut(upward.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = e.union(upward).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        big = cut(keyed(upward).join(keyed(least), ["k", "u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         lowest = big.groupBy("u").agg(F.min("v").alias("m"))
-        rest = big.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(rest.union(lowest.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        rest = keyed(big).join(keyed(lowest), ["k", "u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(down(rest.union(lowest.select("u", F.col("m").alias("v"))).where("u <> v")))
         now = print_of(e)
         if now == seen:
             break
         seen = now
-    alone = some.where("u = v").select(F.col("u").alias("node")).distinct().join(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "node", "left_anti")
+    alone = given.where("u = v").select(F.col("u").alias("node")).join(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "node", "left_anti")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).union(alone.select("node", F.col("node").alias("root"))).distinct()
 
 

@@ -1,4 +1,4 @@
-"""What the operators of this folder share: cutting lineage, connected components, Arrow batches."""
+"""What the operators of this folder share: cutting lineage, Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..lineage import cut, shared_dir
+from ..lineage import cut, discard, shared_dir
+from ..operators.components import components
 from ..workers import python_ready
 
-__all__ = ["chars_before", "components", "cut", "documents", "fresh", "local_roots", "python_ready", "shared_dir", "slices", "string_array", "texts_of"]
+__all__ = ["chars_before", "components", "cut", "discard", "documents", "fresh", "local_roots", "python_ready", "shared_dir", "slices", "string_array", "texts_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -82,35 +82,3 @@ def local_roots(groups: np.ndarray, members: np.ndarray, n: int) -> np.ndarray:
         if np.array_equal(new, label):
             return label
         label = new
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that an edge names; root: the smallest node reachable.
-
-    edges: columns u, v (bigint). Large-star and small-star rounds on distributed edge lists, each
-    round cut; the rounds grow with the logarithm of the longest path. No edge reaches the driver,
-    which sees one count and one checksum a round. Loops and repeats are allowed; an empty table
-    gives an empty table; null ends are dropped.
-    """
-    print_of = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first())
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = print_of(e)
-    while seen[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.xxhash64("u").alias("k"))
-        big = (
-            both.where("v > u")
-            .withColumn("k", F.xxhash64("u"))
-            .join(least, ["k", "u"])
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        big = cut(big)
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        rest = big.withColumn("k", F.xxhash64("u")).join(least.withColumn("k", F.xxhash64("u")), ["k", "u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(rest.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = print_of(e)
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct()

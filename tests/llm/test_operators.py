@@ -106,7 +106,7 @@ def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(7, 7), (-5, -9)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
-    want = roots_of([e for e in edges if e[0] != e[1]])
+    want = roots_of(edges)
     assert got == want
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 

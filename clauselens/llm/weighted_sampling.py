@@ -1,7 +1,8 @@
 """Document fingerprints by consistent weighted sampling (operator 3), with DataFrame functions only.
 
 A text is the multiset of its words (ASCII lower case), weighted by count. For sample k every word x has fixed
-random numbers r and c from Gamma(2, 1) and b from (0, 1), all read from hashes of (x, k). With
+random numbers r and c from Gamma(2, 1) and b from (0, 1), all read from one hash of (x, k): b from 24 bits, r and c
+as the quantiles of Gamma(2, 1) that 16 bits each choose, looked up in a table instead of taking logarithms. With
 weight w, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1); the word with the least a gives
 the sample (x, t). Two texts agree in a sample with a probability that equals their generalised
 Jaccard similarity, sum of least weights over sum of largest.
@@ -14,30 +15,44 @@ and text is shuffled once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, documents
 
-SAMPLES = 24
-_LOW = (1 << 32) - 1
+SAMPLES = 64
+#: Samples that one aggregate takes; code for more of them at once grows too long to be compiled well.
+AT_ONCE = 16
+#: Bits that index the quantile tables of Gamma(2, 1).
+LEVELS = 16
+_LOW, _ODD = (1 << 32) - 1, 0x9E3779B1
 
 
-def _uniform(bits: Column, width: int) -> Column:
-    """A number in (0, 1) from so many low bits."""
-    return (bits.bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5)) / F.lit(float(1 << width))
+def gamma_quantiles(levels: int = LEVELS) -> np.ndarray:
+    """Quantiles of Gamma(2, 1) at the middles of 2 ** levels equal shares, by Newton's method on 1 - (1 + x) exp(-x)."""
+    p = (np.arange(1 << levels) + 0.5) / (1 << levels)
+    x = np.where(p < 0.5, np.sqrt(2 * p), 1 - np.log1p(-p))
+    for _ in range(60):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - p) / (x * np.exp(-x)), x / 4)
+    return x
 
 
-def sample_key(word: Column, log_weight: Column, k: int) -> Column:
-    """ln a and 32 bits of (word, t) of sample k as one bigint; the least one of a text is its sample."""
-    one, two = F.xxhash64(word, F.lit(2 * k)), F.xxhash64(word, F.lit(2 * k + 1))
-    r = -F.log(_uniform(F.shiftrightunsigned(one, 43), 21) * _uniform(F.shiftrightunsigned(one, 22), 21))
-    b = _uniform(one, 22)
-    log_c = F.log(-F.log(_uniform(F.shiftrightunsigned(two, 32), 32) * _uniform(two, 32)))
-    t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t - b + F.lit(1.0))
-    upper = F.floor((F.greatest(F.lit(-900.0), F.least(F.lit(100.0), log_a)) + F.lit(900.0)) * F.lit(float(1 << 21)))
-    return F.shiftleft(upper, 32).bitwiseOR(F.xxhash64(word, t).bitwiseAND(F.lit(_LOW)))
+def tables(spark: SparkSession) -> DataFrame:
+    """One row: the quantiles r and their logarithms. Its size is fixed, a megabyte."""
+    x = gamma_quantiles()
+    return spark.createDataFrame([(x.tolist(), np.log(x).tolist())], "r array<double>, log_c array<double>")
+
+
+def sample_key(word: Column, log_weight: Column, k: Column, r: Column, log_c: Column) -> Column:
+    """ln a and 32 bits of (word, t) of sample k as one bigint; the least one of a text is its sample. r and log_c: the tables."""
+    bits = F.xxhash64(word, k)
+    own_r = F.get(r, bits.bitwiseAND(F.lit((1 << LEVELS) - 1)).cast("int"))
+    own_c = F.get(log_c, F.shiftrightunsigned(bits, 40).bitwiseAND(F.lit((1 << LEVELS) - 1)).cast("int"))
+    b = (F.shiftrightunsigned(bits, LEVELS).bitwiseAND(F.lit((1 << 24) - 1)) + F.lit(0.5)) / F.lit(float(1 << 24))
+    t = F.floor(log_weight / own_r + b)
+    upper = F.floor((own_c - own_r * (t - b + F.lit(1.0)) + F.lit(60.0)) * F.lit(float(1 << 24)))  # ln a lies between -60 and 4
+    return F.shiftleft(upper, 32).bitwiseOR(word.bitwiseXOR(t * F.lit(_ODD)).bitwiseAND(F.lit(_LOW)))
 
 
 def words_of(text: Column) -> Column:
@@ -51,10 +66,14 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
     keys must name a row. If texts are already dealt out by one of the keys, nothing is shuffled.
     """
     words = texts.select(*keys, F.explode(words_of(F.col("text"))).alias("word")).select(*keys, F.xxhash64("word").alias("word"))
-    counts = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")).select(*keys, "word", F.log("n").alias("w"))
-    least = counts.groupBy(*keys).agg(*(F.min(sample_key(F.col("word"), F.col("w"), k)).alias(f"s{k}") for k in range(samples)))
-    digits = [F.lpad(F.hex(F.col(f"s{k}").bitwiseAND(F.lit(_LOW))), 8, "0") for k in range(samples)]
-    return least.select(*keys, F.lower(F.concat(*digits)).alias("fingerprint"))
+    counts = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")).select(*keys, "word", F.log("n").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(AT_ONCE))).alias("first"))
+    one = counts.crossJoin(F.broadcast(tables(texts.sparkSession)))  # a single row of fixed size
+    keyed = [sample_key(F.col("word"), F.col("w"), F.col("first") + F.lit(k), F.col("r"), F.col("log_c")) for k in range(AT_ONCE)]
+    least = one.groupBy(*keys, "first").agg(*(F.min(x).alias(f"s{k}") for k, x in enumerate(keyed)))
+    digits = F.concat(*(F.lpad(F.hex(F.col(f"s{k}").bitwiseAND(F.lit(_LOW))), 8, "0") for k in range(AT_ONCE)))
+    parts = least.select(*keys, "first", digits.alias("digits")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "digits"))).alias("p"))
+    whole = F.array_join(F.transform("p", lambda x: x["digits"]), "")
+    return parts.select(*keys, F.lower(F.substring(whole, 1, 8 * samples)).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -89,7 +108,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, ranges: int | N
     An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    ranges = ranges or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # many to a task, so that long texts even out
     rows = in_ranges(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), ranges)
     order = Window.partitionBy("range").orderBy("follows", F.desc_nulls_last("doc_id"), F.desc("text"))
     half = F.floor(F.length("text") / 2).cast("int")

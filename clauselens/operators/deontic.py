@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..workers import python_ready
 from .components import components
-from .rules import outcomes, reachable
+from .rules import difference_makers, outcomes, reachable
 
 
 def act_engagement(asserts: DataFrame, acts: DataFrame, variants: DataFrame) -> DataFrame:
@@ -53,6 +53,24 @@ def behaviour_conflicts(behaviour: DataFrame, document: DataFrame) -> DataFrame:
     return j.select("q", "act", kind.alias("kind")).where("kind is not null").distinct()
 
 
+def behaviour_acts(declared: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(q, act): the acts that a behaviour's statements name, as far as the vocabulary knows them. declared (q, does: text such as act(x, y) or -act), vocabulary (act)."""
+    head = F.regexp_extract("does", r"^\s*(?:-|not\s+)?([a-z][a-z0-9_]*)", 1)
+    return declared.select("q", head.alias("act")).where("act <> ''").distinct().join(vocabulary.select("act").distinct(), "act", "left_semi").select("q", "act")
+
+
+#: The encodings of relevance by name. Each takes tables and gives (q, p) or, where no query is named, rows with p.
+ENCODINGS: dict[str, Callable[..., DataFrame]] = {
+    "engagement": act_engagement, "applicability": applicability, "difference": difference_makers, "defeat": defeat_reach, "violation": violation_reach,
+}
+
+
+def encoded(name: str, *tables: DataFrame) -> DataFrame:
+    """(encoding, p): the passages that an encoding of ENCODINGS finds in its tables; an unknown name raises KeyError."""
+    out = ENCODINGS[name](*tables)
+    return out.select(F.lit(name).alias("encoding"), out["p" if "p" in out.columns else "dropped"].cast("string").alias("p")).distinct()
+
+
 # --- definitions as small Boolean expressions -----------------------------------------------------
 
 

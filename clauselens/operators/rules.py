@@ -139,6 +139,12 @@ def self_loops(needs: DataFrame, provides: DataFrame) -> DataFrame:
     return needs.join(provides, ["node", "name"], "left_semi").distinct()
 
 
+def open_predicates(heads: DataFrame, bodies: DataFrame, given: DataFrame) -> DataFrame:
+    """(name, used_by): names that rules' bodies use, that no rule concludes and nobody gives. heads and bodies (rule, name), given (name)."""
+    closed = heads.select("name").union(given.select("name")).distinct()
+    return bodies.join(closed, "name", "left_anti").groupBy("name").agg(F.count_distinct("rule").alias("used_by"))
+
+
 # --- deontic kernel -------------------------------------------------------------------------------
 
 

@@ -19,6 +19,7 @@ from ..operators import rules as R
 from ..operators import scoring as S
 from ..operators import segment as P
 from ..operators import sets as D
+from ..sources import loaders as O
 from ..streaming import logs as W
 from .base import Tables, query
 
@@ -451,6 +452,57 @@ def act_applicability(t):
     return T.applicability(t.orders.select(F.col("o_orderkey").alias("p"), a("o_custkey", 200)), t.lineitem.select(F.col("l_orderkey").alias("p"), a("l_partkey", 300)), t.supplier.select(F.col("s_suppkey").alias("q"), a("s_suppkey", 250)))
 
 
+@query(ASSERTS + BEHAVES + ", w AS (SELECT * FROM b UNION SELECT q, variant FROM b JOIN v USING (act)), e AS (SELECT p_partkey AS x, p_partkey // 3 AS y FROM part WHERE p_partkey % 5 <> 0) SELECT DISTINCT 'engagement' AS encoding, p::VARCHAR AS p FROM s JOIN w USING (act) UNION ALL SELECT DISTINCT 'applicability', o_orderkey::VARCHAR FROM orders WHERE o_custkey % 200 IN (SELECT s_suppkey % 250 FROM supplier)")
+def relevance_encodings(t):
+    h = lambda c, m: F.concat(F.lit("h"), (F.col(c) % m).cast("string")).alias("atom")
+    one = T.encoded("engagement", _asserts(t), *_behaves(t))
+    heads = t.orders.select(F.col("o_orderkey").alias("p"), h("o_custkey", 200))
+    return one.union(T.encoded("applicability", heads, heads.limit(0), t.supplier.select(F.col("s_suppkey").alias("q"), h("s_suppkey", 250))))
+
+
+@query("SELECT DISTINCT s_suppkey AS q, 'act_' || s_nationkey AS act FROM supplier WHERE s_nationkey % 3 <> 2 AND s_nationkey < 20")
+def behaviour_acts(t):
+    n = F.col("s_nationkey")
+    says = F.when(n % 3 == 0, F.concat(F.lit("act_"), n.cast("string"), F.lit("(user, X)"))).when(n % 3 == 1, F.concat(F.lit("-act_"), n.cast("string"))).otherwise("42(x)")
+    return T.behaviour_acts(t.supplier.select(F.col("s_suppkey").alias("q"), says.alias("does")), t.nation.where("n_nationkey < 20").select(F.concat(F.lit("act_"), F.col("n_nationkey").cast("string")).alias("act")))
+
+
+@query("WITH b AS (SELECT p_partkey AS rule, p_size % 40 AS name FROM part UNION ALL SELECT p_partkey, p_partkey % 35 FROM part) SELECT 'n' || name AS name, count(DISTINCT rule) AS used_by FROM b WHERE name NOT IN (SELECT s_suppkey % 30 FROM supplier) AND name <> 33 GROUP BY name")
+def open_predicates(t):
+    n = lambda c: F.concat(F.lit("n"), c.cast("string")).alias("name")
+    k = F.col("p_partkey").alias("rule")
+    bodies = t.part.select(k, n(F.col("p_size") % 40)).union(t.part.select(k, n(F.col("p_partkey") % 35)))
+    return R.open_predicates(t.supplier.select(F.col("s_suppkey").alias("rule"), n(F.col("s_suppkey") % 30)), bodies, t.spark.createDataFrame([("n33",)], "name string"))
+
+
+EMIT = "WITH r AS (SELECT p_brand AS section, p_brand || ':r' || p_partkey AS norm, 'a' || p_size % 9 AS act, CASE p_size % 2 WHEN 0 THEN 'oblige' ELSE 'forbid' END AS modality, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size % 3 END AS tier, 'x' || p_size % 5 AS c1, 'y' || p_size % 7 AS c2, p_size FROM part)"
+
+
+@query(
+    EMIT + """ SELECT 'norm' AS tab, norm AS a, act || ',' || modality || ',' || tier AS b, NULL AS c FROM r UNION ALL SELECT DISTINCT 'norm_condition', norm, unnest([c1, c2]), NULL FROM r UNION ALL SELECT DISTINCT 'defeater_condition', norm, 'd0', 'z' FROM r WHERE p_size % 3 = 0 UNION ALL SELECT DISTINCT 'defeater_condition', norm, 'd1', 'w' FROM r WHERE p_size % 3 = 0
+UNION ALL SELECT * FROM (VALUES ('exclusion', 'x0', 'x1', NULL), ('exclusion', 'x0', 'x2', NULL), ('exclusion', 'x1', 'x2', NULL), ('incompat', 'a1', 'a3', NULL)) v(tab, a, b, c)"""
+)
+def emitted_program(t):
+    """Rule extractions, one a brand, as the tables of a rule program."""
+    size = F.col("p_size")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    defeat = lambda a: F.struct(F.array(F.lit(a)).alias("conditions"), F.lit("s").alias("source"))
+    rule = F.struct(
+        text("r", F.col("p_partkey")).alias("id"), F.when(size % 2 == 0, "oblige").otherwise("forbid").alias("modality"), text("a", size % 9).alias("act"), F.when(size % 4 != 0, size % 3).alias("tier"),
+        F.array(text("x", size % 5), text("y", size % 7)).alias("conditions"), F.when(size % 3 == 0, F.array(defeat("z"), defeat("w"))).alias("defeaters"),
+    )
+    body = F.struct(F.collect_list(rule).alias("rules"), F.array(F.struct(F.lit("at_most_one").alias("kind"), F.array(F.lit("x1"), F.lit("x0"), F.lit("x2")).alias("atoms"))).alias("exclusions"), F.array(F.struct(F.array(F.lit("a3"), F.lit("a1")).alias("acts"))).alias("incompat"))
+    x = O.extraction_tables(t.part.groupBy(F.col("p_brand").alias("section")).agg(F.to_json(body).alias("json")))
+    none = F.lit(None).cast("string")
+    parts = [x["norm"].select(F.lit("norm").alias("tab"), F.col("norm").alias("a"), F.concat_ws(",", "act", "modality", F.col("tier").cast("string")).alias("b"), none.alias("c"))]
+    parts += [x["norm_condition"].select(F.lit("norm_condition"), "norm", "atom", none), x["defeater_condition"].select(F.lit("defeater_condition"), "norm", "defeater", "atom")]
+    parts += [x[k].select(F.lit(k), "a", "b", none) for k in ("exclusion", "incompat")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 STOOD = ", st AS (SELECT *, p % 4 <> 0 AS stands FROM s), dn AS (SELECT 'a' || n_nationkey AS act FROM nation), om AS (SELECT 'a' || (n_nationkey + 50) AS act FROM nation), ou AS (SELECT DISTINCT p, act, 'violation' AS how FROM st WHERE stands AND ((d = 'forbid' AND act IN (SELECT act FROM dn)) OR (d = 'oblige' AND act IN (SELECT act FROM om))) UNION SELECT p, act, 'fulfils' FROM st WHERE stands AND d = 'oblige' AND act IN (SELECT act FROM dn)), du AS (SELECT s_suppkey + 1000000 AS p, 'a' || s_suppkey AS act FROM supplier)"
 
 

@@ -86,6 +86,30 @@ def panel_rows(raw: DataFrame) -> DataFrame:
     return p.select("behaviour", "spec", "p.id", "p.locator", "p.quote", F.coalesce("p.exampleBlock", F.lit(False)).alias("example"), F.coalesce("p.score", F.lit(0)).alias("score"), F.map_filter("p.verdicts", lambda _, v: v.isin(0, 1, 2)).alias("verdicts"))
 
 
+EXTRACTION = (
+    "struct<rules:array<struct<id:string,modality:string,act:string,tier:int,locator:string,conditions:array<string>,defeaters:array<struct<conditions:array<string>,source:string>>>>,"
+    "exclusions:array<struct<kind:string,atoms:array<string>>>,incompat:array<struct<acts:array<string>>>>"
+)
+
+
+def extraction_tables(raw: DataFrame) -> dict[str, DataFrame]:
+    """The tables that operators/rules.py works on, from rule extractions in a column json; a norm is section:id.
+
+    norm (norm, act, modality, tier, locator), norm_condition (norm, atom), defeater_condition (norm, defeater, atom), exclusion (a, b; every pair
+    of an exclusion's atoms, the smaller first), incompat (a, b). A rule without id is skipped, a missing tier is 0. raw (section, json).
+    """
+    x = raw.select("section", F.from_json("json", EXTRACTION).alias("x"))
+    r = x.select("section", F.explode("x.rules").alias("r")).where("r.id is not null").select(F.concat_ws(":", "section", "r.id").alias("norm"), "r.*")
+    pairs = lambda c: F.explode(F.flatten(F.transform(c, lambda a: F.transform(F.filter(c, lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    return {
+        "norm": r.select("norm", "act", "modality", F.coalesce("tier", F.lit(0)).alias("tier"), "locator"),
+        "norm_condition": r.select("norm", F.explode("conditions").alias("atom")).distinct(),
+        "defeater_condition": r.select("norm", F.posexplode("defeaters").alias("i", "d")).select("norm", F.concat(F.lit("d"), F.col("i").cast("string")).alias("defeater"), F.explode("d.conditions").alias("atom")).distinct(),
+        "exclusion": x.select(F.explode("x.exclusions").alias("e")).select(pairs(F.col("e.atoms")).alias("p")).select("p.*").distinct(),
+        "incompat": x.select(F.explode("x.incompat").alias("e")).select(pairs(F.col("e.acts")).alias("p")).select("p.*").distinct(),
+    }
+
+
 def html_blocks(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
     """(id, pos, tag, text): headings, paragraphs and list items of HTML, scripts, styles and comments taken out, entities read."""
     clean = F.col(html)

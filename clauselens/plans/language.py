@@ -270,7 +270,7 @@ def html_segments(t):
     return O.html_blocks(t.pages)
 
 
-PLACE = ["v > #a > ¶{b}", "model-spec@2025-12-18 > #x_y > ¶{b} s{s}", "constitution > A > B > ¶{b} s{s}-{e}", "v > p{b}s{s}-¶{c}s{e}", "Bad Spec > #a > ¶1", "v > #a > ¶{b} q", "v › S", "v"]
+PLACE = ["v > #a > ¶{b}", "house-rules@2025-12-18 > #x_y > ¶{b} s{s}", "charter > A > B > ¶{b} s{s}-{e}", "v > p{b}s{s}-¶{c}s{e}", "Bad Spec > #a > ¶1", "v > #a > ¶{b} q", "v › S", "v"]
 PLACED = "WITH p AS (SELECT p_partkey AS k, p_size % 4 + 1 AS b, p_size % 3 + 1 AS s, p_size % 3 + 2 AS e, p_size % 4 + 2 AS c FROM part)"
 
 
@@ -284,7 +284,7 @@ def _places(t: Tables):
 
 
 @query(
-    PLACED + """ SELECT k, CASE k % 8 WHEN 1 THEN 'model-spec' WHEN 2 THEN 'constitution' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 'v' END AS spec, CASE k % 8 WHEN 1 THEN '2025-12-18' END AS version, CASE k % 8 WHEN 0 THEN '#a' WHEN 1 THEN '#x_y' WHEN 2 THEN 'A > B' WHEN 6 THEN 'S' END AS section,
+    PLACED + """ SELECT k, CASE k % 8 WHEN 1 THEN 'house-rules' WHEN 2 THEN 'charter' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 'v' END AS spec, CASE k % 8 WHEN 1 THEN '2025-12-18' END AS version, CASE k % 8 WHEN 0 THEN '#a' WHEN 1 THEN '#x_y' WHEN 2 THEN 'A > B' WHEN 6 THEN 'S' END AS section,
 CASE WHEN k % 8 <= 3 THEN b END AS b1, CASE WHEN k % 8 BETWEEN 1 AND 3 THEN s END AS s1, CASE WHEN k % 8 <= 2 THEN b WHEN k % 8 = 3 THEN c END AS b2, CASE WHEN k % 8 = 1 THEN s WHEN k % 8 IN (2, 3) THEN e END AS s2, CASE k % 8 WHEN 4 THEN 'bad spec identifier' WHEN 5 THEN 'bad position' END AS error FROM p"""
 )
 def parsed_locators(t):

@@ -66,8 +66,8 @@ def test_text_functions(spark):
     assert one(spark, X.locator(F.lit("v1"), F.lit("S"), F.lit(3), F.lit("m0001"))) == "v1 > S > L3 [m0001]"
     p = one(spark, X.parse_locator(F.col("t")), t="v1-x@2025-12-18 > #intro > ¶2 s1 - ¶3 s4")
     assert p.error == "bad spec identifier"
-    p = one(spark, X.parse_locator(F.col("t")), t="model-spec@2025-12-18 > #intro > ¶2 s1 - ¶3 s4")
-    assert (p.spec, p.version, p.section, p.b1, p.s1, p.b2, p.s2, p.error) == ("model-spec", "2025-12-18", "#intro", 2, 1, 3, 4, None)
+    p = one(spark, X.parse_locator(F.col("t")), t="house-rules@2025-12-18 > #intro > ¶2 s1 - ¶3 s4")
+    assert (p.spec, p.version, p.section, p.b1, p.s1, p.b2, p.s2, p.error) == ("house-rules", "2025-12-18", "#intro", 2, 1, 3, 4, None)
     assert one(spark, X.locator_anchor(F.col("t")), t="v1 > #intro > B2") == "intro"
     assert one(spark, X.sentences(F.col("t")), t='See e.g. Dr. Who. Next one! (Third?) End (no. 4) here. "Said." #5') == ["See e.g. Dr. Who.", "Next one!", "(Third?)", "End (no. 4) here.", '"Said."', "#5"]
     assert one(spark, X.modal_flags(F.col("a"), F.col("b")), a="It must.", b="It may.") == ["strengthened"]

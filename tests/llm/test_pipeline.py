@@ -22,7 +22,7 @@ def folder(spark, tmp_path_factory):
     words = clean[5][1].split()
     words[3:4] = ["another"]
     rows += [(1000, clean[5][1].replace(" ", " \t", 2), "en", "s", None, None, None), (1001, " ".join([*words, *text("en", 300).split()][: len(words)]), "en", None, None, None, None)]
-    rows += [(1002, "12345 !!!", "en", "s", 9, None, None), (1003, None, None, None, None, None, None), (1004, clean[9][1] + " AKIA" + "ABCDEFGH12345678", "en", "s", 1, None, None), (None, text("en", 50), "en", "s", 1, None, None)]
+    rows += [(1002, "12345 !!!", "en", "s", 9, None, None), (1003, None, None, None, None, None, None), (1004, text("en", 60) + " AKIA" + "ABCDEFGH12345678", "en", "s", 1, None, None), (None, text("en", 50), "en", "s", 1, None, None)]
     at = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{at}/documents.parquet")
     return str(at)

@@ -1,8 +1,11 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are texts that share a band of ROWS MinHashes of their shingle sets, in one of BANDS; a
-pair at similarity s does so with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9999 at 0.8. Every link
-is then verified with the shingle sets themselves.
+Candidates come first from SimHash, by operator 7: 64-bit fingerprints of the distinct shingles, those
+within its radius found by balls of half the radius; a connected group of fingerprints is a group of
+candidates. Pairs near 0.8 differ in 5 to 14 bits, which no ball reaches. For these, texts that share
+a band of ROWS MinHashes of their shingle sets, in one of BANDS, are groups as well; a pair at
+similarity s does so with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9999 at 0.8. Every link is then
+verified with the shingle sets themselves.
 
 The pairs of a group are never all written out. First each text of a group is held against one of
 them; what these links connect needs no more pairs. Then, in groups that still hold several
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, fresh, python_ready, slices, texts_of
-from .simhash import shingle_hashes
+from .simhash import ball_links, bit_counts, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, BLOCK = 32, 6, 128
@@ -61,6 +64,11 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 7)
 
 
+def fingerprint(s: np.ndarray) -> np.ndarray:
+    """The SimHash of a shingle set: a bit is 1 if it is set in over half of the hashes; 0 for an empty set."""
+    return np.packbits(2 * bit_counts(s) > len(s), bitorder="little").view(np.int64)
+
+
 def band_keys(s: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band of MinHashes of a shingle set."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -89,13 +97,13 @@ def mapped(docs: DataFrame, names: list[str], schema: str, columns) -> DataFrame
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, keys) for each row of docs; id names the shingle set."""
+    """(doc_id, id, fp, keys) for each row of docs; id names the shingle set, fp is its SimHash."""
 
     def columns(doc_ids, ids, sets):
         keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64)
-        return [doc_ids, ids, pa.FixedSizeListArray.from_arrays(pa.array(keys), BANDS).cast(pa.list_(pa.int64()))]
+        return [doc_ids, ids, pa.array(np.concatenate([fingerprint(s) for s in sets])), pa.FixedSizeListArray.from_arrays(pa.array(keys), BANDS).cast(pa.list_(pa.int64()))]
 
-    return mapped(docs, ["doc_id", "id", "keys"], "doc_id bigint, id bigint, keys array<bigint>", columns)
+    return mapped(docs, ["doc_id", "id", "fp", "keys"], "doc_id bigint, id bigint, fp bigint, keys array<bigint>", columns)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -180,9 +188,16 @@ def remaining_links(members: DataFrame, roots: DataFrame, hot: DataFrame, sets:
     return cut(others.union(seeking)).join(sets, "id").groupBy("key", "i", "j").applyInArrow(meet, "u bigint, v bigint")
 
 
+def ball_groups(known: DataFrame) -> DataFrame:
+    """(key, id) of ids (id, fp) whose fingerprints are linked through differences of at most the radius; equal ones are."""
+    prints = cut(known.select("fp").distinct())
+    roots = components(ball_links(prints, prints.count())).withColumnRenamed("node", "fp")
+    return known.select("id", "fp").join(roots, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit(64)).alias("key"), "id")
+
+
 def candidate_groups(known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, n, rep, id) of the ids that share a key, once for equal groups, and the keys of more than BLOCK ids."""
-    rows = known.select(F.explode("keys").alias("key"), "id")
+    """(key, n, rep, id) of the ids that share a ball group or a band, once for equal groups, and the keys of more than BLOCK ids."""
+    rows = known.select(F.explode("keys").alias("key"), "id").union(cut(ball_groups(known)))
     prints = F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b")
     groups = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"), *prints).where("n > 1"))
     once = cut(groups.groupBy("n", "rep", "a", "b").agg(F.min("key").alias("key")).select("key", "n", "rep"))
@@ -197,7 +212,7 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     id. Repeated rows are linked. An empty table gives an empty table.
     """
     found = cut(featured(docs))
-    known = cut(found.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")))
+    known = cut(found.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     members, hot = candidate_groups(known)
     sets = cut(shingle_sets(docs).join(members.select("id").distinct(), "id").groupBy("id").agg(F.first("shingles").alias("shingles")))
     pairs = cut(members.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
